@@ -112,10 +112,9 @@ def quality_verdicts(docs: DataFrame, lang: str = "lang", source: str = "source"
     model = estimates(rows.where(~F.col("base_failed")).select("group", *DIMS))
     cols = [c for c in model.columns if c[0] in "ml" and c != "group"]
     own = model.where((F.col("rows") >= LEAST_ROWS) & (F.col("group") != ANY)).select("group", F.struct(*cols, "scale").alias("own"))
-    whole = model.where(F.col("group") == ANY).select(F.struct(*cols, "scale").alias("whole"))
-    # One row at most by construction, so the join below is a lookup.
-    d = rows.join(own, "group", "left").join(F.broadcast(whole), F.lit(True), "left")
-    d = d.withColumn("__m", F.coalesce("own", "whole"))
+    whole = model.where(F.col("group") == ANY).first()  # the estimate over all rows
+    rest = F.struct(*[F.lit(whole[c] if whole else None).cast("double").alias(c) for c in [*cols, "scale"]])
+    d = rows.join(own, "group", "left").withColumn("__m", F.coalesce("own", rest))
     d = distances(d.select("*", *[F.col(f"__m.{c}").alias(c) for c in [*cols, "scale"]]))
     far = F.col("d2") / F.col("scale")
     return d.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", far.alias("distance"), (~F.col("base_failed") & F.coalesce(far <= CUTOFF, F.lit(True))).alias("kept"))

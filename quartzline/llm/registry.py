@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzline.llm import chat_trees, quality_rules, url_filter
+from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, quality_rules, rule_ensemble, url_filter
 from quartzline.session import table
 
 
+def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.text_media(table(spark, sf_dir, "documents"))
+
+
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op4_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -24,6 +44,11 @@ def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_matroska": op1_matroska,
+        "op2_length_buckets": op2_length_buckets,
+        "op4_water_filling": op4_water_filling,
+        "op6_main_text": op6_main_text,
+        "op7_rule_ensemble": op7_rule_ensemble,
         "op8_reply_trees": op8_reply_trees,
         "op9_url_trees": op9_url_trees,
         "op10_robust_outliers": op10_robust_outliers,
@@ -31,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_water_filling": mixing.OP4_SQL}
