@@ -123,12 +123,12 @@ WITH d AS (
 ), s AS (
   SELECT k, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS cap, [5, 2, 1][((row_number() OVER (ORDER BY k) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY k
 ), o AS (
-  SELECT *, row_number() OVER (ORDER BY cap / w, k) AS at,
+  SELECT *, row_number() OVER (ORDER BY cap / w, k) AS pos,
     coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before,
     sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS rest, sum(source_size) OVER ()::DOUBLE AS total
   FROM s
 ), l AS (SELECT *, (total * 1.5::DOUBLE - before) / rest AS level FROM o),
-v AS (SELECT min_by(level, at) FILTER (cap > level * w) AS level FROM l),
+v AS (SELECT min_by(level, pos) FILTER (WHERE cap > level * w) AS level FROM l),
 t AS (SELECT k, source_size, least(cap::DOUBLE, coalesce(v.level * w, cap::DOUBLE)) AS target FROM l, v),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS gap, sum(size) OVER (PARTITION BY d.k ORDER BY h RANGE UNBOUNDED PRECEDING) AS cum FROM d JOIN p ON d.k = p.k),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, quality_rules, rule_ensemble, url_filter
+from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, pii, quality_rules, rule_ensemble, url_filter
 from quartzline.session import table
 
 
@@ -16,6 +16,10 @@ def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict:
     return {
         "op1_matroska": op1_matroska,
         "op2_length_buckets": op2_length_buckets,
+        "op3_disclosure": op3_disclosure,
         "op4_water_filling": op4_water_filling,
         "op6_main_text": op6_main_text,
         "op7_rule_ensemble": op7_rule_ensemble,
