@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, pii, quality_rules, rule_ensemble, url_filter
+import corpus_pipeline
+from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, pii, quality_rules, rule_ensemble, similarity_join, url_filter
 from quartzline.session import table
 
 
@@ -24,6 +25,10 @@ def op4_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join.joined_components(table(spark, sf_dir, "documents"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -52,13 +57,15 @@ def queries() -> dict:
         "op2_length_buckets": op2_length_buckets,
         "op3_disclosure": op3_disclosure,
         "op4_water_filling": op4_water_filling,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_main_text": op6_main_text,
         "op7_rule_ensemble": op7_rule_ensemble,
         "op8_reply_trees": op8_reply_trees,
         "op9_url_trees": op9_url_trees,
         "op10_robust_outliers": op10_robust_outliers,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_water_filling": mixing.OP4_SQL}
+    return {"op4_water_filling": mixing.OP4_SQL, "op5_jaccard_join": similarity_join.OP5_SQL}
