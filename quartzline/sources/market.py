@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import quartzline
-from quartzline.functions.exprs import epoch_ms, fixed_offset_utc, iso_seconds, number, ohlc_valid, usd_per_kg_exact
+from quartzline.functions.exprs import epoch_ms, finite, fixed_offset_utc, iso_seconds, number, ohlc_valid, usd_per_kg_exact
 from quartzline.operators.bars import keep_last, require
 
 cloudpickle.register_pickle_by_value(quartzline)
@@ -141,7 +141,7 @@ def champions(spark: SparkSession, path: str) -> DataFrame:
 def order_book_midpoint(xml: Column, security: str, currency: str = "USD") -> Column:
     """(best bid + best ask) / 2 of one security in an order book document; null where a side is missing, not positive, or crossed."""
     at = f'//pitch[@securityId="{security}" and @considerationCurrency="{currency}"]'
-    bid, ask = (F.xpath_double(xml, F.lit(f"{at}/{side}/price[1]/@limit")) for side in ("buyPrices", "sellPrices"))
+    bid, ask = (finite(F.xpath_double(xml, F.lit(f"{at}/{side}/price[1]/@limit"))) for side in ("buyPrices", "sellPrices"))
     return F.when((bid > 0) & (ask >= bid), (bid + ask) / 2)
 
 

@@ -4,7 +4,7 @@ import lzma
 import math
 import struct
 import zipfile
-from datetime import date
+from datetime import date, datetime
 
 import numpy as np
 import pandas as pd
@@ -165,7 +165,7 @@ def test_models_fit(hourly):
 
 
 def test_serving(spark):
-    latest = spark.createDataFrame([("s", pd.Timestamp("2025-01-01"), 100.0)], "series string, ts timestamp, close double")
+    latest = spark.createDataFrame([("s", datetime(2025, 1, 1), 100.0)], "series string, ts timestamp, close double")
     models = spark.createDataFrame([("s", 2, None, -0.1, 0.1)], "series string, horizon_hours int, predicted_return double, residual_q10 double, residual_q90 double")
     r = serving.prediction_rows(latest, models).first()
     assert (r.predicted_price, r.change_percent, r.direction, str(r.target_time)) == (100.0, 0.0, "neutral", "2025-01-01 02:00:00") and r.lower_80 < 100 < r.upper_80
