@@ -15,7 +15,7 @@ import quartzline
 cloudpickle.register_pickle_by_value(quartzline)
 
 BATCH_ROWS = 500
-ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64()), "array<smallint>": pa.list_(pa.int16())}
 
 
 def map_rows(df: DataFrame, function: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:

@@ -40,10 +40,10 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in ra
 #: Shingles are counted within chunks of so many; those found twice in one are summed over all chunks.
 CHUNK = 2_000_000
 #: The most frequent shingles, at most so many and found at least so often, go last in the order.
-FREQUENT, OFTEN = 200_000, 16
+FREQUENT, OFTEN = 100_000, 16
 #: Sets up to this size can be small.
 SMALL = 8
-#: Up to so many ids or shingles are broadcast to a scan; beyond, the join shuffles.
+#: Up to so many ids are broadcast to a scan; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -143,15 +143,33 @@ def near(df: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFr
     return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, from an exact intersection of both."""
-    pairs = written(pairs.distinct(), "pairs")
+def narrow(ident: int, text: str | None) -> list[tuple[int, int, np.ndarray]]:
+    """(id, set size, distinct 16-bit hashes of the set's shingles)."""
+    h = shingles(text)
+    return [(ident, len(h), np.unique((h >> np.uint64(48)).astype(np.uint16)).view(np.int16))]
+
+
+def wide(ident: int, text: str | None) -> list[tuple[int, int, np.ndarray]]:
+    h = shingles(text)
+    return [(ident, len(h), h.view(np.int64))]
+
+
+def overlapping(pairs: DataFrame, docs: DataFrame, function, kind: str) -> DataFrame:
+    """The pairs whose hashes overlap enough. Where hashes of one set coincide, each coincidence may hide one common shingle, so the
+    lesser number of them is granted: no similar pair is lost, and with 64-bit hashes nothing is granted.
+    """
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-    sets = written(map_rows(near(docs, ids, "id", "left_semi"), lambda ident, text: [(ident, shingles(text).view(np.int64))], "id long, held array<long>"), "pair-sets")
-    left, right = sets.select(F.col("id").alias("a"), F.col("held").alias("x")), sets.select(F.col("id").alias("b"), F.col("held").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
+    sets = written(map_rows(near(docs, ids, "id", "left_semi"), function, f"id long, n long, held array<{kind}>"), "pair-sets")
+    left, right = (sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("held").alias(f"held_{end}")) for end in "ab")
+    most = F.size(F.array_intersect("held_a", "held_b")) + F.least(F.col("n_a") - F.size("held_a"), F.col("n_b") - F.size("held_b"))
     d = pairs.join(left, "a").join(right, "b")
-    return written(d.where(both >= needed_column(F.size("x") + F.size("y"))).select("a", "b").distinct(), "links")
+    return written(d.where(most >= needed_column(F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "links")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: an upper bound from short hashes first, then the exact intersection."""
+    pairs = written(pairs.distinct(), "pairs")
+    return overlapping(overlapping(pairs, docs, narrow, "short"), docs, wide, "long")
 
 
 def stars_to_least(members: DataFrame) -> DataFrame:
@@ -180,7 +198,7 @@ def boundary(rows: DataFrame, lists: DataFrame) -> int:
 
     rows: (token, id, n); lists: (token, size). At most SMALL rows come to the driver.
     """
-    work = near(rows.where(F.col("n") <= SMALL), lists, "token", "left").groupBy("n").agg(F.sum(F.coalesce("size", F.lit(0))).alias("scan"), F.countDistinct("id").alias("sets")).collect()
+    work = rows.where(F.col("n") <= SMALL).join(lists, "token", "left").groupBy("n").agg(F.sum(F.coalesce("size", F.lit(0))).alias("scan"), F.countDistinct("id").alias("sets")).collect()
     best, x, total = 0, 0, 0
     for r in sorted(work, key=lambda r: r["n"]):
         total += r["sets"] * enumeration_cost(r["n"]) - r["scan"]
@@ -232,15 +250,18 @@ def joined_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     known = components(links).withColumnRenamed("node", "id")
 
     often = profiles.where(F.col("tokens").isNotNull()).select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy("x.tokens").agg(F.sum("x.counts").alias("n"))
-    often = often.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "tokens").limit(FREQUENT).collect()
-    frequent, counts = np.array([r[0] for r in often], dtype=np.int64).view(np.uint64), np.array([r[1] for r in often], dtype=np.int64)
-
-    own = chosen.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    prefixed = written(prefixes(docs, frequent, counts).join(own, "id"), "prefixes")
+    often = often.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "tokens").limit(FREQUENT).toArrow()
+    frequent, counts = often["tokens"].to_numpy().view(np.uint64), often["n"].to_numpy()
+
+    # Only ids that are no node, or lie in a component found already, need a word from this table.
+    idle = nodes.groupBy("id").agg(F.max(F.col("bands").isNotNull()).alias("chosen")).where(~F.col("chosen")).select("id", F.lit(None).cast("long").alias("component"), F.lit(True).alias("idle"))
+    other = written(idle.unionByName(known.where(F.col("component") != F.col("id")).select("id", "component", F.lit(False).alias("idle"))), "other")
+    own = near(prefixes(docs, frequent, counts), other, "id", "left").where(~F.coalesce("idle", F.lit(False)))
+    prefixed = written(own.select("id", F.col("n").cast("int").alias("n"), F.coalesce("component", "id").alias("component"), "prefix", "small"), "prefixes")
     tokens = prefixed.select("id", "n", "component", F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("place") + 1)
     lists = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
     lists = written(lists.where(F.col("low") != F.col("high")).select("token", "size"), "lists")
-    listed = written(near(tokens, lists.select("token"), "token", "left_semi"), "listed")
+    listed = written(tokens.join(lists.select("token"), "token", "left_semi"), "listed")
     x = boundary(listed.select("token", "id", "n"), lists)
     more = verified(small_pairs(prefixed, x).unionByName(scan_pairs(listed, x)), docs)
 
