@@ -140,3 +140,63 @@ def require_rows(df: DataFrame, least: int = MIN_ROWS) -> int:
     if n < least:
         raise ValueError(f"{n} rows; at least {least} are needed")
     return n
+
+
+def walk_forward(df: DataFrame, base: Forecaster, features: list[str], h: int, splits: int) -> DataFrame:
+    """Out-of-fold predictions of one series, all folds pooled: each fold's model sees purged earlier rows only. Folds without training rows are left out."""
+    target = f"target_{h}h"
+    d = with_fold(numbered(df), splits)
+    train = training_rows(d, f"target_timestamp_{h}h", base.lookback_days)
+    parts = []
+    for k in range(1, splits + 1):
+        rows = train.where(F.col("valid_fold") == k)
+        if not rows.isEmpty():
+            parts.append(base.fit_predict(rows.select(*df.columns), d.where(F.col("fold") == k), features, target))
+    if not parts:
+        raise ValueError("no fold has training rows")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("predicted", F.col("close") * F.exp("raw"))
+
+
+@dataclass(frozen=True)
+class CrossFitted:
+    """Selective shrinkage whose quantile and shrinkage come from inner out-of-fold predictions; abstains always where nothing beats persistence."""
+
+    base: Forecaster
+    splits: int = 3
+    name: str = "cross_fitted"
+    lookback_days: int | None = None
+
+    def fit_predict(self, train: DataFrame, rows: DataFrame, features: list[str], target: str) -> DataFrame:
+        d = with_fold(numbered(train), self.splits)
+        oof = None
+        for k in range(1, self.splits + 1):
+            part = self.base.fit_predict(d.where(F.col("fold") < k), d.where(F.col("fold") == k), features, target)
+            oof = part if oof is None else oof.unionByName(part)
+        best = selective_grid(oof, by=("series",), target=target).first()
+        out = self.base.fit_predict(train, rows, features, target)
+        if best is None or best["quantile"] is None:
+            return out.withColumn("raw", F.lit(0.0))
+        fitted = self.base.fit_predict(train, train, features, target)
+        threshold = fitted.agg(F.percentile(F.abs("raw"), F.lit(best["quantile"]))).first()[0]
+        return out.withColumn("raw", selective(F.col("raw"), F.lit(threshold), best["shrinkage"]))
+
+
+def select_champion(df: DataFrame, candidates: list, features: list[str], h: int, splits: int) -> DataFrame:
+    """The dual gate over fitted candidates: walk-forward on the development rows, then one purged fit scored on the holdout.
+
+    One row: selected, the two gates and active, as champion() gives it.
+    """
+    target, reached = f"target_{h}h", f"target_timestamp_{h}h"
+    d = with_holdout(numbered(df)).drop("rn", "n")
+    dev, rest = d.where("development").drop("development"), d.where("not development").drop("development")
+    start = rest.agg(F.min("ts")).first()[0]
+    spark, scores = df.sparkSession, []
+    for at, c in enumerate(candidates):
+        inner = walk_forward(dev, c, features, h, splits).agg(*metrics(f"future_close_{h}h", "predicted", "close")).first()
+        held = c.fit_predict(dev.where(F.col(reached) < F.lit(start)), rest, features, target).withColumn("predicted", F.col("close") * F.exp("raw"))
+        outer = held.agg(*metrics(f"future_close_{h}h", "predicted", "close")).first()
+        scores.append(("all", c.name, at, inner["mae"], inner["improvement_percent"], outer["improvement_percent"]))
+    return champion(spark.createDataFrame(scores, "series string, name string, position int, dev_mae double, dev_improvement double, holdout_improvement double"))

@@ -226,3 +226,15 @@ def test_streaming_bars_and_limits(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "latest" / "0")).first().price == 3.0
+
+
+def test_candidates_pass_the_dual_gate(spark):
+    d = hourly_frame(400)
+    d["signal"] = np.r_[np.diff(np.log(d.close), n=1), 0.0][: len(d)]
+    d["signal"] = d["signal"].rolling(2).sum().shift(-1).fillna(0.0)
+    prepared = asof.with_target(spark.createDataFrame(d), 2).dropna(subset=["target_2h"]).cache()
+    good = evaluation.ridge(0.01, prepared, "target_2h", "ridge")
+    r = evaluation.select_champion(prepared, [good, evaluation.CrossFitted(good)], ["signal"], 2, 2).first()
+    assert r.dev_gate and r.holdout_gate and r.active == r.selected
+    noise = evaluation.select_champion(prepared.withColumn("signal", F.rand(1)), [good], ["signal"], 2, 2).first()
+    assert noise.active == "persistence"
