@@ -95,8 +95,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def chat_digests(rows: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars of linear conversations, read back from the output.
 
-    Null roles and texts are empty. Repeated rows are turns of their own. Rows without a conv_id form one conversation of their own
-    where the key is null only in the joins' inputs: they are left out. Other columns are ignored.
+    Null roles and texts are empty. Repeated rows are turns of their own. Rows without a conv_id belong to no conversation and are
+    left out. Other columns are ignored.
     """
     nodes = written(as_nodes(rows.where(F.col("conv_id").isNotNull())), "chat-nodes")
     d = read_back(format_paths(nodes))
@@ -109,3 +109,14 @@ def chat_digests(rows: DataFrame) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'
+), e AS (SELECT *, length(role || text) + length(regexp_replace(role || text, '[^\\<]', '', 'g')) + 20 AS part FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(part)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""

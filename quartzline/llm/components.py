@@ -12,7 +12,8 @@ def stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation: every node sends its smallest neighbour to its larger (or smaller) neighbours. Edges are (u, v), u > v."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join's two sides are plain shuffles and a hot node can be split.
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
         out = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))

@@ -5,7 +5,8 @@ determinant estimate is found by concentration steps: the share SUPPORT of the g
 gives the next mean and covariance. Rows beyond the chi-squared cutoff are rejected.
 
 All steps are aggregates that combine on the map side (moments and percentile sketches), so a group that holds a third
-of all rows costs no more than its share. The estimates are a table of one row per group, joined by key.
+of all rows costs no more than its share. The estimates are a table of one row per group, which is broadcast to the rows
+up to GROUPS groups and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quartzline.llm.joins import near
 from quartzline.llm.text_stats import with_base_stats
 from quartzline.session import written
 
@@ -26,6 +28,7 @@ LEAST_ROWS = 60
 #: Chi-squared quantiles for five degrees of freedom: the median, and the cutoff at 1 - 1e-6.
 MEDIAN, CUTOFF = 4.3515, 35.888
 ANY = "\u0000any"
+GROUPS = 100_000
 
 
 def base_failed() -> Column:
@@ -87,17 +90,18 @@ def estimates(rows: DataFrame) -> DataFrame:
     """
     both = rows.select(F.explode(F.array("group", F.lit(ANY))).alias("group"), *DIMS)
     start = both.groupBy("group").agg(*[F.percentile_approx(x, F.lit(0.5), F.lit(1000)).alias(f"m{i}") for i, x in enumerate(DIMS)])
-    off = both.join(start, "group").groupBy("group", *[f"m{i}" for i in range(len(DIMS))])
+    start = written(start, "mcd-median")
+    off = near(both, start, "group", limit=GROUPS).groupBy("group", *[f"m{i}" for i in range(len(DIMS))])
     spread = off.agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5), F.lit(1000)).alias(f"s{i}") for i, x in enumerate(DIMS)])
     k = range(len(DIMS))
     flat = {f"c{i}{j}": (F.col(f"s{i}") * F.col(f"s{i}") * 2.2 if i == j else F.lit(0.0)) for i in k for j in k if i <= j}
     model = written(cholesky(spread.withColumns(flat)), "mcd-start")
     for _ in range(STEPS):
-        near = distances(both.join(model, "group")).select("group", *DIMS, "d2")
-        cut = near.groupBy("group").agg(F.percentile_approx("d2", F.lit(SUPPORT), F.lit(1000)).alias("cut"))
-        kept = near.join(cut, "group").where(F.col("d2") <= F.col("cut"))
+        all_near = distances(near(both, model, "group", limit=GROUPS)).select("group", *DIMS, "d2")
+        cut = written(all_near.groupBy("group").agg(F.percentile_approx("d2", F.lit(SUPPORT), F.lit(1000)).alias("cut")), "mcd-cut")
+        kept = near(all_near, cut, "group", limit=GROUPS).where(F.col("d2") <= F.col("cut"))
         model = written(cholesky(kept.groupBy("group").agg(*moments())), "mcd-step")
-    scale = distances(both.join(model, "group")).groupBy("group").agg(F.percentile_approx("d2", F.lit(0.5), F.lit(1000)).alias("half"), F.count("*").alias("rows"))
+    scale = distances(near(both, model, "group", limit=GROUPS)).groupBy("group").agg(F.percentile_approx("d2", F.lit(0.5), F.lit(1000)).alias("half"), F.count("*").alias("rows"))
     return written(model.join(scale, "group").withColumn("scale", F.greatest(F.col("half") / MEDIAN, F.lit(1.0))), "mcd")
 
 
@@ -114,7 +118,7 @@ def quality_verdicts(docs: DataFrame, lang: str = "lang", source: str = "source"
     own = model.where((F.col("rows") >= LEAST_ROWS) & (F.col("group") != ANY)).select("group", F.struct(*cols, "scale").alias("own"))
     whole = model.where(F.col("group") == ANY).first()  # the estimate over all rows
     rest = F.struct(*[F.lit(whole[c] if whole else None).cast("double").alias(c) for c in [*cols, "scale"]])
-    d = rows.join(own, "group", "left").withColumn("__m", F.coalesce("own", rest))
+    d = near(rows, own, "group", "left", limit=GROUPS).withColumn("__m", F.coalesce("own", rest))
     d = distances(d.select("*", *[F.col(f"__m.{c}").alias(c) for c in [*cols, "scale"]]))
     far = F.col("d2") / F.col("scale")
     return d.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", far.alias("distance"), (~F.col("base_failed") & F.coalesce(far <= CUTOFF, F.lit(True))).alias("kept"))

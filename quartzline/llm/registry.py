@@ -68,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_water_filling": mixing.OP4_SQL, "op5_jaccard_join": similarity_join.OP5_SQL}
+    return {"op3_disclosure": pii.OP3_SQL, "op4_water_filling": mixing.OP4_SQL, "op5_jaccard_join": similarity_join.OP5_SQL, "op8_reply_trees": chat_trees.OP8_SQL}

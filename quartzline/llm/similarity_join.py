@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quartzline.llm.arrow import BATCH_ROWS, map_rows
 from quartzline.llm.components import components
+from quartzline.llm.joins import near
 from quartzline.session import written
 
 WORDS = 5
@@ -43,8 +44,6 @@ CHUNK = 2_000_000
 FREQUENT, OFTEN = 100_000, 16
 #: Sets up to this size can be small.
 SMALL = 8
-#: Up to so many ids are broadcast to a scan; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 def needed(total: int) -> int:
@@ -138,11 +137,6 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataF
     return map_rows(docs, one, "id long, n long, prefix array<long>, small array<long>")
 
 
-def near(df: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """A join that broadcasts its right side only where that has few rows."""
-    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
-
-
 def narrow(ident: int, text: str | None) -> list[tuple[int, int, np.ndarray]]:
     """(id, set size, distinct 16-bit hashes of the set's shingles)."""
     h = shingles(text)
@@ -174,7 +168,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def stars_to_least(members: DataFrame) -> DataFrame:
     """members: (key, id). Pairs of every member and the least id of its key."""
-    least = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where(F.col("a") != F.col("z")).select("key", "a")
+    least = written(members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where(F.col("a") != F.col("z")).select("key", "a"), "least")
     return members.join(least, "key").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
 
 
@@ -241,7 +235,8 @@ def joined_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     profiles = written(docs.mapInArrow(profile, "id long, n long, digest binary, bands array<long>, tokens array<long>, counts array<long>"), "profiles")
     rows = profiles.where(F.col("digest").isNotNull()).select("id", "n", "digest", "bands")
     full = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = full.groupBy("digest").agg(F.min("id").alias("node"))
+    # Written, so that the join's two sides are plain shuffles and a hot digest can be split.
+    classes = written(full.groupBy("digest").agg(F.min("id").alias("node")), "classes")
     nodes = written(full.join(classes, "digest").select("id", "n", "node", F.when(F.col("id") == F.col("node"), F.col("bands")).alias("bands")), "nodes")
 
     chosen = nodes.where(F.col("bands").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quartzline.llm.joins import near
 from quartzline.session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,7 +89,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, url: str = "url", keys: tuple[st
     prior = bad / n if n else 0.0
     stats = known.groupBy("suffix").agg(F.count("*").alias("__n"), F.sum("label").alias("__bad"))
     stats = written(stats.select("suffix", ((F.col("__bad") + 20 * prior) / (F.col("__n") + 20)).alias("f_rate"), (F.col("__n") / max(n, 1)).alias("f_share")), "url-suffixes")
-    full = lambda d: d.join(stats, "suffix", "left").fillna({"f_rate": prior, "f_share": 0.0})
+    full = lambda d: near(d, stats, "suffix", "left").fillna({"f_rate": prior, "f_share": 0.0})
     if 0 < bad < n:
         into = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         # Of so many rows by hash order: those under the hash that leaves about TRAIN_ROWS.
