@@ -28,6 +28,8 @@ NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 #: 8-bit samples at 8 kHz, frames of 576 samples (72 ms), up to 8 frames a block and 48 blocks a cluster.
 FRAME, FRAME_MS, PER_BLOCK, PER_CLUSTER, SAMPLE_RATE = 576, 72, 8, 48, 8000
+#: Bytes at the end of the payload that the checksum covers.
+TAIL = 32
 
 
 def vint(value: int) -> bytes:
@@ -152,8 +154,8 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\xff" * (-len(raw) % FRAME or (0 if raw else FRAME))
 
 
-def report(media: bytes) -> tuple[int, str, int, str]:
-    """Of the first track, from the stored bytes: payload bytes, SHA-256, and features."""
+def report(media: bytes) -> tuple[bytes, str, int, str]:
+    """Of the first track, from the stored bytes: payload, SHA-256, checksum of the last TAIL bytes, and features."""
     found, cues = packets(media)
     if len({p[1] for p in found if p[0] == 1}) and not all(int.from_bytes(media[c[2] : c[2] + 4], "big") == CLUSTER for c in cues):
         raise ValueError("a cue points to no cluster")
@@ -162,7 +164,7 @@ def report(media: bytes) -> tuple[int, str, int, str]:
     last = max((p[1] for p in found), default=0)
     loud, cross = (float(np.sqrt(np.mean(x * x))), int(np.count_nonzero(np.diff(np.signbit(x))))) if len(x) else (0.0, 0)
     features = f"packets={len(found)};cues={len(cues)};last_tick={last};mean={float(x.mean()) if len(x) else 0:.3f};rms={loud:.3f};crossings={cross}"
-    return payload, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), features
+    return payload, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), features
 
 
 def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
