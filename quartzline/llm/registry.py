@@ -21,6 +21,11 @@ def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 as the pipeline runs it: terms of whole documents, marked wherever they occur."""
+    return pii.span_digests(table(spark, sf_dir, "documents"), whole=True)
+
+
 def op4_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def queries() -> dict:
         "op1_matroska": op1_matroska,
         "op2_length_buckets": op2_length_buckets,
         "op3_disclosure": op3_disclosure,
+        "op3_whole_documents": op3_whole_documents,
         "op4_water_filling": op4_water_filling,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_main_text": op6_main_text,

@@ -142,6 +142,20 @@ def test_revealing_terms_are_found_and_texts_rewritten(spark):
     assert pii.sanitised(docs).columns == docs.columns
 
 
+def test_revealing_terms_far_away_and_in_other_documents_are_replaced(spark):
+    far = " the" * 60
+    plain = [f"the common words of document {i} are the same" for i in range(300)] + ["the house of Quark alone"]
+    held = [f"me@site1.org{far} Zebulon Quark" for _ in range(2)] + [f"orgé one@site2.org\x01éab{far} Solitary"]
+    docs = docs_frame(spark, plain + held)
+    out = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert [out[i] for i in range(300)] == plain[:300] and "Quark" not in out[300] and out[300].startswith("the house of ")
+    assert all(out[i].startswith("[EMAIL] the the") and not {"Zebulon", "Quark"} & set(out[i].split()) for i in (301, 302))
+    assert out[303].endswith("Solitary")
+    rows = {r.doc_id: r for r in pii.span_digests(docs, whole=True).collect()}
+    assert rows[300].n_email == 0 and len(rows[300].spans.split(",")) == 1 and len(rows[303].spans.split(",")) == 1
+    assert pii.sanitised(docs_frame(spark, [])).count() == 0
+
+
 # op4
 
 
