@@ -48,6 +48,13 @@ def training_rows(df: DataFrame, target_ts: str, lookback_days: int | None = Non
     return d if lookback_days is None else d.where(F.col("ts") >= F.col("start") - F.make_dt_interval(days=F.lit(lookback_days)))
 
 
+def holdout_split(df: DataFrame, target_ts: str) -> tuple[DataFrame, DataFrame]:
+    """(training, holdout) rows by development; training rows whose target reaches into their series' holdout are left out."""
+    rest = df.where(~F.col("development"))
+    start = rest.groupBy("series").agg(F.min("ts").alias("__start"))
+    return df.where("development").join(start, "series").where(F.col(target_ts) < F.col("__start")).drop("__start"), rest
+
+
 def metrics(actual: str, predicted: str, current: str) -> list[Column]:
     """The record of forecast scores as aggregates over one pool of rows, in price space."""
     a, p, c = F.col(actual), F.col(predicted), F.col(current)

@@ -238,3 +238,20 @@ def test_candidates_pass_the_dual_gate(spark):
     assert r.dev_gate and r.holdout_gate and r.active == r.selected
     noise = evaluation.select_champion(prepared.withColumn("signal", F.rand(1)), [good], ["signal"], 2, 2).first()
     assert noise.active == "persistence"
+
+
+def test_boosted_forecast_takes_every_series_and_purges(spark, tmp_path, monkeypatch):
+    from quartzline.plans import market
+
+    events = [(i, t, datetime(2025, 1, 1) + pd.Timedelta(hours=i), 50.0 + i % 7) for t in market.SERIES for i in range(200)]
+    spark.createDataFrame(events, "event_id long, event_type string, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+
+    class Last:
+        def fit_predict(self, train, rows, features, target):
+            seen.append((train.agg(F.max("target_timestamp_24h")).first()[0], rows.agg(F.min("ts")).first()[0]))
+            return rows.withColumn("raw", F.lit(0.0))
+
+    monkeypatch.setattr(evaluation, "boosted", lambda **k: Last())
+    got = {r.series for r in market.q_boosted_forecast(spark, str(tmp_path)).collect()}
+    assert got == set(market.SERIES.values()) and len(seen) == 5 and all(a < b for a, b in seen)
