@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,15 +20,22 @@ TOLERANCE_HOURS = 72
 def backward_asof(left: DataFrame, right: DataFrame, columns: list[str], time_column: str, ts: str = "ts", by: list[str] | None = None) -> DataFrame:
     """left with the columns of right's last row at or before its ts, and that row's ts as time_column.
 
-    Both sides go through one sort by time: no pair of rows is ever compared. Rows of right come first at equal times.
+    Both sides go through one sort by time within each day, and a small table of one row a day carries the last row of earlier
+    days on: no pair of rows is ever compared and no task sorts more than a day of one key. Rows of right come first at equal times.
     """
-    by = by or []
+    keys = [*(by or []), "__day"]
     packed = F.struct(*columns, F.col(ts).alias(time_column))
-    a = left.select(*by, ts, F.struct(*left.columns).alias("__l"), F.lit(1).alias("__side"), F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType).alias("__r"))
-    b = right.select(*by, ts, F.lit(None).cast(a.schema["__l"].dataType).alias("__l"), F.lit(0).alias("__side"), packed.alias("__r"))
-    w = Window.partitionBy(*by).orderBy(ts, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    d = a.unionByName(b).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where(F.col("__side") == 1)
-    return d.select("__l.*", "__r.*")
+    day = F.date_trunc("day", F.col(ts)).alias("__day")
+    a = left.select(*(by or []), ts, day, F.struct(*left.columns).alias("__l"), F.lit(1).alias("__side"), F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType).alias("__r"))
+    b = right.select(*(by or []), ts, day, F.lit(None).cast(a.schema["__l"].dataType).alias("__l"), F.lit(0).alias("__side"), packed.alias("__r"))
+    both = a.unionByName(b)
+    days = both.groupBy(*keys).agg(F.max_by("__r", F.when(F.col("__side") == 0, F.col(ts))).alias("__last"))
+    earlier = Window.partitionBy(*(by or [])).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+    w = Window.partitionBy(*keys).orderBy(ts, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    d = both.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where(F.col("__side") == 1)
+    d = d.join(days, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]), "left")
+    return d.select("__l.*", F.coalesce("__r", "__carried").alias("__r")).select(*left.columns, "__r.*")
 
 
 def elapsed_lag(x: str, hours: int) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quartzline.functions.exprs import micros
@@ -48,40 +50,79 @@ def elapsed_zscore(x: str, hours: int) -> Column:
     return F.when(F.count(x).over(w) < least, None).when(sd == 0, 0.0).otherwise((F.col(x) - F.avg(x).over(w)) / sd)
 
 
-def exponential(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFrame:
-    """Adds exponential means: name -> (column, alpha, least number of values).
+def streamed(df: DataFrame, keys: list[str], order: list[str], start, step, added: T.StructType) -> DataFrame:
+    """Adds columns by a recursion over the rows of each key in order; only one key's state is held, and the sort may spill.
 
-    The recursion y = (1 - a) y + a x runs in time order within a series and lets old weight decay over missing values, so
-    each series is one group; series run in parallel.
+    start() gives a key's state; step(state, row as dict) gives the added values and changes the state.
     """
-    schema = T.StructType([*df.schema.fields, *[T.StructField(k, T.DoubleType()) for k in specs]])
+    schema = T.StructType([*df.schema.fields, *added.fields])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        for name, (x, alpha, least) in specs.items():
-            pdf[name] = pdf[x].astype("float64").ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-        return pdf
+    def run(batches):
+        at, state = None, None
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in keys]
+            inputs = {c: batch.column(c).to_pylist() for c in step.reads}
+            out = []
+            for i in range(batch.num_rows):
+                key = tuple(c[i] for c in columns)
+                if state is None or key != at:
+                    at, state = key, start()
+                out.append(step(state, {c: v[i] for c, v in inputs.items()}))
+            more = [pa.array([r[k] for r in out], type=to_arrow_type(f.dataType)) for k, f in enumerate(added.fields)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *added.names])
 
-    return df.groupBy("series").applyInPandas(one, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
-    """Adds allowed: a request passes while fewer than limit accepted ones lie in the last seconds; rejected ones don't count.
+def exponential(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFrame:
+    """Adds exponential means: name -> (column, alpha, least number of values).
 
-    events: client, us (microseconds). Only the accepted times of one window are held for each client.
+    The recursion y = (1 - a) y + a x runs in time order within a series and lets old weight decay over missing values. Series run
+    in parallel; of each only the last mean, its weight and the number of values are held.
     """
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "id"], kind="stable")
-        held: list[int] = []
+    def step(state: dict, row: dict) -> list:
         out = []
-        for us in pdf["us"]:
-            held = [t for t in held if t > us - seconds * 1_000_000]
-            out.append(len(held) < limit)
-            if out[-1]:
-                held.append(us)
-        return pdf.assign(allowed=out)
+        for name, (x, alpha, least) in specs.items():
+            mean, weight, n = state.get(name, (None, 1.0, 0))
+            v = row[x]
+            v = None if v is None or v != v else float(v)
+            if mean is None:
+                mean = v
+            else:
+                weight *= 1.0 - alpha
+                if v is not None:
+                    mean = mean if mean == v else (weight * mean + alpha * v) / (weight + alpha)
+                    weight = 1.0
+            n += v is not None
+            state[name] = (mean, weight, n)
+            out.append(mean if n >= least else None)
+        return out
+
+    step.reads = sorted({x for x, _, _ in specs.values()})
+    return streamed(df, ["series"], ["ts"], dict, step, T.StructType([T.StructField(k, T.DoubleType()) for k in specs]))
 
-    return events.select("client", "us", "id").groupBy("client").applyInPandas(decide, "client string, us long, id long, allowed boolean")
 
+def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
+    """Adds allowed: a request passes while fewer than limit accepted ones lie in the last seconds; rejected ones don't count.
 
+    events: client, us (microseconds), id. A client's events are split at gaps of a window or more, which no accepted time outlives;
+    of each stretch only the last limit accepted times are held.
+    """
+    window = seconds * 1_000_000
+    w = Window.partitionBy("client").orderBy("us", "id")
+    d = events.select("client", F.col("us").cast("long").alias("us"), "id")
+    d = d.withColumn("__cut", F.coalesce((F.col("us") - F.lag("us").over(w) >= window).cast("long"), F.lit(0)))
+    d = d.withColumn("__stretch", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def step(held: deque, row: dict) -> list:
+        while held and held[0] <= row["us"] - window:
+            held.popleft()
+        allowed = len(held) < limit
+        if allowed:
+            held.append(row["us"])
+        return [allowed]
+
+    step.reads = ["us"]
+    out = streamed(d, ["client", "__stretch"], ["us", "id"], deque, step, T.StructType([T.StructField("allowed", T.BooleanType())]))
+    return out.select(F.col("client").cast("string").alias("client"), "us", F.col("id").cast("long").alias("id"), "allowed")

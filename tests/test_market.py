@@ -255,3 +255,37 @@ def test_boosted_forecast_takes_every_series_and_purges(spark, tmp_path, monkeyp
     monkeypatch.setattr(evaluation, "boosted", lambda **k: Last())
     got = {r.series for r in market.q_boosted_forecast(spark, str(tmp_path)).collect()}
     assert got == set(market.SERIES.values()) and len(seen) == 5 and all(a < b for a, b in seen)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rate_limits_and_exponential_means_stream(spark):
+    rng = np.random.default_rng(3)
+    events = [(c, int(us) * 1_000_000, i) for c, n in (("hot", 600), ("cold", 30)) for i, us in enumerate(np.sort(rng.integers(0, 3_000, n)))]
+    got = windows.rate_limited(spark.createDataFrame(events, "client string, us long, id long"), 3)
+    assert "FlatMapGroups" not in plan_of(got)
+    got, held = {(r.client, r.id): r.allowed for r in got.collect()}, {"hot": [], "cold": []}
+    assert len(got) == 630
+    for c, us, i in events:
+        ok = sum(t > us - 60_000_000 for t in held[c]) < 3
+        held[c] += [us] if ok else []
+        assert got[c, i] == ok
+    x = [None if rng.random() < 0.3 else float(v) for v in rng.normal(size=300)]
+    rows = [(s, datetime(2025, 1, 1) + pd.Timedelta(hours=i), v) for s in "ab" for i, v in enumerate(x)]
+    got = windows.exponential(spark.createDataFrame(rows, "series string, ts timestamp, x double"), {"y": ("x", 0.1, 5), "z": ("x", 0.4, 0)})
+    assert "FlatMapGroups" not in plan_of(got)
+    for s in "ab":
+        part = got.where(F.col("series") == s).orderBy("ts").toPandas()
+        for name, alpha, least in (("y", 0.1, 5), ("z", 0.4, 0)):
+            np.testing.assert_allclose(part[name], pd.Series(x, dtype=float).ewm(alpha=alpha, adjust=False, min_periods=least).mean(), rtol=1e-12)
+
+
+def test_as_of_join_carries_rows_over_days_and_sorts_by_day(spark):
+    day = lambda d, h=0: datetime(2025, 1, d, h)
+    left = spark.createDataFrame([(i, day(d, h)) for i, (d, h) in enumerate([(1, 0), (2, 5), (2, 7), (6, 0), (9, 3)])], "i long, ts timestamp")
+    right = spark.createDataFrame([(10, day(2, 6)), (11, day(2, 7)), (None, day(6, 1))], "v long, ts timestamp")
+    got = asof.backward_asof(left, right, ["v"], "at")
+    assert [(r.i, r.v, r["at"]) for r in got.orderBy("i").collect()] == [(0, None, None), (1, None, None), (2, 11, day(2, 7)), (3, 11, day(2, 7)), (4, None, day(6, 1))]
+    assert "hashpartitioning(__day" in plan_of(got)
