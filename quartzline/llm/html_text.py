@@ -30,22 +30,38 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def is_junk(tag: str, attributes: str, in_article: bool) -> bool:
+#: Grades of an element: kept; marked by a part of a name (with-sidebar) or by a whole one (sidebar), to be weighed; dropped.
+CLEAN, PART, WHOLE, JUNK = range(4)
+
+
+def grade(tag: str, attributes: str, in_article: bool) -> int:
     if tag in DROPPED or tag == "header" and not in_article or tag == "head":
-        return True
+        return JUNK
     if not attributes:
-        return False
+        return CLEAN
     if HIDDEN.search(attributes):
-        return True
-    marks = {w for m in ATTRIBUTE.finditer(attributes) for w in SPLIT.split((m[2] or m[3] or m[4] or "").lower())}
-    return tag not in ("html", "body", "article", "main") and bool(marks & HINTS or not in_article and marks & HEAD_HINTS)
+        return JUNK
+    if tag in ("html", "body", "article", "main"):
+        return CLEAN
+    names = {n for m in ATTRIBUTE.finditer(attributes) for n in (m[2] or m[3] or m[4] or "").lower().split()}
+    hints = HINTS if in_article else HINTS | HEAD_HINTS
+    if not any(w in hints for n in names for w in SPLIT.split(n)):
+        return CLEAN
+    if tag not in BLOCKS:
+        return JUNK
+    return WHOLE if names & hints else PART
 
 
 class Page:
-    """Elements (parent, tag, junk) and blocks (element, text, characters within links), in page order."""
+    """Elements (parent, tag, junk) and blocks (element, text, characters within links), in page order.
+
+    A block element that only its names mark is weighed when the page is read: it is kept where it holds main, or, marked by a part
+    of a name only, an article or most of the page's paragraph text, and the page has no article or main with text outside marked elements.
+    Inside an article a wrapper with over four times the paragraph text of all unmarked elements is kept.
+    """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.junk, self.article = [-1], ["#root"], [False], [False]
+        self.parent, self.tag, self.junk, self.article, self.grade, self.is_main = [-1], ["#root"], [False], [False], [CLEAN], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self.stack, self.pieces, self.links, self.in_link = [0], [], 0, 0
         at = 0
@@ -54,6 +70,42 @@ class Page:
             at = self.markup(source, lt)
         self.say(source[at:])
         self.flush()
+        self.weigh()
+
+    def weigh(self) -> None:
+        """Settles which marked elements are junk, and drops their blocks."""
+        n = len(self.tag)
+        if not any(g in (PART, WHOLE) for g in self.grade):
+            return
+        size, filled = [0] * n, [False] * n
+        for at, text, linked in self.blocks:
+            prose = len(text) - linked if self.tag[at] in PARAGRAPHS or len(text) > 80 else 0
+            while at >= 0:
+                size[at] += prose
+                filled[at] = True
+                at = self.parent[at]
+        core = [self.tag[i] in ("article", "main") or self.is_main[i] for i in range(n)]
+        holds, holds_main, marked, own = [False] * n, [False] * n, [False] * n, size[:]
+        for i in range(1, n):
+            marked[i] = marked[self.parent[i]] or self.grade[i] in (PART, WHOLE)
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            holds[up] |= holds[i] or core[i] and filled[i]
+            holds_main[up] |= holds_main[i] or (self.tag[i] == "main" or self.is_main[i]) and filled[i]
+            # what a marked element inside holds doesn't speak for the one around it
+            own[up] -= size[i] - own[i] if self.grade[i] not in (PART, WHOLE) else size[i]
+        plain = [False] * n
+        for at, _, _ in self.blocks:
+            while at >= 0 and not marked[at] and not plain[at]:
+                plain[at], at = True, self.parent[at]
+        outside = any(core[i] and plain[i] for i in range(n))
+        for i in range(1, n):
+            if self.grade[i] in (PART, WHOLE):
+                part = self.grade[i] == PART and (holds[i] or 2 * own[i] > size[0])
+                body = self.grade[i] == PART and self.article[self.parent[i]] and own[i] > 4 * own[0]  # an article's own wrapper
+                self.junk[i] = not body and (outside or not (holds_main[i] or part))
+            self.junk[i] = self.junk[i] or self.junk[self.parent[i]]
+        self.blocks = [b for b in self.blocks if not self.junk[b[0]]]
 
     def say(self, raw: str) -> None:
         if raw and not self.junk[self.stack[-1]]:
@@ -111,8 +163,10 @@ class Page:
         top = self.stack[-1]
         self.parent.append(top)
         self.tag.append(name)
-        self.article.append(self.article[top] or name in ("article", "main") or 'role="main"' in attributes)
-        self.junk.append(self.junk[top] or is_junk(name, attributes, self.article[top]))
+        self.is_main.append('role="main"' in attributes)
+        self.article.append(self.article[top] or name in ("article", "main") or self.is_main[-1])
+        self.grade.append(grade(name, attributes, self.article[top]))
+        self.junk.append(self.junk[top] or self.grade[-1] == JUNK)
         self.stack.append(len(self.tag) - 1)
         self.in_link += name == "a"
 

@@ -271,6 +271,21 @@ def test_html_keeps_the_article_alone(spark):
 # op7
 
 
+def test_html_keeps_a_wrapper_whose_name_holds_a_hint():
+    prose = "".join(f"<p>Paragraph {i} of the article, with clauses, and enough words to count as prose in the score.</p>" for i in range(4))
+    side = "<div class='sidebar'><p>Side links, and more of them, that nobody reads.</p></div>"
+    for name in ("class='layout with-sidebar'", "class='post no-comments'", "class='content-widget'", "id='search-result'"):
+        for inner in (prose, f"<article>{prose}</article>"):
+            text = html_text.main_text(f"<body><div {name}>{inner}{side}</div><div class='ad'>Buy</div></body>")
+            assert text.count("of the article") == 4 and "Side links" not in text and "Buy" not in text, name
+    text = html_text.main_text(f"<body><div class='sidebar'><main>{prose}</main></div></body>")
+    assert text.count("of the article") == 4
+    text = html_text.main_text(f"<body><article><h1>Title</h1><div class='entry no-comments'>{prose}</div></article></body>")
+    assert text.count("of the article") == 4 and "Title" in text
+    replies = "<div class='comment-list'><article><p>" + "A reply, and a long one, " * 60 + "</p></article></div>"
+    assert "A reply" not in html_text.main_text(f"<body><article>{prose}</article>{replies}</body>")
+
+
 def test_rules_learn_and_never_see_held_out_labels(spark):
     rng = random.Random(3)
     texts = [sentence(rng, rng.randrange(20, 90)) if i % 3 else "### " * rng.randrange(5, 40) + sentence(rng, 20) for i in range(240)] + ["", None]
