@@ -102,6 +102,14 @@ def test_packing_fills_batches_within_the_budget(spark):
     assert packing.pack(docs_frame(spark, [])).count() == 0
 
 
+def test_long_lengths_are_bound_by_lengths_that_occur(spark, monkeypatch):
+    frame = lambda lengths: spark.createDataFrame([(x,) for x in lengths], "length long")
+    assert packing.bucket_bounds(frame([1025] * 9)) == [1025]
+    assert packing.bucket_bounds(frame([1025, 1026, 1030]), 3) == [1025, 1026, 1030]
+    monkeypatch.setattr(packing, "BINS", 2)
+    assert packing.bucket_bounds(frame([7, 1025, 1026, 1030]), 3) == [7, 1030]
+
+
 # op3
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
