@@ -5,33 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzline.session import written
+from quartzline.session import discard, written
 
 
-def stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star operation: every node sends its smallest neighbour to its larger (or smaller) neighbours. Edges are (u, v), u > v."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written, so that the join's two sides are plain shuffles and a hot node can be split.
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
-        out = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        sent = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = sent.unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+def large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every node sends its smallest neighbour, or itself, to its larger neighbours. Edges are (u, v), u > v. Also the table of the smallest."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # Written, so that the join's two sides are plain shuffles and a hot node can be split.
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
+    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
+
+
+def small_star(edges: DataFrame) -> DataFrame:
+    """Every node sends its smallest neighbour to itself and to its smaller neighbours."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    sent = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return sent.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has an edge, component being the smallest node reachable.
 
     Loops and repeated edges don't matter; edges with a null end are left out. A hot node's edges combine on the map side and its join can be split.
+    A round's tables are deleted once the next one is written.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNull() | F.col(b).isNull()).alias("gap"))
     e = written(e.where(~F.col("gap") & (F.col("u") != F.col("v"))).select("u", "v").distinct(), "edges")
     state = None
     while True:
-        e = written(stars(stars(e, large=True), large=False), "stars")
+        sent, least = large_star(e)
+        before, e = e, written(small_star(sent), "stars")
+        discard(before, least)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
