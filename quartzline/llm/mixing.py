@@ -30,15 +30,16 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), source))
 
 
-def draw(key: Column, seed: str = SEED) -> Column:
-    """The seeded hash that orders documents: 32 hex digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+def draw(key: Column, text: Column, seed: str = SEED) -> Column:
+    """The seeded hash that orders documents: 32 hex digits of the key, or of the text where the key is null."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))))
 
 
 def water_fill(sizes: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, budget: float = BUDGET) -> DataFrame:
     """Adds target to (source_key, source_size): one row per source, all targets summing to budget times all sizes.
 
-    The clamped sources are those of the least cap a weight, so one ordered pass finds the level at which the redistribution ends.
+    The clamped sources are those of the least cap a weight, so one ordered pass finds the level at which the redistribution ends. The
+    pass orders the table of sources, one row each, in one task; no document passes through it. Sources of size 0 get target 0.
     """
     by_name = Window.orderBy("source_key")
     d = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1))
@@ -78,47 +79,56 @@ def plan_mix(ids: DataFrame, **options) -> DataFrame:
     edge = sums.groupBy("source_key").agg(F.min(F.struct("bucket", (F.col("cum") - F.col("size")).alias("before"))).alias("edge"))
     edge = written(sources.join(edge, "source_key", "left").select("source_key", "source_size", "target", "whole", "gap", "edge.bucket", "edge.before"), "mix-edges")
     inside = near(ids.withColumn("bucket", bucket), edge.select("source_key", F.col("bucket").alias("edge"), "before", "gap"), n).where(F.col("bucket") == F.col("edge"))
-    running = F.sum("size").over(Window.partitionBy("source_key").orderBy("draw").rangeBetween(Window.unboundedPreceding, 0))
+    inside = inside.groupBy("source_key", "draw", "before", "gap").agg(F.sum("size").alias("size"))  # rows of one draw go together
+    running = F.sum("size").over(Window.partitionBy("source_key").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0))
     last = inside.withColumn("cum", running + F.col("before")).where(F.col("cum") <= F.col("gap")).groupBy("source_key").agg(F.max("draw").alias("last"))
     cuts = written(edge.join(last, "source_key", "left").withColumn("cut", F.coalesce("last", "bucket", F.lit("~"))).drop("last", "bucket", "before"), "mix-cuts")
     got = near(ids, cuts.select("source_key", "cut"), n).groupBy("source_key").agg(F.sum(F.when(F.col("draw") <= F.col("cut"), F.col("size")).otherwise(0)).alias("got"))
     left = cuts.join(got, "source_key").withColumn("left", F.col("gap") - F.col("got"))
     # One more document closes the rest of the gap where that brings the total nearer.
     fit = near(ids, left.select("source_key", "cut", "left"), n).where((F.col("draw") > F.col("cut")) & (F.abs(F.col("size") - F.col("left")) < F.col("left")))
-    fit = fit.groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "draw")).alias("fit"))
+    fit = fit.groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "draw", "left")).alias("fit"))
+    fit = written(fit.select("source_key", "fit"), "mix-fit")
+    # Where its draw stands for several rows, all of them together must bring it nearer.
+    both = near(ids, fit, n).where(F.col("draw") == F.col("fit.draw")).groupBy("source_key").agg(F.sum("size").alias("size"), F.first("fit").alias("fit"))
+    fit = both.where(F.abs(F.col("size") - F.col("fit.left")) < F.col("fit.left"))
     return written(cuts.join(fit, "source_key", "left").select("source_key", "source_size", "target", "whole", "cut", F.col("fit.draw").alias("best")), "mix-plan")
 
 
 def with_copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, **options) -> DataFrame:
-    """Adds size, source_size, target and copies to every row of docs (columns of these names are replaced).
+    """(row, a struct of all columns of docs, size, source_size, target and copies) for every row of docs.
 
-    Size is the number of words; null text has none. Null sources form one source, the last. No source exceeds epochs times its size.
-    Rows that repeat a key are drawn together. Empty input gives empty output. Reruns agree: only the seed and the key decide.
+    Size is the number of words; null text has none. Null sources form one source, the last. No document is taken more than epochs times,
+    rounded up. Rows that repeat a key, and rows without one that repeat a text, are drawn together. Empty input gives empty output.
+    Reruns agree: only the seed and the key decide.
     """
-    d = docs.drop("size", "source_size", "target", "copies").withColumns({"source_key": source_key(F.col(source)), "draw": draw(F.col(key), seed), "size": word_count(F.col(text))})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = docs.select(row, source_key(F.col(source)).alias("source_key"), draw(F.col(key), F.col(text), seed).alias("draw"), word_count(F.col(text)).alias("size"))
     ids = written(d.select("source_key", "size", "draw"), "mix-ids")
     plan = plan_mix(ids, **options)
     d = near(d, plan, plan.count())
     more = (F.col("draw") <= F.col("cut")).cast("long") + F.coalesce((F.col("draw") == F.col("best")).cast("long"), F.lit(0))
-    return d.withColumn("copies", F.col("whole") + more).drop("source_key", "draw", "whole", "cut", "best")
+    most = -(-options.get("epochs", EPOCHS) // 1)  # an empty document fits in anywhere, but no oftener than the others
+    return d.select("row", "size", "source_size", "target", F.least(F.col("whole") + more, F.lit(int(most))).cast("long").alias("copies"))
 
 
 def mix_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (size times copies) of every document."""
     d = with_copies(docs.select("doc_id", "source", "text"))
-    return d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return d.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with its columns."""
-    d = with_copies(docs, key, source, text, **options)
-    return d.where(F.col("copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """The mix itself: every row of docs as often as it is taken, with its columns as they are; see with_copies()."""
+    d = with_copies(docs, key, source, text, **options).where(F.col("copies") > 0)
+    d = d.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return d.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS k, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS h
+    CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS k, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS h
   FROM documents
 ), s AS (
   SELECT k, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS cap, [5, 2, 1][((row_number() OVER (ORDER BY k) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY k
