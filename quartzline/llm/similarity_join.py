@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzline.llm.arrow import BATCH_ROWS, map_rows
+from quartzline.llm.arrow import map_rows, slices
 from quartzline.llm.components import components
 from quartzline.llm.joins import near
-from quartzline.session import written
+from quartzline.session import discard, written
 
 WORDS = 5
 #: Similarity of 75 in 100.
@@ -42,8 +42,10 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in ra
 CHUNK = 2_000_000
 #: The most frequent shingles, at most so many and found at least so often, go last in the order.
 FREQUENT, OFTEN = 100_000, 16
-#: Sets up to this size can be small.
-SMALL = 8
+#: Sets up to this size can be small; a set of 16 has thousands of subsets to enumerate, more than its lists' entries by far.
+SMALL = 16
+#: A document's pairs are dealt to one task for each so many; its set is sent to each of them, which adds less than one set to HOT.
+HOT = 128
 
 
 def needed(total: int) -> int:
@@ -98,7 +100,7 @@ def profile(batches):
         often = counts > 1
         return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), longs([tokens[often]]), longs([counts[often]])], schema=PROFILE)
 
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         n = len(sets)
         digests = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets]
@@ -148,22 +150,36 @@ def wide(ident: int, text: str | None) -> list[tuple[int, int, np.ndarray]]:
     return [(ident, len(h), h.view(np.int64))]
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
+    """pairs with n and held of one end. The pairs of an end that has many are dealt over several tasks by their other end."""
+    hot = pairs.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("deals")).where(F.col("deals") > HOT)
+    hot = written(hot.select("id", F.ceil(F.col("deals") / HOT).cast("int").alias("deals")), "hot-ends")
+    deals = F.coalesce("deals", F.lit(1))
+    dealt = near(pairs.withColumn("id", F.col(end)), hot, "id", "left").select(*pairs.columns, F.pmod(F.xxhash64(other), deals).cast("int").alias("deal"))
+    held = near(sets, hot, "id", "left").select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("held").alias(f"held_{end}"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
+    return dealt.join(held, [end, "deal"]).drop("deal")
+
+
 def overlapping(pairs: DataFrame, docs: DataFrame, function, kind: str) -> DataFrame:
     """The pairs whose hashes overlap enough. Where hashes of one set coincide, each coincidence may hide one common shingle, so the
     lesser number of them is granted: no similar pair is lost, and with 64-bit hashes nothing is granted.
     """
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
     sets = written(map_rows(near(docs, ids, "id", "left_semi"), function, f"id long, n long, held array<{kind}>"), "pair-sets")
-    left, right = (sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("held").alias(f"held_{end}")) for end in "ab")
     most = F.size(F.array_intersect("held_a", "held_b")) + F.least(F.col("n_a") - F.size("held_a"), F.col("n_b") - F.size("held_b"))
-    d = pairs.join(left, "a").join(right, "b")
-    return written(d.where(most >= needed_column(F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "links")
+    d = with_sets(with_sets(pairs, sets, "a", "b"), sets, "b", "a")
+    links = written(d.where(most >= needed_column(F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "links")
+    discard(ids, sets)
+    return links
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar: an upper bound from short hashes first, then the exact intersection."""
     pairs = written(pairs.distinct(), "pairs")
-    return overlapping(overlapping(pairs, docs, narrow, "short"), docs, wide, "long")
+    maybe = overlapping(pairs, docs, narrow, "short")
+    links = overlapping(maybe, docs, wide, "long")
+    discard(pairs, maybe)
+    return links
 
 
 def stars_to_least(members: DataFrame) -> DataFrame:
@@ -172,10 +188,10 @@ def stars_to_least(members: DataFrame) -> DataFrame:
     return members.join(least, "key").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
 
 
-def subset_keys(ident: int, n: int, held: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(key, id, own size, lesser size, greater size): for each size that a small partner can have, the subsets that they must share."""
+def subset_keys(ident: int, n: int, held: list[int], x: int) -> list[tuple[int, int, int, int, int]]:
+    """(key, id, own size, lesser size, greater size): for each size up to x that a partner can have, the subsets that they must share."""
     out = []
-    for m in range(math.ceil(n * NUMERATOR / DENOMINATOR), min(SMALL, n * DENOMINATOR // NUMERATOR) + 1):
+    for m in range(math.ceil(n * NUMERATOR / DENOMINATOR), min(x, n * DENOMINATOR // NUMERATOR) + 1):
         low, high = min(m, n), max(m, n)
         for part in itertools.combinations(sorted(held), needed(n + m)):
             key = xxhash.xxh64_intdigest(np.array([low, high, *part], dtype=np.int64).tobytes())
@@ -187,12 +203,12 @@ def enumeration_cost(n: int) -> int:
     return sum(math.comb(n, needed(n + m)) for m in range(math.ceil(n * NUMERATOR / DENOMINATOR), n * DENOMINATOR // NUMERATOR + 1))
 
 
-def boundary(rows: DataFrame, lists: DataFrame) -> int:
+def boundary(listed: DataFrame) -> int:
     """The size up to which enumerating subsets costs less than scanning lists, by the rows that each makes.
 
-    rows: (token, id, n); lists: (token, size). At most SMALL rows come to the driver.
+    listed: (id, n, size of the list). At most SMALL rows come to the driver.
     """
-    work = rows.where(F.col("n") <= SMALL).join(lists, "token", "left").groupBy("n").agg(F.sum(F.coalesce("size", F.lit(0))).alias("scan"), F.countDistinct("id").alias("sets")).collect()
+    work = listed.where(F.col("n") <= SMALL).groupBy("n").agg(F.sum("size").alias("scan"), F.countDistinct("id").alias("sets")).collect()
     best, x, total = 0, 0, 0
     for r in sorted(work, key=lambda r: r["n"]):
         total += r["sets"] * enumeration_cost(r["n"]) - r["scan"]
@@ -203,7 +219,7 @@ def boundary(rows: DataFrame, lists: DataFrame) -> int:
 
 def small_pairs(prefixed: DataFrame, x: int) -> DataFrame:
     """Pairs of small sets that share a subset. A key's sets of the one size all link with those of the other, so a star from each side's least id holds them together."""
-    keys = map_rows(prefixed.where(F.col("n") <= x).select("id", "n", "small"), subset_keys, "key long, id long, n long, low long, high long")
+    keys = map_rows(prefixed.where(F.col("n") <= x).select("id", "n", "small"), lambda ident, n, held: subset_keys(ident, n, held, x), "key long, id long, n long, low long, high long")
     keys = written(keys, "subsets")
     least = keys.groupBy("key", "low", "high").agg(F.min(F.when(F.col("n") == F.col("low"), F.col("id"))).alias("l"), F.min(F.when(F.col("n") == F.col("high"), F.col("id"))).alias("h"))
     d = keys.join(least, ["key", "low", "high"]).withColumn("a", F.when(F.col("n") == F.col("low"), F.col("h")).otherwise(F.col("l")))
@@ -230,7 +246,6 @@ def joined_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     are one shingle. Rows that repeat a key are one node, linked by any of its texts, and repeat here; rows with a null key take part in no link
     and are their own component, null. Other columns are ignored.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     profiles = written(docs.mapInArrow(profile, "id long, n long, digest binary, bands array<long>, tokens array<long>, counts array<long>"), "profiles")
     rows = profiles.where(F.col("digest").isNotNull()).select("id", "n", "digest", "bands")
@@ -240,8 +255,7 @@ def joined_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     nodes = written(full.join(classes, "digest").select("id", "n", "node", F.when(F.col("id") == F.col("node"), F.col("bands")).alias("bands")), "nodes")
 
     chosen = nodes.where(F.col("bands").isNotNull())
-    near_pairs = stars_to_least(chosen.select(F.explode("bands").alias("key"), "id"))
-    links = verified(near_pairs, docs)
+    links = verified(stars_to_least(chosen.select(F.explode("bands").alias("key"), "id")), docs)
     known = components(links).withColumnRenamed("node", "id")
 
     often = profiles.where(F.col("tokens").isNotNull()).select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy("x.tokens").agg(F.sum("x.counts").alias("n"))
@@ -255,10 +269,10 @@ def joined_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     prefixed = written(own.select("id", F.col("n").cast("int").alias("n"), F.coalesce("component", "id").alias("component"), "prefix", "small"), "prefixes")
     tokens = prefixed.select("id", "n", "component", F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("place") + 1)
     lists = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-    lists = written(lists.where(F.col("low") != F.col("high")).select("token", "size"), "lists")
-    listed = written(tokens.join(lists.select("token"), "token", "left_semi"), "listed")
-    x = boundary(listed.select("token", "id", "n"), lists)
+    listed = written(tokens.join(lists.where(F.col("low") != F.col("high")).select("token", "size"), "token"), "listed")
+    x = boundary(listed)
     more = verified(small_pairs(prefixed, x).unionByName(scan_pairs(listed, x)), docs)
+    discard(other, prefixed, listed)
 
     whole = components(links.unionByName(more)).withColumnRenamed("node", "of")
     member = nodes.select("id", "n", "node").join(whole, F.col("node") == F.col("of"), "left").select("id", "n", F.coalesce("component", "node").alias("component_id"))
