@@ -1,12 +1,17 @@
-"""HTML extraction: paragraphs pass points to their ancestors, link density discounts them, the best container is kept.
+"""HTML extraction: paragraphs pass points to their ancestors, link density discounts them, the best container and its siblings are kept.
 
-Each page is scored on its own, in one pass without a shuffle. The tree is a few parallel lists: an element is an index.
+Each page is scored on its own, in one pass without a shuffle. The tree is a few parallel lists: an element is an index, and a child's is
+greater than its parent's. Every step is linear in the page: elements count their open kind, so that no end tag searches in vain.
+
+Names of class, id and role never drop an element by themselves. They discount the points of what stands in it, and a marked element
+is left out where the best container lies elsewhere.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,228 +20,286 @@ from quartzline.llm.arrow import map_rows
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe noembed xmp".split())
-DROPPED = set("nav footer aside form button select option label fieldset dialog menu svg math canvas object audio video".split())
+DROPPED = set("head nav footer aside button select option label fieldset dialog menu svg canvas object audio video".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = set("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption summary".split())
-#: What an opening tag ends: an open element of the first set, unless one of the second is nearer.
-IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Words of class, id and role that mark what isn't part of an article.
-HINTS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus replies respond sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar widget contentinfo complementary search dialog alert".split())
-#: These mark a page's head, but an article's own title inside one.
-HEAD_HINTS = {"header", "masthead", "banner", "topbar"}
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-SPLIT = re.compile(r"[^a-z0-9]+")
-
-
-#: Grades of an element: kept; marked by a part of a name (with-sidebar) or by a whole one (sidebar), to be weighed; dropped.
-CLEAN, PART, WHOLE, JUNK = range(4)
-
-
-def grade(tag: str, attributes: str, in_article: bool) -> int:
-    if tag in DROPPED or tag == "header" and not in_article or tag == "head":
-        return JUNK
-    if not attributes:
-        return CLEAN
-    if HIDDEN.search(attributes):
-        return JUNK
-    if tag in ("html", "body", "article", "main"):
-        return CLEAN
-    names = {n for m in ATTRIBUTE.finditer(attributes) for n in (m[2] or m[3] or m[4] or "").lower().split()}
-    hints = HINTS if in_article else HINTS | HEAD_HINTS
-    if not any(w in hints for n in names for w in SPLIT.split(n)):
-        return CLEAN
-    if tag not in BLOCKS:
-        return JUNK
-    return WHOLE if names & hints else PART
+#: What an opening tag ends: open elements of the first set, as far up as the first of the second.
+ENDED = (
+    (BLOCKS, {"p"}, {"table", "td", "th", "caption", "article", "section"} | DROPPED),
+    ({"li"}, {"li"}, {"ul", "ol", "menu"}),
+    ({"dt", "dd"}, {"dt", "dd"}, {"dl"}),
+    ({"tr"}, {"tr", "td", "th"}, {"table"}),
+    ({"td", "th"}, {"td", "th"}, {"tr", "table"}),
+)
+# Words of class, id and role. The first are never of an article, the second may be part of its wrapper's name.
+NEVER = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay comment comments disqus replies respond menu nav navbar navigation breadcrumb breadcrumbs footer share sharing newsletter subscribe subscription signup login pagination pager".split())
+SELDOM = set("notice notices sidebar social related recommended toolbar widget contentinfo complementary search dialog alert header masthead banner topbar".split())
+#: In an article these are its own.
+HEADS = {"header", "masthead", "banner", "topbar"}
+#: A hint behind one of these says what an element has, not what it is.
+ABOUT = set("has have no not with without is hide hides show shows enable disable".split())
+#: Of inline elements only these names drop their text.
+INLINE = set("ad ads advert advertisement sponsored share sharing breadcrumb breadcrumbs".split())
+#: What the points in an element so marked count: a word of NEVER, a name that is of SELDOM, and one that only holds it.
+DISCOUNT = (0.02, 0.05, 0.25)
+#: A marked element can hold the best container from so many paragraphs and points on.
+LEAST_PARAGRAPHS, LEAST_POINTS = 2, 6.0
+#: A sibling is kept under this link density; beside an article, and further up, from this share of the best container's points on.
+DENSITY, SHARE = 0.25, 0.2
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*(=)\s*)?")
+UNQUOTED = re.compile(r"[^\s>]*")
+UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+CAMEL, SPLIT = re.compile(r"(?<=[a-z0-9])(?=[A-Z])"), re.compile(r"[^a-z0-9]+")
 
 
-class Page:
-    """Elements (parent, tag, junk) and blocks (element, text, characters within links), in page order.
+def discount(names: str, in_article: bool) -> float:
+    """The least discount that the names of an element give; 1 where none is a hint."""
+    least = 1.0
+    for name in names.split():
+        low, words = name.lower(), SPLIT.split(CAMEL.sub("-", name).lower())
+        if low in SELDOM and not (in_article and low in HEADS):
+            least = min(least, DISCOUNT[1])
+        for word in [low] if low in NEVER else words:
+            if word in ABOUT:
+                break
+            if word in NEVER:
+                least = min(least, DISCOUNT[0])
+            elif word in SELDOM and not (in_article and word in HEADS):
+                least = min(least, DISCOUNT[2])
+    return least
 
-    A block element that only its names mark is weighed when the page is read: it is kept where it holds main, or, marked by a part
-    of a name only, an article or most of the page's paragraph text, and the page has no article or main with text outside marked elements.
-    Inside an article a wrapper with over four times the paragraph text of all unmarked elements is kept.
-    """
+
+class Page:
+    """The elements of a page (parent, tag, mark and what applies in them) and its blocks: (element, text, characters, characters in links)."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.junk, self.article, self.grade, self.is_main = [-1], ["#root"], [False], [False], [CLEAN], [False]
-        self.blocks: list[tuple[int, str, int]] = []
-        self.stack, self.pieces, self.links, self.in_link = [0], [], 0, 0
+        self.parent, self.tag, self.mark = [-1], ["#root"], [1.0]
+        self.junk, self.core, self.block = [False], [False], [0]  # dropped; in an article or main; nearest block element
+        self.blocks: list[tuple[int, str, int, int]] = []
+        self.stack, self.open_bits, self.inline, self.count = [0], [0], [Counter()], Counter()
+        self.pieces: list[str] = []
+        self.linked, self.in_link = 0, 0
+        self.last_quote = {q: source.rfind(q) for q in "\"'"}
         at = 0
         while (lt := source.find("<", at)) >= 0:
             self.say(source[at:lt])
             at = self.markup(source, lt)
         self.say(source[at:])
         self.flush()
-        self.weigh()
-
-    def weigh(self) -> None:
-        """Settles which marked elements are junk, and drops their blocks."""
-        n = len(self.tag)
-        if not any(g in (PART, WHOLE) for g in self.grade):
-            return
-        size, filled = [0] * n, [False] * n
-        for at, text, linked in self.blocks:
-            prose = len(text) - linked if self.tag[at] in PARAGRAPHS or len(text) > 80 else 0
-            while at >= 0:
-                size[at] += prose
-                filled[at] = True
-                at = self.parent[at]
-        core = [self.tag[i] in ("article", "main") or self.is_main[i] for i in range(n)]
-        holds, holds_main, marked, own = [False] * n, [False] * n, [False] * n, size[:]
-        for i in range(1, n):
-            marked[i] = marked[self.parent[i]] or self.grade[i] in (PART, WHOLE)
-        for i in range(n - 1, 0, -1):
-            up = self.parent[i]
-            holds[up] |= holds[i] or core[i] and filled[i]
-            holds_main[up] |= holds_main[i] or (self.tag[i] == "main" or self.is_main[i]) and filled[i]
-            # what a marked element inside holds doesn't speak for the one around it
-            own[up] -= size[i] - own[i] if self.grade[i] not in (PART, WHOLE) else size[i]
-        plain = [False] * n
-        for at, _, _ in self.blocks:
-            while at >= 0 and not marked[at] and not plain[at]:
-                plain[at], at = True, self.parent[at]
-        outside = any(core[i] and plain[i] for i in range(n))
-        for i in range(1, n):
-            if self.grade[i] in (PART, WHOLE):
-                part = self.grade[i] == PART and (holds[i] or 2 * own[i] > size[0])
-                body = self.grade[i] == PART and self.article[self.parent[i]] and own[i] > 4 * own[0]  # an article's own wrapper
-                self.junk[i] = not body and (outside or not (holds_main[i] or part))
-            self.junk[i] = self.junk[i] or self.junk[self.parent[i]]
-        self.blocks = [b for b in self.blocks if not self.junk[b[0]]]
 
     def say(self, raw: str) -> None:
         if raw and not self.junk[self.stack[-1]]:
-            self.pieces.append(raw)
+            text = html.unescape(raw)
+            self.pieces.append(text)
             if self.in_link:
-                self.links += len(raw)
+                self.linked += sum(map(len, text.split()))
 
     def flush(self) -> None:
         if self.pieces:
-            text = " ".join(html.unescape("".join(self.pieces)).split())
-            if text:
-                at = self.stack[-1]
-                while self.tag[at] not in BLOCKS and self.parent[at] > 0:
-                    at = self.parent[at]
-                self.blocks.append((at, text, min(self.links, len(text))))
-        self.pieces, self.links = [], 0
+            words = "".join(self.pieces).split()
+            if words:
+                self.blocks.append((self.block[self.stack[-1]], " ".join(words), sum(map(len, words)), self.linked))
+            self.pieces, self.linked = [], 0
 
     def markup(self, source: str, lt: int) -> int:
         """Takes what begins at <; the position behind it."""
         if source.startswith("<!--", lt):
-            end = source.find("-->", lt + 4)
+            end = source.find("-->", lt + 2)
             return len(source) if end < 0 else end + 3
-        nxt = source[lt + 1 : lt + 2]
-        if nxt in ("!", "?"):
+        m = NAME.match(source, lt + 1)
+        if m is None:
+            if source[lt + 1 : lt + 2] not in ("!", "?", "/"):
+                self.say("<")
+                return lt + 1
             end = source.find(">", lt)
             return len(source) if end < 0 else end + 1
-        if m := TAG.match(source, lt):
-            name, end, attributes = m[2].lower(), m.end(), m[3]
-        elif nxt.isalpha() or nxt == "/" and source[lt + 2 : lt + 3].isalpha():  # not ended, or with an open quote
-            end = source.find(">", lt)
-            if end < 0:
-                return len(source)
-            name, attributes, end = re.match(r"</?([a-zA-Z][^\s/>]*)", source[lt:end])[1].lower(), "", end + 1
-        else:
-            self.say("<")
-            return lt + 1
-        if nxt == "/":
+        name = m[1].lower()
+        attributes, end = self.attributes(source, m.end())
+        if end < 0:
+            return len(source)
+        if source[lt + 1] == "/":
             self.close(name)
-            return end
-        if name in RAW:
-            shut = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(source, end)
+        elif name in RAW:
+            shut = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, end)
             return len(source) if not shut else shut.end()
-        if name == "br":
+        elif name == "br":
             self.say(" ")
-        elif name in BLOCKS or name not in VOID:
+        elif name in VOID:
+            if name in BLOCKS:
+                self.flush()
+        else:
             self.open(name, attributes)
         return end
 
-    def open(self, name: str, attributes: str) -> None:
+    def attributes(self, source: str, at: int) -> tuple[dict[str, str], int]:
+        """The attributes from at on, the first of a name counting, and the position behind the tag, -1 where it doesn't end."""
+        found: dict[str, str] = {}
+        while True:
+            m = ATTRIBUTE.match(source, at)
+            if m is None:
+                end = source.find(">", at)  # white space and slashes alone are left before it
+                return found, end + 1 if end >= 0 else -1
+            at, value = m.end(), ""
+            if m[2]:
+                quote = source[at : at + 1]
+                if quote in ("'", '"') and self.last_quote[quote] > at:
+                    end = source.find(quote, at + 1)
+                    value, at = source[at + 1 : end], end + 1
+                else:
+                    u = UNQUOTED.match(source, at)
+                    value, at = u[0], u.end()
+            found.setdefault(m[1].lower(), value)
+
+    def open(self, name: str, attributes: dict[str, str]) -> None:
         if name in BLOCKS:
             self.flush()
-            self.end_implied({"p"}, {"table", "article", "section"} | DROPPED)
-            if name in IMPLIED:
-                self.end_implied(*IMPLIED[name])
+        for bit, (tags, _, _) in enumerate(ENDED):
+            if name in tags:
+                self.end_implied(bit)
         top = self.stack[-1]
+        core = name in ("article", "main") or attributes.get("role", "").lower() == "main"
+        names = " ".join(attributes[a] for a in ("class", "id", "role") if a in attributes)
+        shown = "hidden" not in attributes and attributes.get("aria-hidden", "").lower() != "true" and not UNSHOWN.search(attributes.get("style", ""))
+        junk = self.junk[top] or not shown or name in DROPPED or name == "header" and not self.core[top]
+        mark = 1.0
+        if name == "form":
+            mark = DISCOUNT[0]
+        elif names and name in BLOCKS and not core and name not in ("html", "body"):
+            mark = discount(html.unescape(names), self.core[top])
+        elif names and name not in BLOCKS:
+            junk = junk or not INLINE.isdisjoint(names.lower().split())
         self.parent.append(top)
         self.tag.append(name)
-        self.is_main.append('role="main"' in attributes)
-        self.article.append(self.article[top] or name in ("article", "main") or self.is_main[-1])
-        self.grade.append(grade(name, attributes, self.article[top]))
-        self.junk.append(self.junk[top] or self.grade[-1] == JUNK)
-        self.stack.append(len(self.tag) - 1)
+        self.mark.append(mark)
+        self.core.append(self.core[top] or core)
+        self.junk.append(junk)
+        at = len(self.tag) - 1
+        self.block.append(at if name in BLOCKS else self.block[top])
+        bits = self.open_bits[-1]
+        for bit, (_, ended, fence) in enumerate(ENDED):
+            bits = bits | 1 << bit if name in ended else bits & ~(1 << bit) if name in fence else bits
+        self.stack.append(at)
+        self.open_bits.append(bits)
+        self.count[name] += 1
+        if name in BLOCKS:
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][name] += 1
         self.in_link += name == "a"
 
-    def end_implied(self, ended: set[str], fence: set[str]) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            tag = self.tag[self.stack[k]]
-            if tag in ended:
-                self.pop_to(k)
-                return
-            if tag in fence:
-                return
+    def end_implied(self, bit: int) -> None:
+        """Ends the outermost open element of a kind before its fence; the bits say whether one is left."""
+        while self.open_bits[-1] >> bit & 1:
+            k = len(self.stack) - 1
+            while self.tag[self.stack[k]] not in ENDED[bit][1]:
+                k -= 1
+            self.pop_to(k)
 
     def pop_to(self, k: int) -> None:
-        self.in_link -= sum(self.tag[i] == "a" for i in self.stack[k:])
-        del self.stack[k:]
+        while len(self.stack) > k:
+            name = self.tag[self.stack.pop()]
+            self.open_bits.pop()
+            self.count[name] -= 1
+            if name in BLOCKS:
+                self.inline.pop()
+            else:
+                self.inline[-1][name] -= 1
+            self.in_link -= name == "a"
 
     def close(self, name: str) -> None:
         if name in BLOCKS:
             self.flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[k]] == name:
-                self.pop_to(k)
-                return
-            if name not in BLOCKS and self.tag[self.stack[k]] in BLOCKS:  # a stray inline end tag ends no block
-                return
+        if not self.count[name] or name not in BLOCKS and not self.inline[-1][name]:  # a stray inline end tag ends no block
+            return
+        k = len(self.stack) - 1
+        while self.tag[self.stack[k]] != name:
+            k -= 1
+        self.pop_to(k)
+
+
+def score(page: Page, at: int, text: str) -> float:
+    """A block's points: one for being a paragraph or long, one a comma, and up to three by length."""
+    return (page.tag[at] in PARAGRAPHS or len(text) > 80) + text.count(",") + min(len(text) / 100, 3.0)
+
+
+def best_container(page: Page, length: list[int], density: list[float], total: list[float], paragraphs: list[int]) -> int:
+    """The element of the most points, -1 for none. Points go in full to a paragraph's parent and by half to the next, but leave no marked element."""
+    n, parent = len(page.tag), page.parent
+    weight, points, filled = page.mark[:], [0.0] * n, page.core[:]
+    for i in range(1, n):
+        weight[i] *= weight[parent[i]]
+    for i in range(n - 1, 0, -1):
+        filled[parent[i]] |= filled[i] and length[i] > 0
+    for at, text, _, _ in page.blocks:
+        owner = parent[at] if page.tag[at] in PARAGRAPHS and parent[at] >= 0 and page.mark[at] == 1 else at
+        worth = score(page, at, text) * weight[at]
+        points[owner] += worth
+        if parent[owner] >= 0 and page.mark[owner] == 1:
+            points[parent[owner]] += worth / 2
+    best, most = -1, -1.0
+    for i in range(n):
+        may = weight[i] == 1 or filled[i] or paragraphs[i] >= LEAST_PARAGRAPHS and total[i] >= LEAST_POINTS
+        if length[i] and may and points[i] * (1 - density[i]) > most:
+            best, most = i, points[i] * (1 - density[i])
+    return best
 
 
 def main_text(source: str | None) -> str:
     page = Page(source or "")
-    if not page.blocks:
+    n, parent, tag = len(page.tag), page.parent, page.tag
+    length, linked, total, paragraphs = [0] * n, [0] * n, [0.0] * n, [0] * n
+    for at, text, size, inside in page.blocks:
+        length[at] += size
+        linked[at] += inside
+        total[at] += score(page, at, text)
+        paragraphs[at] += tag[at] in PARAGRAPHS or len(text) > 80
+    for i in range(n - 1, 0, -1):
+        for sums in (length, linked, total, paragraphs):
+            sums[parent[i]] += sums[i]
+    density = [k / m if m else 0.0 for k, m in zip(linked, length, strict=True)]
+    best = best_container(page, length, density, total, paragraphs)
+    if best < 0:
         return ""
-    n, parent = len(page.tag), page.parent
-    points, length, links = [0.0] * n, [0] * n, [0] * n
-    for at, text, linked in page.blocks:
-        up = at
-        while up >= 0:
-            length[up] += len(text)
-            links[up] += linked
-            up = parent[up]
-        score = 1 + text.count(",") + min(len(text) / 100, 3)
-        owner = parent[at] if page.tag[at] in PARAGRAPHS and parent[at] >= 0 else at
-        points[owner] += score
-        if parent[owner] >= 0:
-            points[parent[owner]] += score / 2
-    density = [k / m if m else 0.0 for k, m in zip(links, length, strict=True)]
-    points = [p * (1 - d) for p, d in zip(points, density, strict=True)]
-    best = max(range(n), key=lambda i: (points[i], -i))
+    holds, up = [False] * n, best  # the elements around the best container, which their marks don't drop
+    while up >= 0:
+        holds[up], up = True, parent[up]
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = out[parent[i]] or page.mark[i] < 1 and not holds[i]
     up = best
-    while up > 0:  # an article's parts belong together
-        if page.tag[up] in ("article", "main"):
+    while page.core[best] and up > 0:  # an article's parts belong together
+        if tag[up] in ("article", "main") or not page.core[parent[up]]:
             best = up
             break
         up = parent[up]
-    kept = {best}
+    kept = [False] * n
+    kept[best] = True
+    level: dict[int, int] = {}  # parents of the best container and of those around it, up to the page's body, and their distance
+    up = best
+    while up > 0 and tag[up] not in ("body", "html"):
+        level[parent[up]] = len(level)
+        up = parent[up]
+        if page.core[best]:
+            break
     for i in range(1, n):
-        if i != best and parent[i] == parent[best] and length[i] and best:
-            heading = page.tag[i] in ("h1", "h2") and density[i] == 0
-            prose = page.tag[i] in PARAGRAPHS and density[i] < 0.25 and (length[i] > 80 or density[i] == 0)
-            if points[i] >= max(10, 0.2 * points[best]) or heading or prose:
-                kept.add(i)
-    inside = [False] * n
-    for i in range(n):
-        inside[i] = i in kept or i > 0 and inside[parent[i]]
-    return "\n\n".join(text for at, text, _ in page.blocks if inside[at])
+        d = level.get(parent[i], -1)
+        if d < 0 or holds[i] or not length[i]:
+            continue
+        least = max(1.0, SHARE * total[best]) if d or page.core[best] else 1.0
+        heading = tag[i] in ("h1", "h2") and density[i] == 0
+        prose = not d and tag[i] in PARAGRAPHS and density[i] < DENSITY and (length[i] > 80 or density[i] == 0)
+        kept[i] = heading or prose or paragraphs[i] > 0 and density[i] < DENSITY and total[i] * (1 - density[i]) >= least
+    for i in range(1, n):
+        kept[i] = (kept[i] or kept[parent[i]]) and not out[i]
+    return "\n\n".join(text for at, text, _, _ in page.blocks if kept[at])
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """(key, url, text, n_chars): the main text of every page; empty for null or empty html and for pages without text.
 
-    Repeated rows repeat; other columns are ignored.
+    Repeated rows repeat; other columns are ignored; an empty table gives an empty result. Broken markup is read as far as it goes: an open
+    comment, tag or script hides what follows it. Pages of any length are read whole, in time linear in the page.
     """
 
     def one(ident, address, raw):
