@@ -27,8 +27,8 @@ FOLDS, HELD_OUT = 3, 1
 
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the statistics STATS (double); all zero for null and empty texts."""
-    d = with_base_stats(docs, text)
+    """(row, a struct of all columns of docs, and the statistics STATS, double); all zero for null and empty texts."""
+    d = with_base_stats(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("__text")), "__text")
     t, w = F.col("__t"), F.col("__words")
     n, chars = F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     count = lambda c: F.length(t) - F.length(F.translate(t, c, ""))
@@ -46,7 +46,7 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
             "s_line": F.log1p(F.col("n_words") / F.greatest(F.size("__lines"), F.lit(1))),
             "s_bars": count("|") / n,
         }
-    ).drop("__t", "__words", "__lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    ).select("row", *STATS)
 
 
 @dataclass
@@ -84,8 +84,11 @@ def paths_of(tree: str, names: tuple[str, ...]) -> list[tuple[tuple[str, bool, f
 
 
 def fit(train: DataFrame) -> RuleEnsemble:
-    """train: STATS and label (0 or 1). With one label only, or no rows, the ensemble is the constant share of label 1 (0.5 for none)."""
-    train = written(train.select(*STATS, F.col("label").cast("double")), "rules-train")
+    """train: STATS and label (0 or 1; null labels are left out). Other columns are ignored, repeated rows count as often.
+
+    With one label only, the ensemble is a constant beside it; with no rows, 0.5.
+    """
+    train = written(train.where(F.col("label").isNotNull()).select(*STATS, F.col("label").cast("double")), "rules-train")
     n, good = train.agg(F.count("*"), F.sum("label")).first()
     if not n or good in (0, n):
         return RuleEnsemble(intercept=0.0 if not n else 4.0 if good else -4.0)
@@ -105,19 +108,31 @@ def remainder(key: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> RuleEnsemble:
-    """From the labelled rows outside the held-out fold. Conflicting labels of a document count by majority, ties as 1."""
-    known = labels.where(remainder(F.col(key)) != HELD_OUT).groupBy(key).agg((F.avg(label) >= 0.5).cast("double").alias("label"))
+    """From the labelled rows outside the held-out fold. Conflicting labels of a document count by majority, ties as 1.
+
+    Rows with a null key or label are left out. Rows of docs that repeat a labelled key train as often. Other columns are ignored.
+    """
+    known = labels.where((remainder(F.col(key)) != HELD_OUT) & F.col(label).isNotNull()).groupBy(key).agg((F.avg(label) >= 0.5).cast("double").alias("label"))
     n = known.count()
     if n > TRAIN_ROWS:
         known = known.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / n))
     # TRAIN_ROWS bounds the broadcast.
-    return fit(with_stats(docs.select(key, text).join(F.broadcast(known), key), text))
+    train = with_stats(docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(known), key))
+    return fit(train.select(*STATS, "row.label"))
 
 
 def scored(docs: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 likelier). Null text counts as empty; columns named like the statistics are replaced."""
-    kept = [c for c in docs.columns if c != "score"]
-    return with_stats(docs, text).select(*kept, model.score().alias("score"))
+    """docs with score (0 to 1, higher: label 1 likelier). Null text counts as empty; a column score is replaced, all others stay as they are."""
+    kept = [c for c in docs.columns if c.lower() != "score"]
+    return with_stats(docs, text).select(*[F.col("row").getField(c).alias(c) for c in kept], model.score().alias("score"))
+
+
+def accepted(docs: DataFrame, model: RuleEnsemble, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs that score least or more, with their columns as they are, a column score included."""
+    d = with_stats(docs, text).select("row", model.score().alias("score"))
+    # A filter would be pushed below the statistics and repeat each of them for every rule that names it; a generator stays where it is.
+    d = d.select("row", F.explode(F.when(F.col("score") >= least, F.array(F.lit(True)))))
+    return d.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
