@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quartzline.session import written
+from quartzline.session import discard, written
 
 #: Marks of the template: role, text and end of a turn. Inside roles and texts no raw < remains, so no mark can occur there.
 ROLE, TEXT, END = "<turn>", "<text>", "</turn>\n"
@@ -34,37 +34,51 @@ def as_nodes(rows: DataFrame, tree: str = "conv_id", turn: str = "turn", role: s
     return d.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def distinct_nodes(nodes: DataFrame) -> DataFrame:
+    """One row for each (tree, node): of repeated rows the one of the smallest parent, score, role and text."""
+    rest = [c for c in ("parent", "score", "role", "text") if c in nodes.columns]
+    return nodes.groupBy("tree", "node").agg(F.min(F.struct(*rest)).alias("row")).select("tree", "node", "row.*")
+
+
 def best_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """(tree, leaf, rank, node, up): the nodes of the keep best root-to-leaf paths of each tree, up being the steps to the leaf.
 
-    nodes: (tree, node, parent, score), written before. A path's score is the mean of its nodes' scores; ties go to the longer
-    path, then to the smaller leaf. A node whose parent is missing is a root. Nodes on a cycle reach no leaf and are left out.
+    nodes: (tree, node, parent, score), written before; of rows that repeat a node the one of the smallest parent and score counts. A path's
+    score is the mean of its nodes' scores, null as 0; ties go to the longer path, then to the smaller leaf. A node whose parent
+    is missing is a root. Nodes on a cycle, and below one, reach no root and are left out; a node that is its own parent is such a cycle.
     """
-    ids = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    ids = nodes.groupBy("tree", "node").agg(F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("row")).select("tree", "node", "row.*")
+    ids = written(ids, "path-ids")
     inner = ids.where(F.col("parent").isNotNull()).select("tree", F.col("parent").alias("node")).distinct()
     reach = written(ids.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
     there = ids.select("tree", F.col("node").alias("parent"))
     jump = written(ids.where(F.col("parent").isNotNull()).join(there, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("far")), "jumps")
+    most = ids.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     step = 1
-    while not jump.isEmpty():
+    while step < most and not jump.isEmpty():  # no path has more nodes than its tree
         further = reach.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("far").alias("node"), (F.col("up") + step).alias("up"))
-        reach = written(reach.unionByName(further), "paths")
         onward = jump.select("tree", F.col("node").alias("from"), F.col("far").alias("node"))
+        before = reach, jump
+        reach = written(reach.unionByName(further), "paths")
         jump = written(onward.join(jump, ["tree", "node"]).select("tree", F.col("from").alias("node"), "far"), "jumps")
+        discard(*before)
         step *= 2
-        if step > 1 << 40:
-            raise ValueError("the reply tree holds a cycle")
+    if not jump.isEmpty():  # what can still go up goes round in a cycle
+        reach = reach.join(jump.select("tree", F.col("node").alias("leaf")).distinct(), ["tree", "leaf"], "left_anti")
     ranked = reach.join(ids.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("path_score"), F.count("*").alias("depth"))
     w = Window.partitionBy("tree").orderBy(F.desc("path_score"), F.desc("depth"), F.asc("leaf"))
     best = ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("tree", "leaf", "rank")
     return reach.join(best, ["tree", "leaf"]).select("tree", "leaf", "rank", "node", "up")
 
 
-def format_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
+def format_paths(nodes: DataFrame, keep: int = 1, distinct: bool = False) -> DataFrame:
     """(tree, rank, formatted, loss_spans): one conversation per chosen path.
 
-    loss_spans: the (start, end) code points of the assistant's escaped texts within formatted.
+    loss_spans: the (start, end) code points of the assistant's escaped texts within formatted. distinct: whether no node repeats; repeated
+    ones are reduced by distinct_nodes() otherwise.
     """
+    if not distinct:
+        nodes = written(distinct_nodes(nodes), "path-nodes")
     paths = best_paths(nodes, keep)
     turn = F.concat(F.lit(ROLE), escape(F.col("role")), F.lit(TEXT), escape(F.col("text")), F.lit(END))
     parts = paths.join(nodes.select("tree", "node", "role", turn.alias("part"), F.length(escape(F.col("role"))).alias("r")), ["tree", "node"])
@@ -99,7 +113,7 @@ def chat_digests(rows: DataFrame) -> DataFrame:
     left out. Other columns are ignored.
     """
     nodes = written(as_nodes(rows.where(F.col("conv_id").isNotNull())), "chat-nodes")
-    d = read_back(format_paths(nodes))
+    d = read_back(format_paths(nodes, distinct=True))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return d.select(
         F.col("tree").alias("conv_id"),
