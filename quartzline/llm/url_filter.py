@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzline.llm.joins import near
+from quartzline.llm.text_stats import SPACES, word_count
 from quartzline.session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,6 +18,8 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 FEATURES = ("f_length", "f_host", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_fragment", "f_extension", "f_https", "f_rate", "f_share")
 #: At most so many labelled URLs, by hash order, train the trees.
 TRAIN_ROWS = 50_000
+#: Suffix statistics of a URL leave out its own one of so many folds.
+FOLDS = 5
 
 
 def host_of(url: Column) -> Column:
@@ -68,35 +71,98 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, url: str = "url", keys: tuple[str, ...] = ("page_id",), labelled: DataFrame | None = None) -> DataFrame:
+def page_label(source: Column) -> Column:
+    """1 where a page's text, without tags, scripts and styles, is under 50 words or over 5% symbols: what a blocked page looks like; 0 else.
+
+    Both patterns are linear: what one has passed it never reads again.
+    """
+    text = F.regexp_replace(F.coalesce(source, F.lit("")), r"(?i)<(?:script|style)[^<]*+(?:<(?!/(?:script|style))[^<]*+)*+", " ")
+    text = F.regexp_replace(text, r"<[^<>]*+>?", " ")
+    chars = F.length(F.translate(text, SPACES, ""))
+    symbols = F.length(text) - F.length(F.translate(text, "#*$%|", ""))
+    return F.when((word_count(text) < 50) | (20 * symbols > chars), 1.0).otherwise(0.0)
+
+
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(url, F.lit("")), F.lit("suffix")), F.lit(FOLDS)).cast("int")
+
+
+def suffix_statistics(known: DataFrame) -> tuple[DataFrame, float]:
+    """(suffix, n, bad: arrays of the labelled URLs and of those labelled 1 in each fold), and the share of label 1 among all."""
+    by = [F.col("fold") == k for k in range(FOLDS)]
+    n = F.array(*[F.count_if(f) for f in by]).alias("n")
+    stats = written(known.groupBy("suffix").agg(n, F.array(*[F.sum(F.when(f, F.col("label")).otherwise(0.0)) for f in by]).alias("bad")), "url-suffixes")
+    total = lambda c, zero: F.sum(F.aggregate(c, zero, lambda a, x: a + x))
+    rows, bad = stats.agg(total("n", F.lit(0).cast("long")), total("bad", F.lit(0.0))).first()
+    return stats, bad / rows if rows else 0.0
+
+
+def with_suffix_features(rows: DataFrame, stats: DataFrame, prior: float) -> DataFrame:
+    """Adds f_rate, the smoothed share of label 1 among the URLs of one suffix, and f_share, what part of all URLs they are.
+
+    Both leave out the URLs of the row's own fold, so that no URL meets its own label in them.
+    """
+    both = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double")) - F.element_at(c, F.col("fold") + 1)
+    d = near(rows, stats, "suffix", "left")
+    d = d.withColumns({"__n": F.coalesce(both(F.col("n")), F.lit(0.0)), "__bad": F.coalesce(both(F.col("bad")), F.lit(0.0))})
+    all_rows = stats.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 1
+    return d.withColumns({"f_rate": (F.col("__bad") + 20 * prior) / (F.col("__n") + 20), "f_share": F.col("__n") / all_rows}).drop("n", "bad", "__n", "__bad")
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+
+
+def fitted(known: DataFrame, stats: DataFrame, prior: float):
+    """Boosted trees over the features of labelled URLs, of which TRAIN_ROWS by hash take part; None where all labels are one."""
+    n, bad = known.agg(F.count("*"), F.sum("label")).first()
+    if not 0 < (bad or 0.0) < n:
+        return None
+    train = known if n <= TRAIN_ROWS else known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / n))
+    train = assembled(with_suffix_features(train, stats, prior).select(*FEATURES, "label")).select("features", "label")
+    return GBTClassifier(maxIter=12, maxDepth=4, maxBins=32, stepSize=0.2, seed=7).fit(train)
+
+
+def with_score(rows: DataFrame, trees, stats: DataFrame, prior: float) -> DataFrame:
+    """Adds score, the probability of label 1."""
+    if trees is None:
+        return rows.withColumn("score", F.lit(prior))
+    return trees.transform(assembled(with_suffix_features(rows, stats, prior))).withColumn("score", vector_to_array("probability")[1])
+
+
+def features_of(rows: DataFrame) -> DataFrame:
+    """Adds host, path and the lexical features to rows with url."""
+    return lexical(rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})).withColumn("fold", fold(F.col("url")))
+
+
+def url_verdicts(pages: DataFrame, rules=RULES, url: str = "url", keys: tuple[str, ...] = ("page_id",), labelled: DataFrame | None = None, source: str = "html") -> DataFrame:
     """The keys, host, path, rule, verdict (allow or block) and score (probability of block), one row per input row.
 
-    labelled: (url, label 0 or 1) rows that train the trees; by default the URLs that a rule decides, block being 1.
-    Suffix statistics are the smoothed share of blocked URLs and the share of labelled URLs of each pair of top-level domain
-    and first short path segment. Null or malformed URLs have empty host and path and are scored like any other.
-    Without labels of both kinds the labels' majority, or allow, decides. Repeated rows give repeated results; other columns are ignored.
+    labelled: (url, label 0 or 1) rows that train the trees, 1 being block; null labels are left out. By default the pages themselves are
+    labelled by page_label() of their source column; without that column there are no labels. The rules' verdicts train nothing. Suffix
+    statistics are over all labelled URLs, by pair of top-level domain and first short path segment. Null or malformed URLs have empty host and
+    path and are scored like any other. Without labels of both kinds the labels' majority, or allow, decides. Repeated rows give
+    repeated results; other columns are ignored; an empty table gives an empty result.
     """
-    base = pages.select(*keys, F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    own = labelled is None and source in pages.columns
+    label = page_label(F.col(source)) if own else F.lit(None).cast("double")
+    rows = features_of(pages.select(*keys, F.col(url).alias("url"), label.alias("label")))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = written(lexical(base.withColumns({"rule": name, "said": verdict})), "urls")
-    if labelled is None:
-        known = rows.where(F.col("said").isNotNull()).withColumn("label", (F.col("said") == "block").cast("double"))
-    else:
-        new = labelled.select(F.col("url"), F.col("label").cast("double"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-        known = written(lexical(new), "urls-labelled")
-    total = known.agg(F.count("*").alias("n"), F.sum("label").alias("bad")).first()
-    n, bad = total["n"], total["bad"] or 0.0
-    prior = bad / n if n else 0.0
-    stats = known.groupBy("suffix").agg(F.count("*").alias("__n"), F.sum("label").alias("__bad"))
-    stats = written(stats.select("suffix", ((F.col("__bad") + 20 * prior) / (F.col("__n") + 20)).alias("f_rate"), (F.col("__n") / max(n, 1)).alias("f_share")), "url-suffixes")
-    full = lambda d: near(d, stats, "suffix", "left").fillna({"f_rate": prior, "f_share": 0.0})
-    if 0 < bad < n:
-        into = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        # Of so many rows by hash order: those under the hash that leaves about TRAIN_ROWS.
-        train = full(known) if n <= TRAIN_ROWS else full(known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / n)))
-        trees = GBTClassifier(maxIter=12, maxDepth=4, maxBins=32, stepSize=0.2, seed=7).fit(into.transform(train.select(*FEATURES, "label")).select("features", "label"))
-        scored = trees.transform(into.transform(full(rows))).withColumn("score", vector_to_array("probability")[1])
+    rows = written(rows.withColumns({"rule": name, "said": verdict}), "urls")
+    if labelled is not None:
+        known = written(features_of(labelled.select("url", F.col("label").cast("double")).where(F.col("label").isNotNull())), "urls-labelled")
     else:
-        scored = rows.withColumn("score", F.lit(prior))
+        known = rows.where(F.col("label").isNotNull())
+    stats, prior = suffix_statistics(known)
+    scored = with_score(rows, fitted(known, stats, prior), stats, prior)
     method = F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(*keys, "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "score")
+
+
+def held_out(labelled: DataFrame) -> DataFrame:
+    """(label, score, prior) of the labelled URLs of every third host by hash, scored by trees and statistics of the other hosts."""
+    known = written(features_of(labelled.select("url", F.col("label").cast("double")).where(F.col("label").isNotNull())), "urls-labelled")
+    aside = F.pmod(F.crc32("host"), F.lit(3)) == 1
+    train = known.where(~aside)
+    stats, prior = suffix_statistics(train)
+    return with_score(known.where(aside), fitted(train, stats, prior), stats, prior).select("label", "score", F.lit(prior).alias("prior"))
