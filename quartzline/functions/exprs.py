@@ -72,7 +72,49 @@ def percent_change(new: Column, old: Column) -> Column:
 
 
 def direction(change_percent: Column, flat: float = 0.005) -> Column:
-    return F.when(F.abs(change_percent) < flat, "neutral").when(change_percent > 0, "up").otherwise("down")
+    """up, down, or neutral for small changes and where there is no finite one."""
+    x = finite(change_percent)
+    return F.when(x >= flat, "up").when(x <= -flat, "down").otherwise("neutral")
+
+
+def price_text(x: Column, digits: int = 2) -> Column:
+    """Grouped thousands and two decimals; a dash where there is no finite price."""
+    return F.coalesce(F.format_number(finite(x), digits), F.lit("—"))
+
+
+def percent_text(x: Column, digits: int = 2) -> Column:
+    """Signed percent; a dash where there is no finite one."""
+    y = finite(x)
+    return F.when(y.isNotNull(), F.concat(F.when(y > 0, "+").otherwise(""), F.format_string(f"%.{digits}f%%", y))).otherwise("—")
+
+
+def http_date(text: Column) -> Column:
+    """UTC instant of a mail or HTTP date such as Sat, 01 Feb 2025 10:00:00 GMT or 1 Feb 2025 12:00:00 +0200; null for anything else."""
+    parts = r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})\s+(GMT|UT|UTC|Z|[+-]\d{4})\s*$"
+    zone = F.regexp_extract(text, parts, 2)
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
+    ahead = F.when(zone.startswith("-"), -minutes).when(zone.startswith("+"), minutes).otherwise(0)
+    return F.try_to_timestamp(F.regexp_extract(text, parts, 1), F.lit("d MMM yyyy HH:mm:ss")) - F.make_interval(mins=ahead)
+
+
+def symbol_of(series: Column) -> Column:
+    """The exchange symbol of a metal, else the name in capitals."""
+    # Fixed values.
+    names = {"silver": "XAG", "gold": "XAU", "platinum": "XPT", "palladium": "XPD"}
+    out = F.upper(F.coalesce(series, F.lit("")))
+    for name, symbol in names.items():
+        out = F.when(series == name, symbol).otherwise(out)
+    return out
+
+
+def env_list(text: str | None) -> tuple[str, ...]:
+    """The trimmed lower-case items of a comma-separated setting, each once."""
+    return tuple(dict.fromkeys(x for x in (p.strip().lower() for p in (text or "").split(",")) if x))
+
+
+def horizon_of(name: Column) -> Column:
+    """Hours in an artifact's name such as silver_24h.json; null where there are none."""
+    return F.regexp_extract(name, r"^[a-z]+_(\d+)h(?:\b|_)", 1).try_cast("int")
 
 
 def horizon_label(hours: Column) -> Column:

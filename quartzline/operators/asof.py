@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -67,7 +69,7 @@ def with_context(target: DataFrame, source: DataFrame, name: str, close: str | N
     """target with a context market: as-of aligned columns, their age in hours, and the spread of returns."""
     close = close or f"{name}_close"
     right = context_columns(source, name, close)
-    d = backward_asof(target, right, [c for c in right.columns if c != "ts"], "__at")
+    d = backward_asof(target, right, [c for c in right.columns if c != "ts"], "__at")  # one source series for all targets
     d = d.withColumn(f"{name}_source_age_hours", (micros(F.col("ts")) - micros(F.col("__at"))) / F.lit(float(HOUR_US))).drop("__at")
     return d.withColumns({f"silver_minus_{name}_return_{h}h": elapsed_log_return("close", h) - F.col(f"{name}_log_return_{h}h") for h in RETURN_HOURS})
 
@@ -83,6 +85,45 @@ def with_gold(silver: DataFrame, gold: DataFrame) -> DataFrame:
     return d.withColumns({f"gold_silver_ratio_log_return_{h}h": elapsed_log_return("gold_silver_ratio", h) for h in RETURN_HOURS} | {f"gold_minus_silver_return_{h}h": F.col(f"gold_log_return_{h}h") - elapsed_log_return("close", h) for h in RETURN_HOURS})
 
 
+@dataclass(frozen=True)
+class Provider:
+    """A context market whose columns are added to a target series, aligned backward; no later quote is ever used."""
+
+    name: str
+    series: str
+    symbol: str
+    unit: str
+    augment: Callable[[DataFrame, DataFrame], DataFrame]
+
+    def metadata(self) -> dict:
+        return {"name": self.name, "source_symbol": self.symbol, "source_unit": self.unit, "alignment": "backward_asof", "future_quotes_allowed": False}
+
+
 def with_usd_index(silver: DataFrame, index: DataFrame) -> DataFrame:
     d = with_context(silver, index, "udx")
     return d.withColumns({f"usd_pressure_{h}h": -F.col(f"udx_log_return_{h}h") for h in RETURN_HOURS})
+
+
+# The context markets by name.
+PROVIDERS = {
+    p.name: p
+    for p in (
+        Provider("gold_silver", "gold", "XAU/USD", "usd_per_kg", with_gold),
+        Provider("usd_index", "udx", "UDX/USD", "index_points", with_usd_index),
+        Provider("spx", "spx", "SPX/USD", "index_points", lambda target, source: with_context(target, source, "spx")),
+        Provider("wti", "wti", "WTI/USD", "usd_per_barrel", lambda target, source: with_context(target, source, "wti")),
+    )
+}
+
+
+def with_providers(target: DataFrame, bars: DataFrame, names) -> DataFrame:
+    """target with the columns of all named context markets, whose bars come from one table of all series. An unknown name, or a market without a bar, is an error."""
+    for name in names:
+        if name not in PROVIDERS:
+            raise ValueError(f"unknown context market {name}")
+        p = PROVIDERS[name]
+        source = bars.where(F.col("series") == p.series)
+        if source.isEmpty():
+            raise ValueError(f"{name} needs hourly bars of {p.series}")
+        target = p.augment(target, source)
+    return target

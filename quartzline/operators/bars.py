@@ -42,11 +42,12 @@ def resample(df: DataFrame, every: str = "1 hour", by=("series",), ts: str = "ts
     return d.select(*by, F.col("__w.start").alias("ts"), *BAR).dropna(subset=["open", "high", "low", "close"])
 
 
-def tag_rows(df: DataFrame, by=("series",), order: str = "seq", ms: str = "ms", start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+def tag_rows(df: DataFrame, by=("series",), order: str = "seq", ms: str = "ms", start_ms: int | None = None, end_ms: int | None = None, block: str | None = None) -> DataFrame:
     """Adds tag: out_of_range, duplicate, malformed or written.
 
     Among rows of valid prices time must strictly increase. As the running maximum over valid rows equals that over accepted rows, one
-    window decides. A row at or below it is a duplicate even where its prices are bad.
+    window decides. A row at or below it is a duplicate even where its prices are bad. Where block names a column by which order sorts
+    first, such as the file, each block has a task of its own and the maximum of earlier blocks comes from a table of one row a block.
     """
     inside = F.lit(True)
     if start_ms is not None:
@@ -54,9 +55,16 @@ def tag_rows(df: DataFrame, by=("series",), order: str = "seq", ms: str = "ms",
     if end_ms is not None:
         inside = inside & (F.col(ms) < end_ms)
     valid = ohlc_valid(F.col("open"), F.col("high"), F.col("low"), F.col("close")) & inside
-    before = F.max(F.when(valid, F.col(ms))).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    until = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    if block is None:
+        before = F.max(F.when(valid, F.col(ms))).over(until(*by).orderBy(order))
+    else:
+        tops = df.groupBy(*by, block).agg(F.max(F.when(valid, F.col(ms))).alias("__top"))
+        tops = tops.select(*by, block, F.max("__top").over(until(*by).orderBy(block)).alias("__top"))
+        df = df.join(tops, [*by, block])
+        before = F.greatest("__top", F.max(F.when(valid, F.col(ms))).over(until(*by, block).orderBy(order)))
     tag = F.when(F.col(ms).isNull(), "malformed").when(~inside, "out_of_range").when(F.col(ms) <= before, "duplicate").when(~valid, "malformed").otherwise("written")
-    return df.withColumn("tag", tag)
+    return df.withColumn("tag", tag).drop("__top")
 
 
 def tag_report(tagged: DataFrame, by=("series",), ms: str = "ms") -> DataFrame:

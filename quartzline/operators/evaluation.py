@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from typing import Protocol
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -119,27 +122,118 @@ def champion(scores: DataFrame, by=("series",), gate: float = GATE_PERCENT) -> D
 
 
 @dataclass(frozen=True)
-class Forecaster:
+class Fitted:
+    """A fitted forecaster: a pipeline over feature columns or a constant return, and the selective shrinkage of what it gives, if any.
+
+    threshold: None for no shrinkage, infinite for a forecaster that always abstains.
+    """
+
+    name: str
+    model: PipelineModel | None = None
+    constant: float = 0.0
+    threshold: float | None = None
+    shrinkage: float = 1.0
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """rows with raw, the predicted return; rows without all features are left out where there is a model."""
+        out = rows.withColumn("raw", F.lit(self.constant)) if self.model is None else self.model.transform(rows).withColumnRenamed("prediction", "raw").drop("features")
+        return out if self.threshold is None else out.withColumn("raw", selective(F.col("raw"), F.lit(self.threshold), self.shrinkage))
+
+
+class Estimator(Protocol):
+    """What candidates have in common: a name, how far back they train, and a fit that gives a Fitted."""
+
+    name: str
+    lookback_days: int | None
+
+    def fit(self, train: DataFrame, features: list[str], target: str) -> Fitted: ...
+
+
+def lookback_name(base: str, lookback_days: int | None) -> str:
+    return base if lookback_days is None else f"{base}_lookback_{lookback_days}d"
+
+
+class FitPredict:
+    def fit_predict(self, train: DataFrame, rows: DataFrame, features: list[str], target: str) -> DataFrame:
+        return self.fit(train, features, target).predict(rows)
+
+
+@dataclass(frozen=True)
+class Forecaster(FitPredict):
     """A named estimator over feature columns. Predictions are returns."""
 
     name: str
     estimator: object
     lookback_days: int | None = None
 
-    def fit_predict(self, train: DataFrame, rows: DataFrame, features: list[str], target: str) -> DataFrame:
+    def fit(self, train: DataFrame, features: list[str], target: str) -> Fitted:
         into = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-        model = self.estimator.fit(into.transform(train).select("features", F.col(target).alias("label")))
-        return model.transform(into.transform(rows)).withColumnRenamed("prediction", "raw").drop("features")
+        rows = into.transform(train.where(F.col(target).isNotNull())).select("features", F.col(target).alias("label"))
+        return Fitted(self.name, PipelineModel([into, self.estimator.fit(rows)]))
+
+
+def boosted(name: str = "boosted", iterations: int = 40, step: float = 0.05, depth: int = 5, seed: int = 42) -> Forecaster:
+    return Forecaster(name, GBTRegressor(lossType="absolute", maxIter=iterations, stepSize=step, maxDepth=depth, seed=seed))
+
+
+@dataclass(frozen=True)
+class Ridge(FitPredict):
+    """Ridge on standardised columns: the penalty alpha in the closed form is alpha * sd(target) / n here, of the rows it is fitted to."""
+
+    alpha: float
+    label: str | None = None
+    lookback_days: int | None = None
+
+    @property
+    def name(self) -> str:
+        return self.label or lookback_name(f"ridge_alpha_{self.alpha:g}", self.lookback_days)
+
+    def fit(self, train: DataFrame, features: list[str], target: str) -> Fitted:
+        n, sd = train.dropna(subset=features).agg(F.count(target), F.stddev_pop(target)).first()
+        penalty = self.alpha * (sd or 0.0) / max(n, 1)
+        return Forecaster(self.name, LinearRegression(elasticNetParam=0.0, solver="normal", standardization=True, regParam=penalty)).fit(train, features, target)
+
+
+def ridge(alpha: float, train: DataFrame | None = None, target: str | None = None, name: str = "ridge") -> Ridge:
+    """Ridge(alpha, name). train and target are not looked at: the penalty follows the rows of each fit."""
+    return Ridge(alpha, name)
+
+
+@dataclass(frozen=True)
+class MedianReturn(FitPredict):
+    """The median return of the training rows, 0 without any."""
+
+    lookback_days: int | None = None
 
+    @property
+    def name(self) -> str:
+        return lookback_name("median_return", self.lookback_days)
 
-def boosted(name: str = "boosted", iterations: int = 40) -> Forecaster:
-    return Forecaster(name, GBTRegressor(lossType="absolute", maxIter=iterations, stepSize=0.05, maxDepth=5, seed=42))
+    def fit(self, train: DataFrame, features: list[str], target: str) -> Fitted:
+        return Fitted(self.name, constant=train.agg(F.median(target)).first()[0] or 0.0)
 
 
-def ridge(alpha: float, train: DataFrame, target: str, name: str = "ridge") -> Forecaster:
-    """Ridge on standardised columns: the penalty alpha in the closed form is alpha * sd(target) / n here."""
-    n, sd = train.agg(F.count(target), F.stddev_pop(target)).first()
-    return Forecaster(name, LinearRegression(elasticNetParam=0.0, solver="normal", standardization=True, regParam=alpha * (sd or 0.0) / max(n, 1)))
+def shrunk(name: str, fitted: Fitted, train: DataFrame, quantile: float, shrinkage: float) -> Fitted:
+    """fitted with the threshold that is a quantile of what it predicts for its own training rows."""
+    threshold = fitted.predict(train).agg(F.percentile(F.abs("raw"), F.lit(quantile))).first()[0]
+    return replace(fitted, name=name, threshold=float("inf") if threshold is None else threshold, shrinkage=shrinkage)
+
+
+@dataclass(frozen=True)
+class Selective(FitPredict):
+    """A forecaster that abstains under a quantile of its own predictions and shrinks above it."""
+
+    base: Estimator
+    quantile: float = 0.8
+    shrinkage: float = 0.25
+    lookback_days: int | None = None
+
+    @property
+    def name(self) -> str:
+        return lookback_name(f"selective_{self.base.name}_q{round(self.quantile * 100)}_s{round(self.shrinkage * 100)}", self.lookback_days)
+
+    def fit(self, train: DataFrame, features: list[str], target: str) -> Fitted:
+        return shrunk(self.name, self.base.fit(train, features, target), train, self.quantile, self.shrinkage)
 
 
 def require_rows(df: DataFrame, least: int = MIN_ROWS) -> int:
@@ -168,42 +262,84 @@ def walk_forward(df: DataFrame, base: Forecaster, features: list[str], h: int, s
 
 
 @dataclass(frozen=True)
-class CrossFitted:
+class CrossFitted(FitPredict):
     """Selective shrinkage whose quantile and shrinkage come from inner out-of-fold predictions; abstains always where nothing beats persistence."""
 
-    base: Forecaster
+    base: Estimator
     splits: int = 3
     name: str = "cross_fitted"
     lookback_days: int | None = None
 
-    def fit_predict(self, train: DataFrame, rows: DataFrame, features: list[str], target: str) -> DataFrame:
+    def fit(self, train: DataFrame, features: list[str], target: str) -> Fitted:
         d = with_fold(numbered(train), self.splits)
-        oof = None
-        for k in range(1, self.splits + 1):
-            part = self.base.fit_predict(d.where(F.col("fold") < k), d.where(F.col("fold") == k), features, target)
-            oof = part if oof is None else oof.unionByName(part)
-        best = selective_grid(oof, by=("series",), target=target).first()
-        out = self.base.fit_predict(train, rows, features, target)
+        parts = [self.base.fit_predict(d.where(F.col("fold") < k), d.where(F.col("fold") == k), features, target) for k in range(1, self.splits + 1)]
+        best = selective_grid(reduce(DataFrame.unionByName, parts), by=("series",), target=target).first()
+        fitted = self.base.fit(train, features, target)
         if best is None or best["quantile"] is None:
-            return out.withColumn("raw", F.lit(0.0))
-        fitted = self.base.fit_predict(train, train, features, target)
-        threshold = fitted.agg(F.percentile(F.abs("raw"), F.lit(best["quantile"]))).first()[0]
-        return out.withColumn("raw", selective(F.col("raw"), F.lit(threshold), best["shrinkage"]))
+            return replace(fitted, name=self.name, threshold=float("inf"))
+        return shrunk(self.name, fitted, train, best["quantile"], best["shrinkage"])
 
 
-def select_champion(df: DataFrame, candidates: list, features: list[str], h: int, splits: int) -> DataFrame:
-    """The dual gate over fitted candidates: walk-forward on the development rows, then one purged fit scored on the holdout.
+def recent(df: DataFrame, last, lookback_days: int | None) -> DataFrame:
+    """Rows of at most so many days before last."""
+    return df if lookback_days is None else df.where(F.col("ts") >= F.lit(last) - F.make_dt_interval(days=F.lit(lookback_days)))
 
-    One row: selected, the two gates and active, as champion() gives it.
-    """
+
+@dataclass(frozen=True)
+class Selection:
+    """The candidate of the least development error, its scores, and what the two gates say."""
+
+    winner: int
+    names: tuple[str, ...]
+    development: tuple[dict, ...]
+    challenger: dict
+    persistence: dict
+    holdout_start: object
+    gate: float
+
+    @property
+    def selected(self) -> str:
+        return self.names[self.winner]
+
+    @property
+    def gates(self) -> tuple[bool, bool]:
+        return self.development[self.winner]["improvement_percent"] >= self.gate, self.challenger["improvement_percent"] >= self.gate
+
+    @property
+    def active(self) -> str:
+        return self.selected if all(self.gates) else "persistence"
+
+    @property
+    def metrics(self) -> dict:
+        return self.challenger if all(self.gates) else self.persistence
+
+
+def select(df: DataFrame, candidates: list[Estimator], features: list[str], h: int, splits: int, min_rows: int = 0, share: float = DEVELOPMENT_SHARE, gate: float = GATE_PERCENT) -> Selection:
+    """Walk-forward scores of all candidates on the development rows of one series, then one purged fit of the best, scored on the holdout once."""
+    if not 0.6 <= share <= 0.9:
+        raise ValueError("the holdout takes 10% to 40% of the rows")
     target, reached = f"target_{h}h", f"target_timestamp_{h}h"
-    d = with_holdout(numbered(df)).drop("rn", "n")
+    d = with_holdout(numbered(df), share).drop("rn", "n")
     dev, rest = d.where("development").drop("development"), d.where("not development").drop("development")
+    if min_rows:
+        require_rows(dev, min_rows)
     start = rest.agg(F.min("ts")).first()[0]
-    spark, scores = df.sparkSession, []
-    for at, c in enumerate(candidates):
-        inner = walk_forward(dev, c, features, h, splits).agg(*metrics(f"future_close_{h}h", "predicted", "close")).first()
-        held = c.fit_predict(dev.where(F.col(reached) < F.lit(start)), rest, features, target).withColumn("predicted", F.col("close") * F.exp("raw"))
-        outer = held.agg(*metrics(f"future_close_{h}h", "predicted", "close")).first()
-        scores.append(("all", c.name, at, inner["mae"], inner["improvement_percent"], outer["improvement_percent"]))
-    return champion(spark.createDataFrame(scores, "series string, name string, position int, dev_mae double, dev_improvement double, holdout_improvement double"))
+    if start is None:
+        raise ValueError("no rows are left for the holdout")
+    scored = lambda rows, *more: rows.agg(*metrics(f"future_close_{h}h", "predicted", "close"), *more).first().asDict()
+    folds = F.countDistinct("fold").alias("completed_folds")
+    scores = [scored(walk_forward(dev, c, features, h, splits), folds) for c in candidates]
+    best = min(range(len(scores)), key=lambda k: (scores[k]["mae"], k))
+    train = recent(dev.where(F.col(reached) < F.lit(start)), start, candidates[best].lookback_days)
+    if train.isEmpty():
+        raise ValueError("no purged development rows remain before the holdout")
+    held = candidates[best].fit(train, features, target).predict(rest).withColumn("predicted", F.col("close") * F.exp("raw"))
+    return Selection(best, tuple(c.name for c in candidates), tuple(scores), scored(held), scored(rest.withColumn("predicted", F.col("close"))), start, gate)
+
+
+def select_champion(df: DataFrame, candidates: list, features: list[str], h: int, splits: int, min_rows: int = 0) -> DataFrame:
+    """The dual gate over fitted candidates, see select(). One row: selected, the two gates and active, as champion() gives it."""
+    s = select(df, candidates, features, h, splits, min_rows)
+    outer = lambda k: s.challenger["improvement_percent"] if k == s.winner else None
+    scores = [("all", name, k, s.development[k]["mae"], s.development[k]["improvement_percent"], outer(k)) for k, name in enumerate(s.names)]
+    return champion(df.sparkSession.createDataFrame(scores, "series string, name string, position int, dev_mae double, dev_improvement double, holdout_improvement double"))

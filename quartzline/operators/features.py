@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzline.functions.exprs import above_zero, cyclic, finite, ratio
-from quartzline.operators.windows import by_time, exponential, lag, rolling, rolling_zscore
+from quartzline.functions.exprs import above_zero, finite, ratio
+from quartzline.operators.windows import IN_CHUNK, chunked, exponential, lag, rolling_extremes, rolling_sums
+from quartzline.session import written
 
 # Lags and window lengths in rows, and spans of the exponential means.
 LAGS = (2, 4, 8, 12, 24, 48, 72, 168, 360, 720)
@@ -57,42 +58,61 @@ def exponential_features(bars: DataFrame) -> DataFrame:
     return b.select(*bars.columns, *[finite(x).alias(k) for k, x in out.items()])
 
 
+#: Rows before its own that a rolling column looks at: the longest window, its returns' lag and the mean over three rows behind it.
+REACH = max(WINDOWS) + 4
+
+
+def quotient(a: str, b: str) -> str:
+    return f"try_divide({a}, {b})"
+
+
+def zscore(x: str, name: str, n: int) -> str:
+    return f"CASE WHEN {name}_sd_{n} = 0 THEN 0D ELSE ({x} - {name}_mean_{n}) / {name}_sd_{n} END"
+
+
 def rolling_features(bars: DataFrame) -> DataFrame:
-    """Returns, momentum, trend, volatility, range, stochastic, Bollinger, candle, volume and calendar columns, beside the bars."""
-    b = bars.withColumns({"__ln": F.ln("close"), "__lv": F.log1p(F.greatest(F.coalesce("volume", F.lit(0.0)), F.lit(0.0)))})
-    b = b.withColumn("ret_1h", F.col("__ln") - lag("__ln"))
-    c, o, h, low = F.col("close"), F.col("open"), F.col("high"), F.col("low")
-    out = {f"log_return_{n}h": F.col("__ln") - lag("__ln", n) for n in LAGS}
+    """Returns, momentum, trend, volatility, range, stochastic, Bollinger, candle, volume and calendar columns, beside the bars.
+
+    All windows run by chunk of a series: one sort for all of them, and a fixed number of terms a row whatever a window's length.
+    """
+    b = written(chunked(bars, REACH), "chunks")  # so that the long plan below has one shuffle and is planned once
+    kept = [c for c in b.columns if c not in bars.columns]
+    b = b.selectExpr("*", "CASE WHEN close > 0 THEN ln(close) END AS __ln", "ln(1 + greatest(coalesce(volume, 0D), 0D)) AS __lv")
+    b = b.selectExpr("*", f"__ln - lag(__ln) {IN_CHUNK} AS ret_1h", *[f"__ln - lag(__ln, {n}) {IN_CHUNK} AS log_return_{n}h" for n in LAGS])
+    b = rolling_sums(b, "close", "__p", sorted({*WINDOWS, 20}))
+    b = rolling_sums(b, "ret_1h", "__r", WINDOWS, centre=False)
+    b = rolling_sums(b, "__lv", "__v", (24, 168))
+    b = rolling_extremes(b, "high", "low", sorted({*WINDOWS, 14}))
+    out = {f"log_return_{n}h": f"log_return_{n}h" for n in LAGS}
     for n in WINDOWS:
-        top, bottom = rolling(F.max, "high", n), rolling(F.min, "low", n)
         out |= {
-            f"sma_ratio_{n}h": ratio(c, rolling(F.avg, "close", n)) - 1,
-            f"close_zscore_{n}h": rolling_zscore("close", n),
-            f"volatility_{n}h": rolling(F.stddev_samp, "ret_1h", n),
-            f"range_ratio_{n}h": ratio(top, bottom) - 1,
-            f"range_position_{n}h": ratio(c - bottom, top - bottom),
+            f"sma_ratio_{n}h": f"{quotient('close', f'__p_mean_{n}')} - 1",
+            f"close_zscore_{n}h": zscore("close", "__p", n),
+            f"volatility_{n}h": f"__r_sd_{n}",
+            f"range_ratio_{n}h": f"{quotient(f'__top_{n}', f'__bottom_{n}')} - 1",
+            f"range_position_{n}h": quotient(f"close - __bottom_{n}", f"__top_{n} - __bottom_{n}"),
         }
-    low14, high14 = rolling(F.min, "low", 14), rolling(F.max, "high", 14)
-    mean20, sd20 = rolling(F.avg, "close", 20), rolling(F.stddev_samp, "close", 20)
     out |= {
-        "stochastic_k_14": ratio(c - low14, high14 - low14),
-        "bollinger_position_20": ratio(c - (mean20 - 2 * sd20), 4 * sd20),
-        "bollinger_width_20": ratio(4 * sd20, mean20),
-        "candle_body_pct": ratio(c - o, o),
-        "high_low_pct": ratio(h - low, o),
-        "upper_wick_pct": ratio(h - F.greatest(o, c), o),
-        "lower_wick_pct": ratio(F.least(o, c) - low, o),
-        "log_volume": F.col("__lv"),
-        "volume_zscore_24h": rolling_zscore("__lv", 24),
-        "volume_zscore_168h": rolling_zscore("__lv", 168),
-        "minute_coverage": F.col("minute_count") / 60.0,
+        "stochastic_k_14": quotient("close - __bottom_14", "__top_14 - __bottom_14"),
+        "bollinger_position_20": quotient("close - (__p_mean_20 - 2 * __p_sd_20)", "4 * __p_sd_20"),
+        "bollinger_width_20": quotient("4 * __p_sd_20", "__p_mean_20"),
+        "candle_body_pct": quotient("close - open", "open"),
+        "high_low_pct": quotient("high - low", "open"),
+        "upper_wick_pct": quotient("high - greatest(open, close)", "open"),
+        "lower_wick_pct": quotient("least(open, close) - low", "open"),
+        "log_volume": "__lv",
+        "volume_zscore_24h": zscore("__lv", "__v", 24),
+        "volume_zscore_168h": zscore("__lv", "__v", 168),
+        "minute_coverage": "minute_count / 60D",
     }
-    hs, hc = cyclic(F.hour("ts"), 24)
-    ds, dc = cyclic(F.weekday("ts"), 7)
-    out |= {"hour_sin": hs, "hour_cos": hc, "dow_sin": ds, "dow_cos": dc}
-    b = b.select(*bars.columns, "ret_1h", *[finite(x).alias(k) for k, x in out.items()])
-    k3 = by_time().rowsBetween(-2, 0)
-    return b.withColumn("stochastic_d_3", F.when(F.count("stochastic_k_14").over(k3) >= 3, F.avg("stochastic_k_14").over(k3)))
+    angle = {"hour": "hour(ts) * (2 * pi() / 24)", "dow": "weekday(ts) * (2 * pi() / 7)"}
+    out |= {f"{k}_{f}": f"{f}({x})" for k, x in angle.items() for f in ("sin", "cos")}
+    b = b.selectExpr(*[f"`{c}`" for c in bars.columns], *kept, "ret_1h", *[f"{x} AS {k}" for k, x in out.items()])
+    finite_only = [f"CASE WHEN NOT isnan({k}) AND abs({k}) <> double('infinity') THEN {k} END AS {k}" for k in out]
+    b = b.selectExpr(*[f"`{c}`" for c in bars.columns], *kept, "ret_1h", *finite_only)
+    three = IN_CHUNK.replace(")", " ROWS 2 PRECEDING)")
+    b = b.selectExpr("*", f"CASE WHEN count(stochastic_k_14) {three} = 3 THEN avg(stochastic_k_14) {three} END AS stochastic_d_3")
+    return b.where("NOT __halo").drop(*kept)
 
 
 def build_features(bars: DataFrame) -> DataFrame:

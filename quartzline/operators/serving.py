@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from quartzline.functions.exprs import direction, percent_change
+from quartzline.functions.exprs import HORIZONS, direction, percent_change
+from quartzline.operators.windows import streamed
 
 
 def latest_complete(df: DataFrame, columns: list[str], by=("series",), ts: str = "ts") -> DataFrame:
@@ -28,8 +31,9 @@ def prediction_rows(latest: DataFrame, models: DataFrame, by=("series",)) -> Dat
 
 
 def missing_models(required: DataFrame, horizons: DataFrame, available: DataFrame) -> DataFrame:
-    """metal:horizon pairs that should exist but don't. Both dimension tables hold a few rows."""
-    want = required.withColumn("__k", F.lit(1)).join(horizons.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    """metal:horizon pairs that should exist but don't. The horizons, a few, go as one array to each metal."""
+    every = [r[0] for r in horizons.select("horizon_hours").distinct().collect()]
+    want = required.select("series", F.explode(F.array(*[F.lit(h) for h in sorted(every)])).alias("horizon_hours"))
     return want.join(available, ["series", "horizon_hours"], "left_anti").select(F.concat_ws(":", "series", F.col("horizon_hours").cast("string")).alias("missing"))
 
 
@@ -51,10 +55,71 @@ def fresh_quote(quotes: DataFrame, now, ttl_seconds: int = 60, stale_seconds: in
 
 
 def exposition(requests: DataFrame, name: str = "http_requests_total") -> DataFrame:
-    """Counter lines by method, path and status."""
-    d = requests.groupBy("method", "path", "status").agg(F.count("*").alias("requests"))
+    """Counter lines in the order of method, path and status."""
+    d = requests.groupBy("method", "path", "status").agg(F.count("*").alias("requests")).orderBy("method", "path", "status")
     return d.select(F.format_string(name + '{method="%s",path="%s",status="%s"} %d', "method", "path", "status", "requests").alias("line"))
 
 
 def models_by_metal(registry: DataFrame) -> DataFrame:
     return registry.groupBy("series").agg(F.sort_array(F.collect_set("horizon_hours")).alias("horizons"))
+
+
+def newest(df: DataFrame, n: int = 6, by=("series",), ts: str = "ts") -> DataFrame:
+    """The newest n rows of each series, newest first; the cut is made before the shuffle."""
+    w = Window.partitionBy(*by).orderBy(F.desc(ts))
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def error_sample(df: DataFrame, n: int = 5, order: str = "ts") -> DataFrame:
+    """The first n rows that carry an error."""
+    return df.where(F.col("error").isNotNull()).orderBy(order).limit(n)
+
+
+def session_quote(minutes: DataFrame, today, lookback_days: int = 4) -> DataFrame:
+    """Per series the last close of the latest day before today that has one, at most lookback_days back."""
+    if lookback_days < 2:
+        raise ValueError("lookback_days must be at least 2")
+    day = F.to_date("ts")
+    d = minutes.where((day < F.lit(today)) & (day >= F.date_sub(F.lit(today), lookback_days)) & F.col("close").isNotNull())
+    return d.groupBy("series").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("price"))
+
+
+def through_breakers(requests: DataFrame, seconds: float = 60.0, key: str = "service") -> DataFrame:
+    """Adds provider, the position of the one that answered each request, and tried, the number of providers called.
+
+    requests: key, us (microseconds), id, answers (array of booleans, what each provider would say, in the order of calls). A provider that fails isn't
+    called for so many seconds; the first that answers ends the request. Only the times until which providers are shut are held.
+    """
+
+    def step(shut: dict, row: dict) -> list:
+        tried = 0
+        for k, good in enumerate(row["answers"] or ()):
+            if shut.get(k, row["us"]) > row["us"]:
+                continue
+            tried += 1
+            if good:
+                shut.pop(k, None)
+                return [k, tried]
+            shut[k] = row["us"] + int(seconds * 1_000_000)
+        return [None, tried]
+
+    step.reads = ["us", "answers"]
+    return streamed(requests, [key], ["us", "id"], dict, step, T.StructType([T.StructField("provider", T.IntegerType()), T.StructField("tried", T.IntegerType())]))
+
+
+# The columns of a request and of a prediction, and the metals that may be asked for.
+METALS = ("gold", "silver", "palladium", "platinum")
+REQUEST = "metal string, horizon_hours int"
+PREDICTION = (
+    "metal string, timestamp_utc string, target_timestamp_utc string, horizon_hours int, active_strategy string, selected_challenger string, current_usd_per_kg double, predicted_usd_per_kg double, prediction_interval_80_low_usd_per_kg double, "
+    "prediction_interval_80_high_usd_per_kg double, predicted_change_pct double, validation_mae_usd_per_kg double, validation_directional_accuracy_pct double, validation_improvement_vs_persistence_pct double, interval_note string"
+)
+
+
+def checked_requests(requests: DataFrame) -> DataFrame:
+    """Adds error to (metal, horizon_hours): what is wrong with a request, null where nothing is."""
+    metal = F.coalesce(F.col("metal").isin(*METALS), F.lit(False))
+    return requests.withColumn(
+        "error",
+        F.when(~metal, F.concat(F.lit("metal must be one of "), F.lit(", ".join(METALS)))).when(F.coalesce(F.col("horizon_hours"), F.lit(0)) < 1, "horizon_hours must be at least 1").when(~F.col("horizon_hours").isin(*HORIZONS), F.format_string("horizon %dh is not supported", "horizon_hours")),
+    )

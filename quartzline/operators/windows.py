@@ -50,6 +50,66 @@ def elapsed_zscore(x: str, hours: int) -> Column:
     return F.when(F.count(x).over(w) < least, None).when(sd == 0, 0.0).otherwise((F.col(x) - F.avg(x).over(w)) / sd)
 
 
+#: Rows of a chunk of a series.
+CHUNK = 4096
+IN_CHUNK = "OVER (PARTITION BY series, __chunk ORDER BY __rn)"
+ALL_OF_CHUNK = "OVER (PARTITION BY series, __chunk ORDER BY __rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+def chunked(df: DataFrame, halo: int, chunk: int = CHUNK) -> DataFrame:
+    """Adds __rn, the 0-based position in time within the series, __chunk, and __halo. The last halo rows of a chunk are in the next one too, marked so.
+
+    Positions come from the rows of each day and a running sum over the days, one row each, so that no task holds a series. Windows of
+    up to halo rows may then be computed by chunk; rows with __halo are to be dropped at the end.
+    """
+    d = df.withColumn("__day", F.date_trunc("day", "ts"))
+    earlier = Window.partitionBy("series").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = d.groupBy("series", "__day").agg(F.count("*").alias("__n"))
+    days = days.select("series", "__day", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    at = F.col("__before") + F.row_number().over(Window.partitionBy("series", "__day").orderBy("ts")) - 1
+    d = d.join(days, ["series", "__day"]).withColumn("__rn", at)
+    own = F.floor(F.col("__rn") / chunk)
+    both = F.when(F.col("__rn") % chunk >= chunk - halo, F.array(own, own + 1)).otherwise(F.array(own))
+    return d.select(*df.columns, "__rn", F.explode(both).alias("__chunk"), own.alias("__own")).withColumn("__halo", F.col("__chunk") != F.col("__own")).drop("__own")
+
+
+def rolling_sums(d: DataFrame, x: str, name: str, lengths, centre: bool = True) -> DataFrame:
+    """Adds {name}_mean_{n} and {name}_sd_{n} of the last n rows, null until n values are there, for a chunked table.
+
+    Running sums of the values and their squares, less the chunk's first value, are subtracted at the two ends of each window: one pass for all
+    lengths. A window in which no value differs from the one before has a deviation of exactly 0.
+    """
+    kept = d.columns
+    first = f"first_value({x}) IGNORE NULLS {ALL_OF_CHUNK}" if centre else "0D"
+    d = d.selectExpr("*", f"{first} AS __c", f"cast(not({x} <=> lag({x}) {IN_CHUNK}) as long) AS __new")
+    d = d.selectExpr("*", f"count({x}) {IN_CHUNK} AS __n", f"coalesce(sum({x} - __c) {IN_CHUNK}, 0D) AS __s", f"coalesce(sum(({x} - __c) * ({x} - __c)) {IN_CHUNK}, 0D) AS __q", f"sum(__new) {IN_CHUNK} AS __x")
+    back = [f"coalesce(lag(__{k}, {n}) {IN_CHUNK}, 0) AS __{k}{n}" for n in lengths for k in "nsq"] + [f"lag(__x, {n - 1}) {IN_CHUNK} AS __x{n}" for n in lengths]
+    d = d.selectExpr("*", *back)
+    full = lambda n, y: f"CASE WHEN __n - __n{n} = {n} THEN {y} END"
+    spread = lambda n: f"CASE WHEN __x = __x{n} THEN 0D ELSE sqrt(greatest((__q - __q{n} - (__s - __s{n}) * (__s - __s{n}) / {n}) / {n - 1}, 0D)) END"
+    return d.selectExpr(*kept, *[f"{full(n, f'__c + (__s - __s{n}) / {n}')} AS {name}_mean_{n}" for n in lengths], *[f"{full(n, spread(n))} AS {name}_sd_{n}" for n in lengths])
+
+
+def rolling_extremes(d: DataFrame, high: str, low: str, lengths) -> DataFrame:
+    """Adds __top_{n} and __bottom_{n}, the greatest high and least low of the last n rows, null until n of them are there, for a chunked table.
+
+    The extremes of 2, 4, 8, ... rows come each from two of the half length; a window of any length is covered by two of those.
+    """
+    kept = d.columns
+    d = d.selectExpr("*", f"{high} AS __h1", f"{low} AS __l1", f"least(count({high}) {IN_CHUNK}, count({low}) {IN_CHUNK}) AS __n")
+    size = 1
+    while 2 * size <= max(lengths):
+        d = d.selectExpr("*", f"greatest(__h{size}, lag(__h{size}, {size}) {IN_CHUNK}) AS __h{2 * size}", f"least(__l{size}, lag(__l{size}, {size}) {IN_CHUNK}) AS __l{2 * size}")
+        size *= 2
+    out = []
+    for n in lengths:
+        half = 1 << (n.bit_length() - 1)
+        full = f"CASE WHEN __n - coalesce(lag(__n, {n}) {IN_CHUNK}, 0) = {n} THEN"
+        other = lambda k: f"lag(__{k}{half}, {n - half}) {IN_CHUNK}" if n > half else f"__{k}{half}"  # noqa: B023, E731
+        out += [f"{full} greatest(__h{half}, {other('h')}) END AS __top_{n}", f"{full} least(__l{half}, {other('l')}) END AS __bottom_{n}"]
+    return d.selectExpr(*kept, *out)
+
+
 def streamed(df: DataFrame, keys: list[str], order: list[str], start, step, added: T.StructType) -> DataFrame:
     """Adds columns by a recursion over the rows of each key in order; only one key's state is held, and the sort may spill.
 

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import hmac
 import io
 import lzma
+import uuid
 import zipfile
 from datetime import date
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 import quartzline
-from quartzline.functions.exprs import epoch_ms, finite, fixed_offset_utc, iso_seconds, number, ohlc_valid, usd_per_kg_exact
-from quartzline.operators.bars import keep_last, require
+from quartzline.functions.exprs import epoch_ms, finite, fixed_offset_utc, iso_seconds, number, ohlc_valid, usd_per_kg, usd_per_kg_exact
+from quartzline.operators.bars import epoch_unit_factor, keep_last, require, tag_rows
 
 cloudpickle.register_pickle_by_value(quartzline)
 PRICES = ("open", "high", "low", "close")
@@ -28,6 +31,13 @@ def instruments(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(INSTRUMENTS, "series string, symbol string, kind string")
 
 
+def with_instrument(df: DataFrame) -> DataFrame:
+    """Adds symbol and kind; a series that is no instrument ends the job."""
+    d = df.join(F.broadcast(instruments(df.sparkSession)), "series", "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown instrument "), F.coalesce("series", F.lit("null"))))
+    return d.withColumn("symbol", F.when(F.col("symbol").isNotNull(), F.col("symbol")).otherwise(unknown.cast("string")))
+
+
 def read_csv(spark: SparkSession, path, header: bool = True, sep: str = ",") -> DataFrame:
     """All columns as text with trimmed lower-case names, and seq: the order of rows within and across files."""
     d = spark.read.csv(path, header=header, sep=sep, encoding="UTF-8")
@@ -35,15 +45,33 @@ def read_csv(spark: SparkSession, path, header: bool = True, sep: str = ",") ->
     return d.withColumn("seq", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
+def priced(d: DataFrame) -> DataFrame:
+    """Rows with a time and all prices, the last of each time."""
+    return keep_last(d.dropna(subset=["ts", *PRICES])).drop("seq")
+
+
 def raw_minutes(spark: SparkSession, path, series: str) -> DataFrame:
-    """Provider-native minute bars: epoch seconds or milliseconds, absent volume is zero, rows without prices dropped, last of a time kept."""
+    """Provider-native minute bars: absent volume is zero, rows without a time or a price are dropped, then the last of a time is kept.
+
+    Times are epoch seconds in files whose median is small, milliseconds in others. No row with a time is an error.
+    """
     d = require(read_csv(spark, path), ("timestamp", *PRICES))
     volume = number(F.col("volume")) if "volume" in d.columns else F.lit(0.0)
-    d = d.select(F.lit(series).alias("series"), F.timestamp_millis(epoch_ms(F.col("timestamp").try_cast("double"))).alias("ts"), *[number(F.col(c)).alias(c) for c in PRICES], F.coalesce(volume, F.lit(0.0)).alias("volume"), "seq")
-    return keep_last(d.dropna(subset=["ts"])).drop("seq").dropna(subset=list(PRICES))
+    d = d.select(F.col("seq.file").alias("file"), number(F.col("timestamp")).alias("timestamp"), *[number(F.col(c)).alias(c) for c in PRICES], F.coalesce(volume, F.lit(0.0)).alias("volume"), "seq").dropna(subset=["timestamp"])
+    units = epoch_unit_factor(d, by=("file",)).cache()
+    if units.isEmpty():
+        raise ValueError(f"{series}: no valid timestamps")
+    d = d.join(F.broadcast(units), "file")  # one row a file
+    return priced(d.select(F.lit(series).alias("series"), F.timestamp_millis((F.col("timestamp") * F.col("to_ms")).cast("long")).alias("ts"), *PRICES, "volume", "seq"))
+
+
+def metal_minutes(spark: SparkSession, path, series: str) -> DataFrame:
+    """raw_minutes() of a metal, in USD per kilogram."""
+    return raw_minutes(spark, path, series).withColumns({c: usd_per_kg(F.col(c)) for c in PRICES})
 
 
 def normalised_minutes(spark: SparkSession, path, series: str) -> DataFrame:
+    """Minute bars in USD per kilogram; the last row of a time counts, and only then rows without a price are dropped."""
     d = require(read_csv(spark, path), [f"{c}_usd_per_kg" for c in PRICES])
     volume = number(F.col("volume_source_units")) if "volume_source_units" in d.columns else F.lit(0.0)
     d = d.select(F.lit(series).alias("series"), F.col("timestamp_utc").try_cast("timestamp").alias("ts"), *[number(F.col(f"{c}_usd_per_kg")).alias(c) for c in PRICES], F.coalesce(volume, F.lit(0.0)).alias("volume"), "seq")
@@ -108,22 +136,78 @@ def packed_days(spark: SparkSession, path: str, series: str, factor: float = 100
     return d.mapInPandas(decode, "ms long, open double, high double, low double, close double, volume double, error string, series string")
 
 
-def zipped_rows(spark: SparkSession, path: str, series: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
-    """Rows 'yyyyMMdd HHmmss;o;h;l;c;v' of zipped files, in fixed UTC-5; bad rows are skipped, times strictly increase across archives."""
-    from quartzline.operators.bars import tag_rows
+def archive_lines(content: bytes, name: str, chunk: int = 50_000):
+    """(row, line) frames of all .csv members of an archive in the order of their names; without one, or if it is broken, an error."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            members = sorted(i.filename for i in z.infolist() if not i.is_dir() and i.filename.lower().endswith(".csv"))
+            if not members:
+                raise ValueError(f"{name}: no .csv in the archive")
+            at, held = 0, []
+            for member in members:
+                with z.open(member) as f:
+                    for raw in f:
+                        held.append(raw.decode("utf-8", "replace").lstrip("\ufeff").rstrip("\r\n"))
+                        if len(held) == chunk:
+                            yield pd.DataFrame({"row": range(at, at + chunk), "line": held})
+                            at, held = at + chunk, []
+            yield pd.DataFrame({"row": range(at, at + len(held)), "line": held})
+    except (zipfile.BadZipFile, EOFError) as e:
+        raise ValueError(f"{name}: {e}") from e
+
+
+def zipped_rows(spark: SparkSession, path: str, series: str, start_ms: int | None = None, end_ms: int | None = None, broken: str = "fail") -> DataFrame:
+    """Rows 'yyyyMMdd HHmmss;o;h;l;c;v' of zipped files, in fixed UTC-5; times strictly increase across archives.
+
+    Rows of fewer than six fields, with an unreadable time, price or volume, or with inconsistent prices are skipped; a blank volume is zero. An archive
+    that is broken or holds no .csv ends the job, or is left out with broken="skip".
+    """
 
     def lines(batches):
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows = [line for member in sorted(z.namelist()) for line in z.read(member).decode("utf-8", "replace").splitlines()]
-                yield pd.DataFrame({"file": name, "row": range(len(rows)), "line": rows})
+                try:
+                    for frame in archive_lines(content, name):
+                        yield frame.assign(file=name)
+                except ValueError:
+                    if broken == "fail":
+                        raise
 
     d = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, row long, line string")
     part = F.split("line", ";")
-    d = d.select(F.lit(series).alias("series"), F.struct("file", "row").alias("seq"), F.unix_millis(fixed_offset_utc(F.get(part, 0))).alias("ms"), *[number(F.get(part, k + 1)).alias(c) for k, c in enumerate(PRICES)], F.coalesce(number(F.get(part, 5)), F.lit(0.0)).alias("volume"))
-    good = ohlc_valid(*[F.col(c) for c in PRICES])
-    return tag_rows(d.where(F.col("ms").isNotNull() & good), start_ms=start_ms, end_ms=end_ms).where(F.col("tag") == "written").drop("tag", "seq")
+    volume = F.when(F.trim(F.get(part, 5)) == "", 0.0).otherwise(number(F.get(part, 5)))
+    d = d.where(F.size(part) >= 6).select(
+        F.lit(series).alias("series"), "file", F.struct("file", "row").alias("seq"), F.unix_millis(fixed_offset_utc(F.get(part, 0))).alias("ms"), *[number(F.get(part, k + 1)).alias(c) for k, c in enumerate(PRICES)], volume.alias("volume"),
+    )
+    good = F.col("ms").isNotNull() & F.col("volume").isNotNull() & ohlc_valid(*[F.col(c) for c in PRICES])
+    return tag_rows(d.where(good), start_ms=start_ms, end_ms=end_ms, block="file").where(F.col("tag") == "written").drop("tag", "seq", "file")
+
+
+def routed(readers: dict, wanted: dict) -> DataFrame:
+    """The rows of all wanted series (series -> path), each from its own reader (series -> reader of a path); an unknown series is an error."""
+    unknown = sorted(set(wanted) - set(readers))
+    if unknown:
+        raise ValueError(f"no source for {', '.join(unknown)}")
+    return reduce(DataFrame.unionByName, [readers[k](path, k) for k, path in wanted.items()])
+
+
+def coverage(df: DataFrame, start=None, by=("series",)) -> DataFrame:
+    """Per series the first and last time from start on, the rows and the days that have any."""
+    d = df if start is None else df.where(F.col("ts") >= F.lit(start))
+    return d.groupBy(*by).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("rows"), F.countDistinct(F.to_date("ts")).alias("days"))
+
+
+#: A landed file counts from so many bytes on; an .empty file beside says that there is nothing to land.
+LEAST_BYTES = 100
+
+
+def pending(spark: SparkSession, planned: DataFrame, folder: str) -> DataFrame:
+    """The planned chunks (name, ...) of which folder holds neither a file name.* of more than LEAST_BYTES nor name.empty."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [(f.getPath().getName(), f.getLen()) for f in fs.listStatus(path)] if fs.exists(path) else []
+    done = sorted({(name.rsplit(".", 1)[0],) for name, size in files if size > LEAST_BYTES or name.endswith(".empty")})
+    return planned.join(spark.createDataFrame(done, "name string"), "name", "left_anti")
 
 
 def newest_file(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
@@ -145,18 +229,43 @@ def order_book_midpoint(xml: Column, security: str, currency: str = "USD") -> Co
     return F.when((bid > 0) & (ask >= bid), (bid + ask) / 2)
 
 
+def verified_bundle(parts: DataFrame, sha256: str) -> bytes:
+    """The bytes of a bundle whose checksum is as expected; an error otherwise."""
+    found = joined_bundle(parts).first()
+    if found is None or found["content"] is None or not hmac.compare_digest(found["sha256"], sha256.strip().lower()):
+        raise ValueError("the bundle's checksum is not the expected one")
+    return bytes(found["content"])
+
+
 def joined_bundle(parts: DataFrame) -> DataFrame:
     """Bytes and checksum of a bundle split into base64 parts (name, part)."""
     d = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "part"))), lambda p: F.regexp_replace(p["part"], r"\s", "")), "").alias("text"))
     return d.select(F.try_to_binary("text", F.lit("base64")).alias("content")).withColumn("sha256", F.sha2("content", 256))
 
 
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Puts a written folder in the place of another."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    fs = b.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(b, True)
+    if b.getParent() is not None:
+        fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"{target} can't be written")
+
+
 def write_table(df: DataFrame, path: str, form: str = "parquet", by: tuple[str, ...] = ("series",)) -> int:
-    """Writes and returns the rows written; an empty result is an error and leaves nothing behind a committed job."""
-    if df.isEmpty():
+    """Writes and returns the rows written, in one pass. They appear as a whole once all are written; no rows are an error and leave path as it was."""
+    spark, seen, part = df.sparkSession, Observation(), f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+    options = {"header": "true"} if form == "csv" else {}
+    df.observe(seen, F.count("*").alias("n")).write.partitionBy(*[c for c in by if c in df.columns]).format(form).options(**options).save(part)
+    n = seen.get["n"]
+    if not n:
+        left = spark._jvm.org.apache.hadoop.fs.Path(part)
+        left.getFileSystem(spark._jsc.hadoopConfiguration()).delete(left, True)
         raise ValueError("nothing to write")
-    df.write.mode("overwrite").partitionBy(*[c for c in by if c in df.columns]).format(form).options(**({"header": "true"} if form == "csv" else {})).save(path)
-    return df.sparkSession.read.format(form).options(**({"header": "true"} if form == "csv" else {})).load(path).count()
+    moved(spark, part, path)
+    return n
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,27 +24,36 @@ def distinct_ticks(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def rate_limited(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
-    """Allowed flags of a stream (client, us, id); state holds the accepted times of one window per client."""
+    """Allowed flags of a stream (client, us, id); state holds the accepted times of one window per client and expires after it.
+
+    A client's requests of one batch are put in order together, so a batch must be bounded by the source (maxFilesPerTrigger, maxOffsetsPerTrigger).
+    """
+
+    window = seconds * 1_000_000
 
     def decide(key, frames, state):
+        if state.hasTimedOut:  # no request for a whole window: nothing is held
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
-        for pdf in frames:
-            pdf = pdf.sort_values(["us", "id"], kind="stable")
-            out = []
-            for us in pdf["us"]:
-                held = [t for t in held if t > us - seconds * 1_000_000]
-                out.append(len(held) < limit)
-                if out[-1]:
-                    held.append(int(us))
-            yield pd.DataFrame({"client": key[0], "us": pdf["us"], "id": pdf["id"], "allowed": out})
+        rows = sorted((us, ident) for pdf in frames for us, ident in zip(pdf["us"], pdf["id"], strict=True))
+        out = []
+        for us, _ in rows:
+            held = [t for t in held if t > us - window]
+            out.append(len(held) < limit)
+            if out[-1]:
+                held.append(int(us))
         state.update((held,))
+        state.setTimeoutDuration(max(seconds, 1) * 1000)
+        yield pd.DataFrame({"client": key[0], "us": [r[0] for r in rows], "id": [r[1] for r in rows], "allowed": out})
 
-    return requests.groupBy("client").applyInPandasWithState(decide, "client string, us long, id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("client").applyInPandasWithState(decide, "client string, us long, id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def keep_latest(quotes: DataFrame, path: str, checkpoint: str | None = None):
     """Starts a query that keeps the last quote of each series in a table; each batch replaces a version of it."""
-    checkpoint = checkpoint or f"{shared_dir(quotes.sparkSession)}/latest-quotes"
+    name = hashlib.sha256(path.encode()).hexdigest()[:16]
+    checkpoint = checkpoint or f"{shared_dir(quotes.sparkSession)}/latest-quotes-{name}"  # one for each table
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession

@@ -1,0 +1,247 @@
+"""Sources as they land, serving rules, and the life of a model from bars to a persisted forecast."""
+
+import math
+import os
+import zipfile
+from datetime import date, datetime, timedelta
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from quartzline.functions import exprs as X
+from quartzline.operators import asof, bars, evaluation, features, serving, training, windows
+from quartzline.sources import market as sources
+
+
+def minutes_csv(path, text):
+    path.write_text(text)
+    return str(path)
+
+
+def rows_of(df, *columns, order="ts"):
+    return [tuple(r[c] for c in columns) for r in df.orderBy(order).collect()]
+
+
+def test_raw_minutes_drop_first_and_take_the_unit_of_the_file(spark, tmp_path):
+    head = "timestamp,open,high,low,close,volume\n"
+    path = minutes_csv(tmp_path / "ms.csv", head + "1735689600000,1,2,0.5,1,\n1735689600000,,2,0.5,1,9\nx,1,1,1,1,1\n1735689660000,1,2,0.5,1.5,7\n")
+    assert rows_of(sources.raw_minutes(spark, path, "udx"), "close", "volume") == [(1.0, 0.0), (1.5, 7.0)]
+    path = minutes_csv(tmp_path / "s.csv", head + "1735689600,1,2,0.5,1,3\n1735689660,1,2,0.5,1.5,4\n99999999999,1,2,0.5,8,4\n")
+    assert [str(t) for (t,) in rows_of(sources.raw_minutes(spark, path, "udx"), "ts")][:2] == ["2025-01-01 00:00:00", "2025-01-01 00:01:00"]
+    (r,) = bars.resample(sources.metal_minutes(spark, minutes_csv(tmp_path / "m.csv", head + "1735689600000,31.1034768,31.414511568,30.792442032,31.1034768,2\n1735689660000,31.1034768,31.725546336,30.481407264,31.414511568,3\n"), "silver")).collect()
+    assert (round(r.open, 6), round(r.close, 6), r.volume, r.minute_count) == (1000.0, 1010.0, 5.0, 2)
+    with pytest.raises(ValueError, match="no valid timestamps"):
+        sources.raw_minutes(spark, minutes_csv(tmp_path / "none.csv", head + "x,1,1,1,1,1\n"), "udx")
+
+
+def test_other_csv_sources_and_routing(spark, tmp_path):
+    m1 = minutes_csv(tmp_path / "n.csv", "﻿Timestamp_UTC,open_usd_per_kg,high_usd_per_kg,low_usd_per_kg,close_usd_per_kg\n2025-01-01T00:00:00Z,1,2,0.5,1\n2025-01-01T00:00:00Z,1,2,0.5,1.25\n2025-01-01T00:01:00Z,,2,0.5,1\n")
+    assert rows_of(sources.normalised_minutes(spark, m1, "silver"), "close", "volume") == [(1.25, 0.0)]
+    h1 = minutes_csv(tmp_path / "h.csv", "timestamp_utc,open,high,low,close,volume,minute_count\n2025-01-01 00:00:00,1,2,0.5,1,60,60\n2025-01-01 00:00:00,1,2,0.5,1.5,60,59\n2025-01-01 01:00:00,1,2,0.5,nan,60,60\n")
+    assert rows_of(sources.hourly_bars(spark, h1, "silver"), "close", "minute_count") == [(1.5, 59)]
+    assert rows_of(sources.context_bars(spark, h1, "gold"), "close") == [(1.5,)]
+    with pytest.raises(ValueError, match="no rows with a close"):
+        sources.context_bars(spark, minutes_csv(tmp_path / "e.csv", "timestamp_utc,close\n2025-01-01,x\n"), "gold")
+    both = sources.routed({"silver": lambda p, k: sources.context_bars(spark, p, k), "gold": lambda p, k: sources.context_bars(spark, p, k)}, {"silver": h1, "gold": h1})
+    assert {r.series: (r.rows, r.days) for r in sources.coverage(both).collect()} == {"silver": (1, 1), "gold": (1, 1)}
+    with pytest.raises(ValueError, match="no source for wti"):
+        sources.routed({}, {"wti": h1})
+    named = sources.with_instrument(both).select("series", "symbol", "kind").distinct()
+    assert {tuple(r) for r in named.collect()} == {("silver", "XAG/USD", "metal"), ("gold", "XAU/USD", "metal")}
+    with pytest.raises(Exception, match="unknown instrument tin"):
+        sources.with_instrument(both.withColumn("series", F.lit("tin"))).collect()
+    raw = spark.createDataFrame([("1735689600000", "31.1034768", "31.2", "31", "31.1034768", "1"), ("1735689660", "0", "1", "1", "1", "1")], "timestamp string, open string, high string, low string, close string, volume string")
+    out = sources.normalise(raw, "silver", "XAG/USD", "vendor").collect()
+    assert [tuple(map(str, r))[:3] + (r.price_unit,) for r in out] == [("2025-01-01T00:00:00Z", "1735689600000", "1000.000000", "USD/kg")] and tuple(out[0].asDict()) == sources.NORMALISED
+
+
+def test_archives_follow_the_rules_of_rows(spark, tmp_path):
+    ok = "20250101 000{m}00;1;2;0.5;1;{v}"
+    lines = ["﻿" + ok.format(m=0, v=0), ok.format(m=1, v=""), ok.format(m=2, v="x"), "20250101 000300;1;2;0.5;1", ok.format(m=4, v=3), ok.format(m=1, v=1), "20250101 000500;3;2;0.5;1;0", "bad", "20250101 000600;nan;2;0.5;1;0"]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("b.CSV", "\n".join(lines))
+        z.writestr("a.txt", ok.format(m=9, v=9))
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("c.csv", "\r\n".join([ok.format(m=3, v=1), ok.format(m=7, v=1)]))
+    first = 1735689600000 + 5 * 3600 * 1000
+    got = rows_of(sources.zipped_rows(spark, str(tmp_path), "gold"), "ms", "volume", order="ms")
+    assert got == [(first, 0.0), (first + 60_000, 0.0), (first + 240_000, 3.0), (first + 420_000, 1.0)]
+    assert len(rows_of(sources.zipped_rows(spark, str(tmp_path), "gold", first + 60_000, first + 240_000), "ms", order="ms")) == 2
+    (tmp_path / "c.zip").write_bytes(b"PK no archive")
+    assert sources.zipped_rows(spark, str(tmp_path), "gold", broken="skip").count() == 4
+    with pytest.raises(Exception, match="c.zip"):
+        sources.zipped_rows(spark, str(tmp_path), "gold").collect()
+
+
+def test_landing_resumes_and_files_are_found(spark, tmp_path):
+    plan = spark.createDataFrame([("2023",), ("2024",), ("2025",), ("2026",)], "name string")
+    assert sources.pending(spark, plan, str(tmp_path / "none")).count() == 4
+    (tmp_path / "2023.csv").write_text("x" * 200)
+    (tmp_path / "2024.csv").write_text("x")
+    (tmp_path / "2025.empty").write_text("")
+    assert sorted(r.name for r in sources.pending(spark, plan, str(tmp_path)).collect()) == ["2024", "2026"]
+    os.utime(tmp_path / "2023.csv", (9e8, 9e8))
+    assert sources.newest_file(spark, str(tmp_path), "*.csv").first().path.endswith("2024.csv")
+
+
+def test_tables_appear_as_a_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "t")
+    d = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "series string, x double")
+    assert sources.write_table(d, path) == 2 and sources.write_table(d.limit(1), path) == 1 and spark.read.parquet(path).count() == 1
+    with pytest.raises(ValueError, match="nothing to write"):
+        sources.write_table(d.limit(0), path)
+    assert spark.read.parquet(path).count() == 1 and [p for p in os.listdir(tmp_path) if "part" in p] == []
+    sources.write_report(d, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 2
+    parts = spark.createDataFrame([("p1", "aGVs"), ("p2", "bG8=")], "name string, part string")
+    assert sources.verified_bundle(parts, "2CF24DBA5FB0A30E26E83B2AC5B9E29E1B161E5C1FA7425E73043362938B9824") == b"hello"
+    with pytest.raises(ValueError, match="checksum"):
+        sources.verified_bundle(parts, "00")
+
+
+def test_tags_by_block_equal_tags_of_the_whole(spark):
+    rng = np.random.default_rng(2)
+    rows = [("s", f"f{i // 40}", i, int(rng.integers(0, 90)) + i // 2, 1.0, 2.0 if rng.random() < 0.8 else 0.0, 0.5, 1.0) for i in range(200)]
+    d = spark.createDataFrame(rows, "series string, file string, seq long, ms long, open double, high double, low double, close double")
+    tags = lambda **k: [r.tag for r in bars.tag_rows(d, **k).orderBy("seq").collect()]
+    assert tags() == tags(block="file") and len(set(tags())) == 3
+
+
+def test_texts_and_dates(spark):
+    d = spark.createDataFrame([("Sat, 01 Feb 2025 10:00:00 GMT", 1234.5), ("1 Feb 2025 12:30:00 +0230", -0.001), ("soon", float("nan")), (None, None)], "t string, x double")
+    out = d.select(X.http_date(F.col("t")).cast("string"), X.price_text(F.col("x")), X.percent_text(F.col("x")), X.direction(F.col("x"))).collect()
+    assert [tuple(r) for r in out] == [("2025-02-01 10:00:00", "1,234.50", "+1234.50%", "up"), ("2025-02-01 10:00:00", "-0.00", "-0.00%", "neutral"), (None, "—", "—", "neutral"), (None, "—", "—", "neutral")]
+    assert X.env_list(" Gold, silver,,gold ") == ("gold", "silver") and X.env_list(None) == ()
+    names = spark.createDataFrame([("silver_24h.json",), ("silver_24x",)], "n string").select(X.horizon_of(F.col("n")), X.symbol_of(F.lit("gold")), X.symbol_of(F.lit("tin"))).collect()
+    assert [tuple(r) for r in names] == [(24, "XAU", "TIN"), (None, "XAU", "TIN")]
+
+
+def test_breakers_quotes_and_requests(spark):
+    rng = np.random.default_rng(4)
+    rows = [("api", int(us), i, [bool(rng.random() < 0.5), bool(rng.random() < 0.6)]) for i, us in enumerate(np.sort(rng.integers(0, 900_000_000, 200)))]
+    got = {r.id: (r.provider, r.tried) for r in serving.through_breakers(spark.createDataFrame(rows, "service string, us long, id long, answers array<boolean>")).collect()}
+    shut = [0, 0]
+    for _, us, i, answers in rows:
+        tried, by = 0, None
+        for k in (0, 1):
+            if shut[k] <= us:
+                tried += 1
+                if answers[k]:
+                    shut[k], by = 0, k
+                    break
+                shut[k] = us + 60_000_000
+        assert got[i] == (by, tried)
+    m = spark.createDataFrame([("s", datetime(2025, 1, d, h), float(d * 100 + h)) for d, h in ((1, 9), (3, 5), (3, 8), (7, 1))], "series string, ts timestamp, close double")
+    quote = lambda day: [(str(r.ts), r.price) for r in serving.session_quote(m, day).collect()]
+    assert quote(date(2025, 1, 7)) == [("2025-01-03 08:00:00", 308.0)] and quote(date(2025, 1, 12)) == [] and quote(date(2025, 1, 8)) == [("2025-01-07 01:00:00", 701.0)]
+    assert [r.close for r in serving.newest(m, 2).orderBy("rank").collect()] == [701.0, 308.0]
+    asked = spark.createDataFrame([("gold", 24), ("tin", 24), ("gold", 0), ("gold", 5), (None, None)], serving.REQUEST)
+    assert [bool(r.error) for r in serving.checked_requests(asked).collect()] == [False, True, True, True, True]
+    assert serving.error_sample(serving.checked_requests(asked).withColumn("ts", F.col("horizon_hours")), 2).count() == 2
+    registry = spark.createDataFrame([("gold", 24), ("gold", 2), ("gold", 24)], "series string, horizon_hours int")
+    assert serving.models_by_metal(registry).first().horizons == [2, 24]
+
+
+def test_chunks_give_the_windows_of_whole_series(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    ts = pd.Series(pd.date_range("2024-01-01", periods=900, freq="h")).drop(index=list(range(40, 90)) + [500]).reset_index(drop=True)
+    x = np.where(rng.random(len(ts)) < 0.03, np.nan, np.r_[np.full(60, 7.0), 1000 + np.cumsum(rng.normal(0, 1, len(ts) - 60))])
+    pdf = pd.DataFrame({"series": "s", "ts": ts, "x": x, "high": x + rng.random(len(ts)), "low": x - rng.random(len(ts))})
+    d = spark.createDataFrame(pdf).select("series", "ts", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("x", "high", "low")])
+    c = windows.chunked(d, 60, 128)
+    assert c.where("not __halo").count() == len(ts) and c.groupBy("__chunk").count().agg(F.max("count")).first()[0] <= 188
+    got = windows.rolling_extremes(windows.rolling_sums(c, "x", "p", (2, 7, 24, 60)), "high", "low", (2, 7, 24, 60)).where("not __halo").orderBy("ts").toPandas()
+    for n in (2, 7, 24, 60):
+        r = pdf.x.rolling(n)
+        np.testing.assert_allclose(got[f"p_mean_{n}"].astype(float), r.mean(), rtol=1e-10)
+        np.testing.assert_allclose(got[f"p_sd_{n}"].astype(float), r.std(), rtol=1e-6, atol=1e-7)
+        np.testing.assert_array_equal(got[f"__top_{n}"].astype(float), pdf.high.rolling(n).max())
+        np.testing.assert_array_equal(got[f"__bottom_{n}"].astype(float), pdf.low.rolling(n).min())
+    assert (got["p_sd_7"][7:40] == 0).any()
+
+
+def market_bars(spark, n=700):
+    rng = np.random.default_rng(11)
+    frames = []
+    for k, (series, level) in enumerate({"silver": 900, "gold": 80_000, "udx": 100, "spx": 5000, "wti": 75}.items()):
+        close = level * (1 + np.cumsum(rng.normal(0, 0.002, n)))
+        frames.append(pd.DataFrame({"series": series, "ts": pd.date_range("2024-01-01", periods=n, freq="h") + pd.Timedelta(minutes=0), "open": close * 0.999, "high": close * 1.002, "low": close * 0.998, "close": close, "volume": float(k + 1), "minute_count": 60}))
+    return spark.createDataFrame(pd.concat(frames)).withColumn("minute_count", F.col("minute_count").cast("long"))
+
+
+def test_context_markets_chain(spark):
+    b = market_bars(spark, 200)
+    silver = b.where("series = 'silver'")
+    d = asof.with_providers(silver, b, ["gold_silver", "usd_index", "spx", "wti"])
+    r = d.orderBy(F.desc("ts")).first()
+    assert d.count() == 200 and [r[f"{k}_source_age_hours"] for k in ("gold", "udx", "spx", "wti")] == [0.0] * 4
+    assert math.isclose(r.usd_pressure_24h, -r.udx_log_return_24h) and math.isclose(r.gold_silver_ratio, r.gold_close_usd_per_kg / r.close)
+    assert asof.PROVIDERS["wti"].metadata() == {"name": "wti", "source_symbol": "WTI/USD", "source_unit": "usd_per_barrel", "alignment": "backward_asof", "future_quotes_allowed": False}
+    for names, said in ((["tin"], "unknown context market"), (["wti"], "needs hourly bars of wti")):
+        with pytest.raises(ValueError, match=said):
+            asof.with_providers(silver, b.where("series <> 'wti'"), names)
+
+
+def test_models_are_trained_kept_checked_and_used(spark, tmp_path):
+    root, b = str(tmp_path / "models"), market_bars(spark, 420)
+    config = training.Config(min_rows=100, splits=2, iterations=2, depth=2)
+    columns = ["ret_1h", "sma_ratio_24h", "spx_log_return_24h"]
+    choices = [evaluation.MedianReturn(), evaluation.Ridge(1.0), evaluation.Selective(evaluation.boosted("gbt", 2, depth=2), lookback_days=10)]
+    done = training.train_all(b, "silver", root, (2, 24), config, choices, columns, ["spx"])
+    assert [c.name for c in training.candidates(training.Config())] == ["median_return", "selective_gbt_q80_s25", "cross_fitted_selective_gbt"]
+    assert [c.name for c in choices] == ["median_return", "ridge_alpha_1", "selective_gbt_q80_s25_lookback_10d"]
+    for a in done:
+        h = a.record["horizon_hours"]
+        back = training.load(spark, root, "silver", h)
+        assert {k: v for k, v in back.record.items() if k not in ("fitted", "model_sha256")} == a.record
+        rows, _ = training.prepared(training.feature_base(b, "silver", ["spx"]), h, columns)
+        values = lambda f: [r.raw for r in f.predict(rows).orderBy("ts").collect()]
+        assert values(back.fitted) == values(a.fitted) and a.record["training_rows"] == rows.count() == a.record["metrics"]["rows_total"]
+        dev = a.record["selection"]["development_candidates"]
+        assert list(dev) == [c.name for c in choices] and all(m["completed_folds"] == 2 for m in dev.values())
+        assert a.record["selected_challenger"] == min(dev, key=lambda k: dev[k]["mae"])
+        f = training.latest_forecast(b, back).first()
+        last = b.where("series = 'silver'").orderBy(F.desc("ts")).first()
+        assert f.current_usd_per_kg == last.close and f.target_timestamp_utc == last.ts + timedelta(hours=h) and f.prediction_interval_80_low_usd_per_kg < f.prediction_interval_80_high_usd_per_kg
+        assert set(c.split()[0] for c in serving.PREDICTION.split(", ")) - set(training.latest_forecast(b, back).columns) == {"interval_note"}
+    assert [tuple(r) for r in training.available(spark, root).collect()] == [("silver", [2, 24])]
+    quote = spark.createDataFrame([("silver", datetime(2025, 1, 1), 1000.0)], "series string, ts timestamp, close double")
+    kept = training.Artifact(done[0].record | {"active_strategy": "persistence"}, done[0].fitted)
+    assert training.persistence_forecast(quote, kept).first().predicted_usd_per_kg == 1000.0
+    with pytest.raises(ValueError, match="needs features"):
+        training.persistence_forecast(quote, training.Artifact(done[0].record | {"active_strategy": "median_return"}, done[0].fitted))
+    active = training.Artifact(done[1].record | {"active_strategy": done[1].record["selected_challenger"]}, done[1].fitted)
+    assert training.latest_forecast(b, active).count() == 1
+    with pytest.raises(ValueError, match="horizon 5h"):
+        training.prepared(b, 5)
+    with pytest.raises(ValueError, match="at least"):
+        training.train(training.feature_base(b, "silver"), "silver", 2, training.Config(), choices, ["ret_1h"])
+    folder = training.place(root, "silver", 24)
+    (part,) = [p for p in os.listdir(f"{folder}/record") if p.startswith("part-")]
+    text = open(f"{folder}/record/{part}").read()
+    open(f"{folder}/record/{part}", "w").write(text.replace("silver", "golden", 1))
+    os.remove(f"{folder}/record/.{part}.crc")
+    with pytest.raises(ValueError, match="checksum"):
+        training.load(spark, root, "silver", 24)
+
+
+def test_ridge_penalty_follows_the_rows_of_each_fit(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 2)) * [1, 5] + [3, 0]
+    y = x @ [0.5, -0.1] + rng.normal(size=60)
+    d = spark.createDataFrame([(float(a), float(b), float(t)) for (a, b), t in zip(x, y)], "a double, b double, t double")
+    for n in (60, 25):
+        z = (x[:n] - x[:n].mean(0)) / x[:n].std(0)
+        w = np.linalg.solve(z.T @ z + 3.0 * np.eye(2), z.T @ (y[:n] - y[:n].mean()))
+        got = evaluation.Ridge(3.0).fit_predict(d.limit(n), d.limit(n), ["a", "b"], "t").select("raw").toPandas()["raw"]
+        np.testing.assert_allclose(got, z @ w + y[:n].mean(), rtol=1e-3, atol=2e-2)
+
+
+def test_features_do_not_move_when_later_rows_come(spark):
+    b = market_bars(spark, 120).where("series = 'silver'")
+    cut = b.orderBy("ts").limit(100)
+    names = ["ret_1h", "sma_ratio_24h", "close_zscore_24h", "volatility_48h", "range_position_72h", "rsi_14", "stochastic_d_3"]
+    one, two = (features.build_features(x).orderBy("ts").limit(100).select(*names).toPandas() for x in (cut, b))
+    pd.testing.assert_frame_equal(one, two, check_exact=False, rtol=1e-9)

@@ -46,7 +46,7 @@ def test_resample_takes_first_and_last_and_skips_empty_hours(spark):
 
 
 def test_minutes_convert_to_kilograms(spark, tmp_path):
-    (tmp_path / "m.csv").write_text(" Timestamp ,open,HIGH,low,close,volume\n1735689600000,31.1034768,31.414511568,30.792442032,31.1034768,2\n1735689660,31.1034768,31.725546336,30.481407264,31.414511568,3\nx,1,1,1,1,1\n1735689720000,,1,1,1,1\n")
+    (tmp_path / "m.csv").write_text(" Timestamp ,open,HIGH,low,close,volume\n1735689600000,31.1034768,31.414511568,30.792442032,31.1034768,2\n1735689660000,31.1034768,31.725546336,30.481407264,31.414511568,3\nx,1,1,1,1,1\n1735689720000,,1,1,1,1\n")
     d = sources.raw_minutes(spark, str(tmp_path / "m.csv"), "silver")
     d = d.withColumns({c: X.usd_per_kg(F.col(c)) for c in ("open", "high", "low", "close")})
     (r,) = bars.resample(d).collect()
