@@ -6,14 +6,16 @@ measures are rounded to six places, so that both engines print the same.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzline.functions import exprs as X
-from quartzline.operators import asof, bars, evaluation, features, serving, windows
-from quartzline.session import table, written
+from quartzline.operators import asof, bars, evaluation, features, serving, training, windows
+from quartzline.session import shared_dir, table, written
+from quartzline.sources import market as sources
 
 SERIES = {"purchase": "silver", "view": "gold", "click": "udx", "signup": "spx", "error": "wti"}
 
@@ -195,14 +197,51 @@ def elapsed_z_sql(h: int, x: str = "close") -> str:
     return f"CASE WHEN count({x}) {w} < {max(4, min(24, h // 2))} THEN NULL WHEN stddev_samp({x}) {w} = 0 THEN 0.0 ELSE ({x} - avg({x}) {w}) / stddev_samp({x}) {w} END"
 
 
-def context_sql() -> str:
+def source_sql(name: str) -> str:
+    """CTEs s and u (bars of silver and of a context market), s{h} and u{h} (their elapsed returns), and v (the market with its own columns)."""
     hs = asof.RETURN_HOURS
-    parts = [f"s AS (SELECT ts, close FROM bars WHERE series = 'silver')", "u AS (SELECT ts, close FROM bars WHERE series = 'udx')"]
+    parts = ["s AS (SELECT ts, close FROM bars WHERE series = 'silver')", f"u AS (SELECT ts, close FROM bars WHERE series = '{name}')"]
     parts += [f"u{h} AS ({elapsed_return_sql('u', h)}), s{h} AS ({elapsed_return_sql('s', h)})" for h in hs]
-    parts.append("v AS (SELECT u.ts AS at, close, " + ", ".join(f"u{h}.r AS r{h}" for h in hs) + ", " + ", ".join(f"{elapsed_z_sql(h)} AS z{h}" for h in asof.ZSCORE_HOURS) + " FROM (SELECT *, ts AS t FROM u) u " + " ".join(f"JOIN (SELECT ts AS t{h}, r FROM u{h}) u{h} ON u{h}.t{h} = u.t" for h in hs) + ")")
-    cols = {"udx_close": "v.close"} | {f"udx_log_return_{h}h": f"v.r{h}" for h in hs} | {f"udx_close_zscore_{h}h": f"v.z{h}" for h in asof.ZSCORE_HOURS} | {"udx_source_age_hours": "epoch(s.ts - v.at) / 3600"}
-    cols |= {f"silver_minus_udx_return_{h}h": f"s{h}.r - v.r{h}" for h in hs} | {f"usd_pressure_{h}h": f"-v.r{h}" for h in hs}
-    return f"WITH {BARS}, {', '.join(parts)} SELECT {sql_round(cols, chr(39) + 'silver' + chr(39) + ' AS series, epoch(s.ts)::BIGINT AS ts_s')} FROM s ASOF LEFT JOIN v ON s.ts >= v.at " + " ".join(f"JOIN s{h} ON s{h}.ts = s.ts" for h in hs)
+    returns, scores = ", ".join(f"u{h}.r AS r{h}" for h in hs), ", ".join(f"{elapsed_z_sql(h)} AS z{h}" for h in asof.ZSCORE_HOURS)
+    parts.append(f"v AS (SELECT u.ts AS at, close, {returns}, {scores} FROM (SELECT *, ts AS t FROM u) u " + " ".join(f"JOIN (SELECT ts AS t{h}, r FROM u{h}) u{h} ON u{h}.t{h} = u.t" for h in hs) + ")")
+    return ", ".join(parts)
+
+
+def context_sql(name: str = "udx", pressure: bool = True) -> str:
+    hs = asof.RETURN_HOURS
+    cols = {f"{name}_close": "v.close"} | {f"{name}_log_return_{h}h": f"v.r{h}" for h in hs} | {f"{name}_close_zscore_{h}h": f"v.z{h}" for h in asof.ZSCORE_HOURS} | {f"{name}_source_age_hours": "epoch(s.ts - v.at) / 3600"}
+    cols |= {f"silver_minus_{name}_return_{h}h": f"s{h}.r - v.r{h}" for h in hs}
+    if pressure:
+        cols |= {f"usd_pressure_{h}h": f"-v.r{h}" for h in hs}
+    return f"WITH {BARS}, {source_sql(name)} SELECT {sql_round(cols, chr(39) + 'silver' + chr(39) + ' AS series, epoch(s.ts)::BIGINT AS ts_s')} FROM s ASOF LEFT JOIN v ON s.ts >= v.at " + " ".join(f"JOIN s{h} ON s{h}.ts = s.ts" for h in hs)
+
+
+def context_query(name: str):
+    columns = [c.replace("udx", name) for c in CONTEXT if not c.startswith("usd_pressure")]
+
+    def query(spark, sf_dir):
+        b = written(hourly(spark, sf_dir), "bars")
+        return rounded(asof.with_providers(one(b, "silver"), b, [name]), columns)
+
+    return query
+
+
+GOLD_ALL = ["gold_close_usd_per_kg", *[f"gold_log_return_{h}h" for h in asof.RETURN_HOURS], *[f"gold_close_zscore_{h}h" for h in asof.ZSCORE_HOURS], "gold_source_age_hours", "gold_silver_ratio", *[f"gold_silver_ratio_zscore_{h}h" for h in asof.ZSCORE_HOURS], *[f"gold_silver_ratio_log_return_{h}h" for h in asof.RETURN_HOURS], *[f"gold_minus_silver_return_{h}h" for h in asof.RETURN_HOURS]]
+
+
+def q_gold_context(spark, sf_dir):
+    b = written(hourly(spark, sf_dir), "bars")
+    return rounded(asof.with_providers(one(b, "silver"), b, ["gold_silver"]), GOLD_ALL)
+
+
+def gold_sql() -> str:
+    hs, zs = asof.RETURN_HOURS, asof.ZSCORE_HOURS
+    joined = "j AS (SELECT s.ts, v.close AS g, epoch(s.ts - v.at) / 3600 AS age, v.close / nullif(s.close, 0) AS q, " + ", ".join([f"v.r{h}" for h in hs] + [f"v.z{h}" for h in zs]) + " FROM s ASOF LEFT JOIN v ON s.ts >= v.at), k AS (SELECT ts, q FROM j WHERE q IS NOT NULL)"
+    ratios = ", ".join(f"k{h} AS ({elapsed_return_sql('k', h, 'q')})" for h in hs)
+    scored_j = "w AS (SELECT *, " + ", ".join(f"{elapsed_z_sql(h, 'q')} AS q{h}" for h in zs) + " FROM j)"
+    cols = {"gold_close_usd_per_kg": "w.g"} | {f"gold_log_return_{h}h": f"w.r{h}" for h in hs} | {f"gold_close_zscore_{h}h": f"w.z{h}" for h in zs} | {"gold_source_age_hours": "w.age", "gold_silver_ratio": "w.q"}
+    cols |= {f"gold_silver_ratio_zscore_{h}h": f"w.q{h}" for h in zs} | {f"gold_silver_ratio_log_return_{h}h": f"k{h}.r" for h in hs} | {f"gold_minus_silver_return_{h}h": f"w.r{h} - s{h}.r" for h in hs}
+    return f"WITH {BARS}, {source_sql('gold')}, {joined}, {ratios}, {scored_j} SELECT {sql_round(cols, chr(39) + 'silver' + chr(39) + ' AS series, epoch(w.ts)::BIGINT AS ts_s')} FROM w " + " ".join(f"LEFT JOIN k{h} ON k{h}.ts = w.ts JOIN s{h} ON s{h}.ts = w.ts" for h in hs)
 
 
 GOLD = ["gold_close_usd_per_kg", "gold_source_age_hours", "gold_silver_ratio", *[f"gold_silver_ratio_zscore_{h}h" for h in asof.ZSCORE_HOURS]]
@@ -454,14 +493,118 @@ def q_boosted_forecast(spark, sf_dir):
     return scored(reduce(DataFrame.unionByName, parts).withColumn("p", F.col("close") * F.exp("raw")), "p", ["series"])
 
 
+def q_lookback_walk_forward(spark, sf_dir):
+    return scored(evaluation.walk_forward_median(positive(prepared(spark, sf_dir)), 24, 5, lookback_days=7), "predicted", ["series"])
+
+
+S_LOOKBACK = S_WALK_FORWARD.replace("f.tts < st.start GROUP", "f.tts < st.start AND f.ts >= st.start - INTERVAL 7 DAYS GROUP")
+
+
+RANGE_MS = (1704412800000, 1705622400000)
+
+
+def q_tag_range(spark, sf_dir):
+    """tag_report's rows within two dates, by block of 500 arrivals."""
+    t = ticks(spark, sf_dir)
+    bad = F.col("seq") % 7 == 0
+    order = F.struct((F.col("seq") - 40 * (F.col("seq") % 5)).alias("a"), "seq")
+    d = t.select("series", F.unix_millis("ts").alias("ms"), F.col("price").alias("open"), (F.col("price") + F.when(bad, -1).otherwise(1)).alias("high"), (F.col("price") - 1).alias("low"), F.col("price").alias("close"), order.alias("seq"))
+    d = d.withColumn("block", F.floor(F.col("seq.a") / 500))
+    tagged = bars.tag_rows(d, start_ms=RANGE_MS[0], end_ms=RANGE_MS[1], block="block")
+    return tagged.groupBy("series", "tag").agg(F.count("*").alias("rows"))
+
+
+S_TAG_RANGE = f"""WITH {TICKS}, d AS (SELECT series, epoch_us(ts) // 1000 AS ms, seq % 7 <> 0 AS ok, epoch_us(ts) // 1000 BETWEEN {RANGE_MS[0]} AND {RANGE_MS[1] - 1} AS inside, row_number() OVER (PARTITION BY series ORDER BY seq - 40 * (seq % 5), seq) AS o FROM ticks),
+m AS (SELECT *, max(CASE WHEN ok AND inside THEN ms END) OVER (PARTITION BY series ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM d)
+SELECT series, CASE WHEN NOT inside THEN 'out_of_range' WHEN ms <= before THEN 'duplicate' WHEN NOT ok THEN 'malformed' ELSE 'written' END AS tag, count(*) AS rows FROM m GROUP BY 1, 2"""
+
+
+def q_coverage(spark, sf_dir):
+    d = sources.coverage(ticks(spark, sf_dir), "2024-01-05")
+    return d.select("series", seconds("first_ts", "first_s"), seconds("last_ts", "last_s"), "rows", "days")
+
+
+S_COVERAGE = f"WITH {TICKS} SELECT series, epoch_us(min(ts)) // 1000000 AS first_s, epoch_us(max(ts)) // 1000000 AS last_s, count(*) AS rows, count(DISTINCT ts::DATE) AS days FROM ticks WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY series"
+
+
+def q_session_quotes(spark, sf_dir):
+    d = serving.session_quote(ticks(spark, sf_dir).withColumnRenamed("price", "close"), "2024-01-20")
+    return d.select("series", seconds(), F.round("price", 6).alias("price"), X.symbol_of(F.col("series")).alias("symbol"))
+
+
+S_SESSION = f"WITH {TICKS} SELECT series, epoch_us(max(ts)) // 1000000 AS ts_s, round(arg_max(price, ts), 6) AS price, CASE series WHEN 'silver' THEN 'XAG' WHEN 'gold' THEN 'XAU' ELSE upper(series) END AS symbol FROM ticks WHERE ts >= TIMESTAMP '2024-01-16' AND ts < TIMESTAMP '2024-01-20' GROUP BY series"
+
+
+def q_newest_bars(spark, sf_dir):
+    return serving.newest(hourly(spark, sf_dir)).select("series", seconds(), F.round("close", 6).alias("close"), "rank")
+
+
+S_NEWEST = f"WITH {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts DESC)::INT AS rank FROM bars) SELECT series, epoch(ts)::BIGINT AS ts_s, round(close, 6) AS close, rank FROM n WHERE rank <= 6"
+
+
+def q_requests_checked(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    metal = F.element_at(F.array(*[F.lit(m) for m in (*serving.METALS, "tin")]), (F.col("event_id") % 5 + 1).cast("int"))
+    hours = F.element_at(F.array(*[F.lit(h) for h in (*X.HORIZONS, 0, 5)]), (F.col("event_id") % 11 + 1).cast("int"))
+    return serving.checked_requests(e.select("event_id", metal.alias("metal"), hours.alias("horizon_hours")))
+
+
+S_REQUESTS = """WITH r AS (SELECT event_id, ['gold', 'silver', 'palladium', 'platinum', 'tin'][event_id % 5 + 1] AS metal, [2, 4, 8, 12, 24, 72, 168, 360, 720, 0, 5][event_id % 11 + 1]::INT AS horizon_hours FROM events)
+SELECT *, CASE WHEN metal = 'tin' THEN 'metal must be one of gold, silver, palladium, platinum' WHEN horizon_hours < 1 THEN 'horizon_hours must be at least 1' WHEN horizon_hours = 5 THEN 'horizon 5h is not supported' END AS error FROM r"""
+
+
+def q_texts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    stamp = F.date_format(F.col("o_orderdate").cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    return o.select("o_orderkey", X.price_text(F.col("o_totalprice")).alias("price"), X.percent_text(X.percent_change((F.col("o_orderkey") % 3000).cast("double"), F.lit(1000.0))).alias("change"), F.unix_seconds(X.http_date(stamp)).alias("date_s"), X.horizon_of(F.concat(F.lit("silver_"), F.col("o_orderkey") % 720, F.lit("h.json"))).alias("hours"))
+
+
+S_TEXTS = """SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS price, CASE WHEN o_orderkey % 3000 > 1000 THEN '+' ELSE '' END || format('{:.2f}%', ((o_orderkey % 3000) / 1000.0::DOUBLE - 1) * 100) AS change, epoch_us(o_orderdate) // 1000000 AS date_s, (o_orderkey % 720)::INT AS hours FROM orders"""
+
+
+def q_registry(spark, sf_dir):
+    seen = hourly(spark, sf_dir).select("series", F.element_at(F.array(*[F.lit(h) for h in X.HORIZONS]), F.hour("ts") % 6 + 1).alias("horizon_hours"))
+    return serving.models_by_metal(seen).select("series", F.array_join("horizons", ",").alias("horizons"))
+
+
+S_REGISTRY = f"WITH {BARS}, h AS (SELECT DISTINCT series, [2, 4, 8, 12, 24, 72, 168, 360, 720][hour(ts) % 6 + 1] AS h FROM bars) SELECT series, string_agg(h::VARCHAR, ',' ORDER BY h) AS horizons FROM h GROUP BY series"
+
+
+def q_circuit_breaker(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    answers = F.array(F.col("event_id") % 3 == 0, F.col("event_id") % 4 < 2)
+    d = e.select(F.lit("api").alias("service"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"), answers.alias("answers"))
+    return serving.through_breakers(d, 3600).groupBy("provider", "tried").agg(F.count("*").alias("requests"))
+
+
+def q_train_and_forecast(spark, sf_dir):
+    """Silver's forecasts by artifacts that were trained, saved, checked and loaded again. README lists what is less than the reference's."""
+    b = written(hourly(spark, sf_dir).where(F.col("close") > 0), "bars")
+    root = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    config = training.Config(min_rows=300, splits=2, iterations=3, depth=3)
+    base = evaluation.boosted("gbt", config.iterations, config.step, config.depth, config.seed)
+    choices = [evaluation.MedianReturn(), evaluation.Selective(base, 0.8, 0.25), evaluation.Ridge(1.0)]
+    columns = ["ret_1h", "sma_ratio_24h", "close_zscore_24h", "volatility_24h", "rsi_14", "spx_log_return_24h", "gold_silver_ratio"]
+    done = training.train_all(b, "silver", root, (2, 24), config, choices, columns, ("spx", "gold_silver"))
+    parts = [training.latest_forecast(b, training.load(spark, root, "silver", a.record["horizon_hours"])) for a in done]
+    return reduce(DataFrame.unionByName, parts).drop("timestamp_utc", "target_timestamp_utc")
+
+
+S_HOURLY_FEATURES = f"SELECT * FROM ({rolling_sql()}) JOIN ({exponential_sql()}) USING (series, ts_s)"
+
+
 QUERIES = {
     "hourly_bars": q_hourly_bars, "daily_bars": q_daily_bars, "hourly_features": q_hourly_features, "rolling_features": q_rolling_features, "exponential_features": q_exponential_features,
     "usd_context": q_usd_context, "gold_ratio": q_gold_ratio, "targets": q_targets, "walk_forward": q_walk_forward, "folds": q_folds, "holdout_persistence": q_holdout_persistence,
     "selective_grid": q_selective_grid, "champions": q_champions, "predictions": q_predictions, "tag_report": q_tag_report, "keep_last": q_keep_last, "unit_conversion": q_unit_conversion,
     "exposition": q_exposition, "missing_models": q_missing_models, "fresh_quotes": q_fresh_quotes, "rate_limit": q_rate_limit, "json_props": q_json_props, "year_chunks": q_year_chunks, "boosted_forecast": q_boosted_forecast,
+    "spx_context": context_query("spx"), "wti_context": context_query("wti"), "gold_context": q_gold_context, "lookback_walk_forward": q_lookback_walk_forward, "tag_range": q_tag_range, "coverage": q_coverage, "session_quotes": q_session_quotes,
+    "newest_bars": q_newest_bars, "requests_checked": q_requests_checked, "texts": q_texts, "registry": q_registry, "circuit_breaker": q_circuit_breaker, "train_and_forecast": q_train_and_forecast,
 }
 ORACLES = {
     "hourly_bars": S_HOURLY_BARS, "daily_bars": S_DAILY_BARS, "rolling_features": rolling_sql(), "exponential_features": exponential_sql(), "usd_context": context_sql(), "gold_ratio": S_GOLD_RATIO, "targets": S_TARGETS,
     "walk_forward": S_WALK_FORWARD, "folds": S_FOLDS, "holdout_persistence": S_HOLDOUT, "selective_grid": grid_sql(), "champions": S_CHAMPIONS, "predictions": S_PREDICTIONS, "tag_report": S_TAG_REPORT, "keep_last": S_KEEP_LAST,
     "unit_conversion": S_UNIT_CONVERSION, "exposition": S_EXPOSITION, "missing_models": S_MISSING, "fresh_quotes": S_FRESH, "json_props": S_JSON, "year_chunks": S_YEARS,
+    "hourly_features": S_HOURLY_FEATURES, "spx_context": context_sql("spx", False), "wti_context": context_sql("wti", False), "gold_context": gold_sql(), "lookback_walk_forward": S_LOOKBACK, "tag_range": S_TAG_RANGE, "coverage": S_COVERAGE,
+    "session_quotes": S_SESSION, "newest_bars": S_NEWEST, "requests_checked": S_REQUESTS, "texts": S_TEXTS, "registry": S_REGISTRY,
 }
