@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quartzline.functions.exprs import finite, ratio
+from quartzline.session import written
 
 # The grid of the cross-fitted selection, the gate in percent, and the least rows for training.
 QUANTILES = (0.5, 0.7, 0.8, 0.9, 0.95)
@@ -246,7 +247,7 @@ def require_rows(df: DataFrame, least: int = MIN_ROWS) -> int:
 def walk_forward(df: DataFrame, base: Forecaster, features: list[str], h: int, splits: int) -> DataFrame:
     """Out-of-fold predictions of one series, all folds pooled: each fold's model sees purged earlier rows only. Folds without training rows are left out."""
     target = f"target_{h}h"
-    d = with_fold(numbered(df), splits)
+    d = written(with_fold(numbered(df), splits), "folds")  # read by several jobs for each fold
     train = training_rows(d, f"target_timestamp_{h}h", base.lookback_days)
     parts = []
     for k in range(1, splits + 1):
@@ -319,7 +320,7 @@ def select(df: DataFrame, candidates: list[Estimator], features: list[str], h: i
     if not 0.6 <= share <= 0.9:
         raise ValueError("the holdout takes 10% to 40% of the rows")
     target, reached = f"target_{h}h", f"target_timestamp_{h}h"
-    d = with_holdout(numbered(df), share).drop("rn", "n")
+    d = written(with_holdout(numbered(df), share).drop("rn", "n"), "selection")
     dev, rest = d.where("development").drop("development"), d.where("not development").drop("development")
     if min_rows:
         require_rows(dev, min_rows)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzline.functions.exprs import above_zero, finite, ratio
-from quartzline.operators.windows import IN_CHUNK, chunked, exponential, lag, rolling_extremes, rolling_sums
+from quartzline.operators.windows import IN_CHUNK, chunked, exponential, rolling_extremes, rolling_sums
 from quartzline.session import written
 
 # Lags and window lengths in rows, and spans of the exponential means.
@@ -23,10 +23,11 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 def exponential_features(bars: DataFrame) -> DataFrame:
     """EMA ratios, MACD, RSI, ATR and the directional indicators, beside the bars."""
-    c, pc = F.col("close"), lag("close")
+    before = lambda x: F.expr(f"lag({x}) {IN_CHUNK}")
+    c, pc = F.col("close"), before("close")
     d = c - pc
-    up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
-    b = bars.withColumns(
+    up, down = F.col("high") - before("high"), before("low") - F.col("low")
+    b = chunked(bars, 1).withColumns(
         {
             "__g": above_zero(d),
             "__l": above_zero(-d),
@@ -35,6 +36,7 @@ def exponential_features(bars: DataFrame) -> DataFrame:
             "__m": F.when((down > up) & (down > 0), down).otherwise(0.0),
         }
     )
+    b = b.where("NOT __halo").drop("__rn", "__chunk", "__halo")
     wilder = {f"__e{k}": (f"__{k}", WILDER, 14) for k in ("g", "l", "tr", "p", "m")}
     b = exponential(b, {f"__ema{n}": ("close", 2 / (n + 1), 0) for n in SPANS} | wilder)
     plus, minus = (100 * ratio(F.col(f"__e{k}"), F.col("__etr")) for k in "pm")

@@ -12,6 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quartzline.functions.exprs import micros
+from quartzline.session import written
+
 
 def by_time():
     return Window.partitionBy("series").orderBy("ts")
@@ -134,19 +136,89 @@ def streamed(df: DataFrame, keys: list[str], order: list[str], start, step, adde
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def folded(df: DataFrame, keys: list[str], order: list[str], start, step, result, schema: T.StructType) -> DataFrame:
+    """One row for each key: the key, and what result(state) gives after step(state, row as dict) has seen its rows in order."""
+    into = T.StructType([*[df.schema[k] for k in keys], *schema.fields])
+
+    def run(batches):
+        at, state, out = None, None, []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in keys]
+            inputs = {c: batch.column(c).to_pylist() for c in step.reads}
+            for i in range(batch.num_rows):
+                key = tuple(c[i] for c in columns)
+                if state is None or key != at:
+                    if state is not None:
+                        out.append((*at, *result(state)))
+                    at, state = key, start()
+                step(state, {c: v[i] for c, v in inputs.items()})
+        if state is not None:
+            out.append((*at, *result(state)))
+        made = list(zip(*out, strict=True)) or [()] * len(into)
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=to_arrow_type(f.dataType)) for v, f in zip(made, into.fields, strict=True)], names=into.names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, into)
+
+
+def some(v) -> float | None:
+    return None if v is None or v != v else float(v)
+
+
 def exponential(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFrame:
     """Adds exponential means: name -> (column, alpha, least number of values).
 
-    The recursion y = (1 - a) y + a x runs in time order within a series and lets old weight decay over missing values. Series run
-    in parallel; of each only the last mean, its weight and the number of values are held.
+    The recursion y = (1 - a) y + a x runs in time order within a series and lets old weight decay over missing values. It runs by chunk:
+    what a chunk does to the mean before it is a straight line in its first mean, so one row a chunk is enough to find where each begins, and
+    then all chunks finish side by side.
     """
+    reads, names = sorted({x for x, _, _ in specs.values()}), list(specs)
+    d = written(chunked(df, 0), "ewm-chunks")
+
+    def line(state: dict, row: dict) -> None:
+        """state: rows so far, and of each spec (values, place and value of the first, slope and offset since, place of the last)."""
+        at = state["rows"] = state.get("rows", 0) + 1
+        for name, (x, alpha, _) in specs.items():
+            v = some(row[x])
+            if v is None:
+                continue
+            if name not in state:
+                state[name] = (1, at, v, 1.0, 0.0, at)
+                continue
+            n, first, value, slope, offset, last = state[name]
+            w = (1.0 - alpha) ** (at - last)
+            keep = w / (w + alpha)
+            state[name] = (n + 1, first, value, slope * keep, offset * keep + v * alpha / (w + alpha), at)
+
+    line.reads = reads
+    blank = (0, 0, 0.0, 0.0, 0.0, 0)
+    doubles = T.ArrayType(T.DoubleType())
+    ends = folded(d, ["series", "__chunk"], ["__rn"], dict, line, lambda s: [s["rows"], *[[float(v) for v in s.get(name, blank)] for name in names]], T.StructType([T.StructField("rows", T.LongType()), *[T.StructField(f"__{k}", doubles) for k in range(len(names))]]))
+
+    def carry(state: dict, row: dict) -> list:
+        """Each chunk's start: mean (null for none yet), weight and number of values of every spec; one row a chunk passes here."""
+        before = [state.get(name, (None, 1.0, 0)) for name in names]
+        for k, name in enumerate(names):
+            mean, weight, count = before[k]
+            alpha, (n, first, value, slope, offset, last) = specs[name][1], row[f"__{k}"]
+            if n:
+                w = weight * (1.0 - alpha) ** first
+                begun = value if mean is None else (w * mean + alpha * value) / (w + alpha)
+                state[name] = (slope * begun + offset, (1.0 - alpha) ** (row["rows"] - last), count + int(n))
+            elif mean is not None:
+                state[name] = (mean, weight * (1.0 - alpha) ** row["rows"], count)
+        return [[b[0] for b in before], [b[1] for b in before], [float(b[2]) for b in before]]
+
+    carry.reads = ["rows", *[f"__{k}" for k in range(len(names))]]
+    starts = streamed(ends, ["series"], ["__chunk"], dict, carry, T.StructType([T.StructField(f"__{k}_at", doubles) for k in ("mean", "weight", "count")]))
+    starts = starts.select("series", (F.col("__chunk") * CHUNK).alias("__rn"), "__mean_at", "__weight_at", "__count_at")
 
     def step(state: dict, row: dict) -> list:
+        if not state:
+            state.update({name: (m, w, int(n)) for name, m, w, n in zip(names, row["__mean_at"], row["__weight_at"], row["__count_at"], strict=True)})
         out = []
         for name, (x, alpha, least) in specs.items():
-            mean, weight, n = state.get(name, (None, 1.0, 0))
-            v = row[x]
-            v = None if v is None or v != v else float(v)
+            mean, weight, n = state[name]
+            v = some(row[x])
             if mean is None:
                 mean = v
             else:
@@ -159,8 +231,10 @@ def exponential(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> Data
             out.append(mean if n >= least else None)
         return out
 
-    step.reads = sorted({x for x, _, _ in specs.values()})
-    return streamed(df, ["series"], ["ts"], dict, step, T.StructType([T.StructField(k, T.DoubleType()) for k in specs]))
+    step.reads = [*reads, "__mean_at", "__weight_at", "__count_at"]
+    begun = d.join(starts, ["series", "__rn"], "left")  # a chunk's first row has its start
+    out = streamed(begun, ["series", "__chunk"], ["__rn"], dict, step, T.StructType([T.StructField(k, T.DoubleType()) for k in names]))
+    return out.select(*df.columns, *names)
 
 
 def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:

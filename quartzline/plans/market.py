@@ -585,7 +585,7 @@ def q_train_and_forecast(spark, sf_dir):
     base = evaluation.boosted("gbt", config.iterations, config.step, config.depth, config.seed)
     choices = [evaluation.MedianReturn(), evaluation.Selective(base, 0.8, 0.25), evaluation.Ridge(1.0)]
     columns = ["ret_1h", "sma_ratio_24h", "close_zscore_24h", "volatility_24h", "rsi_14", "spx_log_return_24h", "gold_silver_ratio"]
-    done = training.train_all(b, "silver", root, (2, 24), config, choices, columns, ("spx", "gold_silver"))
+    done = training.train_all(b, "silver", root, (24,), config, choices, columns, ("spx", "gold_silver"))
     parts = [training.latest_forecast(b, training.load(spark, root, "silver", a.record["horizon_hours"])) for a in done]
     return reduce(DataFrame.unionByName, parts).drop("timestamp_utc", "target_timestamp_utc")
 

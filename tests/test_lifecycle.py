@@ -162,6 +162,20 @@ def test_chunks_give_the_windows_of_whole_series(spark, monkeypatch):
     assert (got["p_sd_7"][7:40] == 0).any()
 
 
+def test_exponential_means_go_on_over_chunks_and_gaps(spark, monkeypatch):
+    monkeypatch.setattr(windows, "CHUNK", 16)
+    monkeypatch.setattr(windows.chunked, "__defaults__", (16,))
+    rng = np.random.default_rng(9)
+    x = [None if k < 3 or 40 <= k < 90 or rng.random() < 0.3 else float(v) for k, v in enumerate(rng.normal(size=200))]
+    rows = [(s, datetime(2025, 1, 1) + timedelta(hours=i), v) for s in "ab" for i, v in enumerate(x)] + [("c", datetime(2025, 1, 1), None)]
+    got = windows.exponential(spark.createDataFrame(rows, "series string, ts timestamp, x double"), {"y": ("x", 0.1, 5), "z": ("x", 0.4, 0)})
+    assert got.count() == 401 and got.columns == ["series", "ts", "x", "y", "z"]
+    for s in "ab":
+        part = got.where(F.col("series") == s).orderBy("ts").toPandas()
+        for name, alpha, least in (("y", 0.1, 5), ("z", 0.4, 0)):
+            np.testing.assert_allclose(part[name].astype(float), pd.Series(x, dtype=float).ewm(alpha=alpha, adjust=False, min_periods=least).mean(), rtol=1e-9)
+
+
 def market_bars(spark, n=700):
     rng = np.random.default_rng(11)
     frames = []
