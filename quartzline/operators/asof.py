@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quartzline.functions.exprs import micros, ratio
-from quartzline.operators.windows import HOUR_US, elapsed_zscore
+from quartzline.operators.windows import HOUR_US, zscore_over
+from quartzline.session import written
 
 # Horizons of cross-market returns and windows of their z-scores, in hours; the gap a target may have.
 RETURN_HOURS = (1, 4, 24, 72, 168)
@@ -50,39 +51,78 @@ def elapsed_log_return(x: str, hours: int) -> Column:
     return F.ln(x) - F.ln(elapsed_lag(x, hours))
 
 
+#: Hours of a span of a series; no window reaches further.
+SPAN_HOURS = 2880
+
+
+def spanned(df: DataFrame, back: int, ahead: int) -> DataFrame:
+    """Adds __span, a stretch of time, and __edge. Rows within back hours before a span or ahead hours after it are in that one too, marked so.
+
+    Windows of elapsed time then run by span, so that no task holds a series; rows with __edge are to be dropped at the end.
+    """
+    if max(back, ahead) > SPAN_HOURS:
+        raise ValueError(f"windows of more than {SPAN_HOURS} hours")
+    us, width = micros(F.col("ts")), SPAN_HOURS * HOUR_US
+    own = F.floor(us / F.lit(width))
+    after, before = F.when(us >= (own + 1) * width - back * HOUR_US, own + 1), F.when(us < own * width + ahead * HOUR_US, own - 1)
+    d = df.select(*df.columns, own.alias("__own"), F.explode(F.array_compact(F.array(own, after, before))).alias("__span"))
+    return d.withColumn("__edge", F.col("__own") != F.col("__span")).drop("__own")
+
+
+def carried(df: DataFrame, x: str, back: int) -> DataFrame:
+    """(series, __span, __carried): the last value of x earlier than back hours before each span; tables of one row a span."""
+    us, width = micros(F.col("ts")), SPAN_HOURS * HOUR_US
+    last = df.where(F.col(x).isNotNull()).groupBy("series", (F.floor((us + back * HOUR_US) / F.lit(width)) + 1).alias("__span")).agg(F.max_by(x, us).alias("__carried")).withColumn("__side", F.lit(0))
+    spans = df.select("series", F.floor(us / F.lit(width)).alias("__span"), F.lit(None).cast("double").alias("__carried"), F.lit(1).alias("__side")).distinct()
+    w = Window.partitionBy("series").orderBy("__span", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    return last.unionByName(spans).withColumn("__carried", F.last("__carried", ignorenulls=True).over(w)).where(F.col("__side") == 1).drop("__side")
+
+
+def with_elapsed(df: DataFrame, x: str, returns: dict[str, int], scores: dict[str, int] | None = None) -> DataFrame:
+    """Adds log returns of x over elapsed hours (name -> hours) and z-scores over the last so many hours, by span."""
+    back = max([*returns.values(), *(scores or {}).values()])
+    df = written(df, "elapsed")  # read twice below; unwritten, a chain of markets would double its plan at every step
+    d = spanned(df, back, 0).join(carried(df, x, back), ["series", "__span"], "left")
+    w = Window.partitionBy("series", "__span").orderBy(micros(F.col("ts")))
+    old = lambda h: F.coalesce(F.last(x, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -h * HOUR_US)), F.col("__carried"))
+    d = d.withColumns({name: F.ln(x) - F.ln(old(h)) for name, h in returns.items()} | {name: zscore_over(w.rangeBetween(-(h * HOUR_US - 1), 0), x, h) for name, h in (scores or {}).items()})
+    return d.where(~F.col("__edge")).drop("__span", "__edge", "__carried")
+
+
 def with_target(df: DataFrame, h: int, tolerance: int = TOLERANCE_HOURS) -> DataFrame:
     """Adds future_close, target_timestamp and target (log return) for h hours: the first close at or after ts + h, at most tolerance hours late."""
-    w = Window.partitionBy("series").orderBy(micros(F.col("ts"))).rangeBetween(h * HOUR_US, (h + tolerance) * HOUR_US)
-    d = df.withColumn("__f", F.first(F.when(F.col("close").isNotNull(), F.struct("ts", "close")), ignorenulls=True).over(w))
-    d = d.withColumns({f"future_close_{h}h": F.col("__f.close"), f"target_timestamp_{h}h": F.col("__f.ts")})
+    w = Window.partitionBy("series", "__span").orderBy(micros(F.col("ts"))).rangeBetween(h * HOUR_US, (h + tolerance) * HOUR_US)
+    d = spanned(df, 0, h + tolerance).withColumn("__f", F.first(F.when(F.col("close").isNotNull(), F.struct("ts", "close")), ignorenulls=True).over(w))
+    d = d.where(~F.col("__edge")).drop("__span", "__edge").withColumns({f"future_close_{h}h": F.col("__f.close"), f"target_timestamp_{h}h": F.col("__f.ts")})
     return d.withColumn(f"target_{h}h", F.ln(f"future_close_{h}h") - F.ln("close")).drop("__f")
 
 
 def context_columns(source: DataFrame, name: str, close: str) -> DataFrame:
     """ts and the source's own columns on its own clock: close, elapsed returns and z-scores."""
     d = source.where(F.col("close").isNotNull()).select("series", "ts", F.col("close").alias(close))
-    d = d.withColumns({f"{name}_log_return_{h}h": elapsed_log_return(close, h) for h in RETURN_HOURS} | {f"{name}_close_zscore_{h}h": elapsed_zscore(close, h) for h in ZSCORE_HOURS})
-    return d.drop("series")
+    return with_elapsed(d, close, {f"{name}_log_return_{h}h": h for h in RETURN_HOURS}, {f"{name}_close_zscore_{h}h": h for h in ZSCORE_HOURS}).drop("series")
 
 
-def with_context(target: DataFrame, source: DataFrame, name: str, close: str | None = None) -> DataFrame:
-    """target with a context market: as-of aligned columns, their age in hours, and the spread of returns."""
-    close = close or f"{name}_close"
+def aligned(target: DataFrame, source: DataFrame, name: str, close: str) -> DataFrame:
+    """target with the columns of one source series as of each row, their age in hours, and the target's own elapsed returns as __r{h}."""
     right = context_columns(source, name, close)
-    d = backward_asof(target, right, [c for c in right.columns if c != "ts"], "__at")  # one source series for all targets
+    d = backward_asof(target, right, [c for c in right.columns if c != "ts"], "__at")
     d = d.withColumn(f"{name}_source_age_hours", (micros(F.col("ts")) - micros(F.col("__at"))) / F.lit(float(HOUR_US))).drop("__at")
-    return d.withColumns({f"silver_minus_{name}_return_{h}h": elapsed_log_return("close", h) - F.col(f"{name}_log_return_{h}h") for h in RETURN_HOURS})
+    return with_elapsed(d, "close", {f"__r{h}": h for h in RETURN_HOURS})
+
+
+def with_context(target: DataFrame, source: DataFrame, name: str, close: str | None = None) -> DataFrame:
+    """target with a context market: as-of aligned columns, their age in hours, and the spread of returns."""
+    d = aligned(target, source, name, close or f"{name}_close")
+    return d.withColumns({f"silver_minus_{name}_return_{h}h": F.col(f"__r{h}") - F.col(f"{name}_log_return_{h}h") for h in RETURN_HOURS}).drop(*[f"__r{h}" for h in RETURN_HOURS])
 
 
 def with_gold(silver: DataFrame, gold: DataFrame) -> DataFrame:
     """The gold provider: aligned columns first, then the gold to silver ratio on silver's clock."""
     close = "gold_close_usd_per_kg"
-    right = context_columns(gold, "gold", close)
-    d = backward_asof(silver, right, [c for c in right.columns if c != "ts"], "__at")
-    d = d.withColumn("gold_source_age_hours", (micros(F.col("ts")) - micros(F.col("__at"))) / F.lit(float(HOUR_US))).drop("__at")
-    d = d.withColumn("gold_silver_ratio", ratio(F.col(close), F.col("close")))
-    d = d.withColumns({f"gold_silver_ratio_zscore_{h}h": elapsed_zscore("gold_silver_ratio", h) for h in ZSCORE_HOURS})
-    return d.withColumns({f"gold_silver_ratio_log_return_{h}h": elapsed_log_return("gold_silver_ratio", h) for h in RETURN_HOURS} | {f"gold_minus_silver_return_{h}h": F.col(f"gold_log_return_{h}h") - elapsed_log_return("close", h) for h in RETURN_HOURS})
+    d = aligned(silver, gold, "gold", close).withColumn("gold_silver_ratio", ratio(F.col(close), F.col("close")))
+    d = d.withColumns({f"gold_minus_silver_return_{h}h": F.col(f"gold_log_return_{h}h") - F.col(f"__r{h}") for h in RETURN_HOURS}).drop(*[f"__r{h}" for h in RETURN_HOURS])
+    return with_elapsed(d, "gold_silver_ratio", {f"gold_silver_ratio_log_return_{h}h": h for h in RETURN_HOURS}, {f"gold_silver_ratio_zscore_{h}h": h for h in ZSCORE_HOURS})
 
 
 @dataclass(frozen=True)

@@ -46,8 +46,12 @@ def elapsed(hours: int):
 
 
 def elapsed_zscore(x: str, hours: int) -> Column:
+    return zscore_over(elapsed(hours), x, hours)
+
+
+def zscore_over(w, x: str, hours: int) -> Column:
+    """The z-score of x in a window of so many hours, null until enough values are there, 0 where they are all one."""
     least = max(4, min(24, hours // 2))
-    w = elapsed(hours)
     sd = F.stddev_samp(x).over(w)
     return F.when(F.count(x).over(w) < least, None).when(sd == 0, 0.0).otherwise((F.col(x) - F.avg(x).over(w)) / sd)
 

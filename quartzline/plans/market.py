@@ -395,7 +395,7 @@ def q_tag_report(spark, sf_dir):
     t = ticks(spark, sf_dir)
     bad = F.col("seq") % 7 == 0
     d = t.select("series", F.col("seq").alias("id"), F.unix_millis("ts").alias("ms"), F.col("price").alias("open"), (F.col("price") + F.when(bad, -1).otherwise(1)).alias("high"), (F.col("price") - 1).alias("low"), F.col("price").alias("close"), F.struct((F.col("seq") - 40 * (F.col("seq") % 5)).alias("a"), "seq").alias("seq"))
-    return bars.tag_report(bars.tag_rows(d))
+    return bars.tag_report(bars.tag_rows(d.withColumn("block", F.floor(F.col("seq.a") / 5000)), block="block"))
 
 
 S_TAG_REPORT = f"""WITH {TICKS}, d AS (SELECT series, epoch_us(ts) // 1000 AS ms, seq % 7 <> 0 AS ok, row_number() OVER (PARTITION BY series ORDER BY seq - 40 * (seq % 5), seq) AS o FROM ticks),

@@ -162,6 +162,25 @@ def test_chunks_give_the_windows_of_whole_series(spark, monkeypatch):
     assert (got["p_sd_7"][7:40] == 0).any()
 
 
+def test_spans_give_the_windows_of_whole_series(spark, monkeypatch):
+    monkeypatch.setattr(asof, "SPAN_HOURS", 48)
+    rng = np.random.default_rng(10)
+    hours = [h for h in range(600) if not 100 <= h < 260 and rng.random() < 0.8]
+    rows = [(s, datetime(2025, 1, 1) + timedelta(hours=h), None if rng.random() < 0.1 else float(100 + rng.random())) for s in "ab" for h in hours]
+    d = spark.createDataFrame(rows, "series string, ts timestamp, close double")
+    got = asof.with_elapsed(d, "close", {"r1": 1, "r24": 24, "r40": 40}, {"z24": 24})
+    want = d.withColumns({f"r{h}": asof.elapsed_log_return("close", h) for h in (1, 24, 40)} | {"z24": windows.elapsed_zscore("close", 24)})
+    a, b = (x.orderBy("series", "ts").select(*want.columns).toPandas() for x in (got, want))
+    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9)
+    assert a["r40"].notna().sum() > 500
+    t = asof.with_target(d, 8, 20).orderBy("series", "ts").collect()
+    for r in t:
+        later = [(x, c) for s, x, c in rows if s == r.series and c is not None and timedelta(hours=8) <= x - r.ts <= timedelta(hours=28)]
+        assert (r.target_timestamp_8h, r.future_close_8h) == (min(later) if later else (None, None))
+    with pytest.raises(ValueError, match="more than"):
+        asof.with_target(d, 48)
+
+
 def test_exponential_means_go_on_over_chunks_and_gaps(spark, monkeypatch):
     monkeypatch.setattr(windows, "CHUNK", 16)
     monkeypatch.setattr(windows.chunked, "__defaults__", (16,))
