@@ -46,6 +46,8 @@ FREQUENT, OFTEN = 100_000, 16
 SMALL = 16
 #: A document's pairs are dealt to one task for each so many; its set is sent to each of them, which adds less than one set to HOT.
 HOT = 128
+#: Up to so many pairs, two numbers each, are broadcast to the sets of their first ends; beyond, these are shuffled.
+BROADCAST_PAIRS = 500_000
 
 
 def needed(total: int) -> int:
@@ -150,9 +152,12 @@ def wide(ident: int, text: str | None) -> list[tuple[int, int, np.ndarray]]:
     return [(ident, len(h), h.view(np.int64))]
 
 
-def with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
-    """pairs with n and held of one end. The pairs of an end that has many are dealt over several tasks by their other end."""
-    hot = pairs.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("deals")).where(F.col("deals") > HOT)
+def with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str, counted: DataFrame | None = None) -> DataFrame:
+    """pairs with n and held of one end. The pairs of an end that has many are dealt over several tasks by their other end.
+
+    counted: the same pairs as a written table, where pairs is none.
+    """
+    hot = (pairs if counted is None else counted).groupBy(F.col(end).alias("id")).agg(F.count("*").alias("deals")).where(F.col("deals") > HOT)
     hot = written(hot.select("id", F.ceil(F.col("deals") / HOT).cast("int").alias("deals")), "hot-ends")
     deals = F.coalesce("deals", F.lit(1))
     dealt = near(pairs.withColumn("id", F.col(end)), hot, "id", "left").select(*pairs.columns, F.pmod(F.xxhash64(other), deals).cast("int").alias("deal"))
@@ -167,7 +172,11 @@ def overlapping(pairs: DataFrame, docs: DataFrame, function, kind: str) -> DataF
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
     sets = written(map_rows(near(docs, ids, "id", "left_semi"), function, f"id long, n long, held array<{kind}>"), "pair-sets")
     most = F.size(F.array_intersect("held_a", "held_b")) + F.least(F.col("n_a") - F.size("held_a"), F.col("n_b") - F.size("held_b"))
-    d = with_sets(with_sets(pairs, sets, "a", "b"), sets, "b", "a")
+    if pairs.count() <= BROADCAST_PAIRS:
+        d = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("held").alias("held_a")).join(F.broadcast(pairs), "a")
+    else:
+        d = with_sets(pairs, sets, "a", "b")
+    d = with_sets(d, sets, "b", "a", pairs)
     links = written(d.where(most >= needed_column(F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "links")
     discard(ids, sets)
     return links
