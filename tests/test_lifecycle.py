@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quartzline.functions import exprs as X
 from quartzline.operators import asof, bars, evaluation, features, serving, training, windows
 from quartzline.sources import market as sources
+from quartzline.sources import providers
 
 
 def minutes_csv(path, text):
@@ -162,6 +163,24 @@ def test_chunks_give_the_windows_of_whole_series(spark, monkeypatch):
     assert (got["p_sd_7"][7:40] == 0).any()
 
 
+def test_providers_give_minutes_and_the_preferred_quote(spark, tmp_path):
+    (tmp_path / "silver").mkdir()
+    minutes_csv(tmp_path / "silver" / "a.csv", "timestamp,open,high,low,close\n1735689600000,30,30,30,30\n1735689660000,31,31,31,31\n")
+    landed = providers.LandedMinutes(str(tmp_path), sources.raw_minutes, "vendor")
+    assert isinstance(landed, providers.MinuteProvider) and landed.minutes(spark, "silver").count() == 2
+    assert rows_of(landed.minutes(spark, "silver", "2025-01-01 00:00:00", "2025-01-01 00:01:00"), "close") == [(30.0,)]
+    xml = '<m><pitch securityId="AGXLN" considerationCurrency="USD"><buyPrices><price limit="{b}"/></buyPrices><sellPrices><price limit="{a}"/></sellPrices></pitch></m>'
+    books = spark.createDataFrame([("silver", xml.format(b=990, a=1010), "Wed, 01 Jan 2025 00:09:30 GMT"), ("gold", xml.format(b=1, a=2), "Wed, 01 Jan 2025 00:09:30 GMT")], "series string, xml string, date string")
+    book, session = providers.OrderBooks(books), providers.Sessions(landed.minutes(spark, "silver"), date(2025, 1, 2))
+    assert isinstance(book, providers.QuoteProvider) and isinstance(session, providers.QuoteProvider)
+    quote = lambda now, *ps: [(r.price, r.source, r.stale) for r in providers.latest_quotes(list(ps), F.lit(now)).collect()]
+    assert quote(datetime(2025, 1, 1, 0, 10), book, session) == [(1000.0, "order book", False)]
+    ((price, source, stale),) = quote(datetime(2025, 1, 1, 0, 10), providers.OrderBooks(books, configured=False), session)
+    assert math.isclose(price, 31 * X.OUNCES_PER_KG) and (source, stale) == ("completed session", True)
+    with pytest.raises(ValueError, match="no quote provider"):
+        providers.latest_quotes([], F.lit(datetime(2025, 1, 1)))
+
+
 def test_spans_give_the_windows_of_whole_series(spark, monkeypatch):
     monkeypatch.setattr(asof, "SPAN_HOURS", 48)
     rng = np.random.default_rng(10)
