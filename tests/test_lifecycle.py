@@ -244,11 +244,12 @@ def test_models_are_trained_kept_checked_and_used(spark, tmp_path):
     done = training.train_all(b, "silver", root, (2, 24), config, choices, columns, ["spx"])
     assert [c.name for c in training.candidates(training.Config())] == ["median_return", "selective_gbt_q80_s25", "cross_fitted_selective_gbt"]
     assert [c.name for c in choices] == ["median_return", "ridge_alpha_1", "selective_gbt_q80_s25_lookback_10d"]
+    base = training.feature_base(b, "silver", ["spx"])
     for a in done:
         h = a.record["horizon_hours"]
         back = training.load(spark, root, "silver", h)
         assert {k: v for k, v in back.record.items() if k not in ("fitted", "model_sha256")} == a.record
-        rows, _ = training.prepared(training.feature_base(b, "silver", ["spx"]), h, columns)
+        rows, _ = training.prepared(base, h, columns)
         values = lambda f: [r.raw for r in f.predict(rows).orderBy("ts").collect()]
         assert values(back.fitted) == values(a.fitted) and a.record["training_rows"] == rows.count() == a.record["metrics"]["rows_total"]
         dev = a.record["selection"]["development_candidates"]
@@ -269,7 +270,7 @@ def test_models_are_trained_kept_checked_and_used(spark, tmp_path):
     with pytest.raises(ValueError, match="horizon 5h"):
         training.prepared(b, 5)
     with pytest.raises(ValueError, match="at least"):
-        training.train(training.feature_base(b, "silver"), "silver", 2, training.Config(), choices, ["ret_1h"])
+        training.train(base, "silver", 2, training.Config(), choices, ["ret_1h"])
     folder = training.place(root, "silver", 24)
     (part,) = [p for p in os.listdir(f"{folder}/record") if p.startswith("part-")]
     text = open(f"{folder}/record/{part}").read()
