@@ -11,9 +11,9 @@ import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
-from test_operators import BASE, WORD, base_spans, docs_frame, sentence
+from test_operators import BASE, WORD, base_spans, brute_components, docs_frame, sentence
 
-from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, pii, quality_rules, rule_ensemble, url_filter
+from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, pii, quality_rules, rule_ensemble, similarity_join, url_filter
 
 # op1
 
@@ -374,3 +374,19 @@ def test_distances_match_numpy_and_small_groups_lean_on_their_language(spark):
 def test_crc_folds(spark):
     d = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", rule_ensemble.remainder(F.col("doc_id")).alias("r"))
     assert all(r.r == zlib.crc32(str(r.doc_id).encode()) % 3 for r in d.collect())
+
+
+def test_join_deals_the_pairs_of_hot_documents(spark, monkeypatch):
+    monkeypatch.setattr(similarity_join, "BROADCAST_PAIRS", -1)
+    monkeypatch.setattr(similarity_join, "HOT", 3)
+    rng = random.Random(17)
+    base, other = sentence(rng, 60).split(), sentence(rng, 8).split()
+    texts = []
+    for words in (base, other):
+        for k in range(14):
+            w = list(words)
+            w[rng.randrange(len(w))] = f"edit{k}"
+            texts.append(" ".join(w))
+    texts += [sentence(rng, 30) for _ in range(5)] + [None, " ".join(base), " ".join(base)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similarity_join.joined_components(docs_frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
