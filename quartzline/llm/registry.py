@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, pii, quality_rules, rule_ensemble, similarity_join, url_filter
+from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, pii, quality_rules, rule_ensemble, similarity_join, spelling, url_filter
 from quartzline.session import table
 
 
@@ -56,6 +56,10 @@ def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_matroska": op1_matroska,
@@ -69,8 +73,9 @@ def queries() -> dict:
         "op8_reply_trees": op8_reply_trees,
         "op9_url_trees": op9_url_trees,
         "op10_robust_outliers": op10_robust_outliers,
+        "op11_spelling_variants": op11_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_disclosure": pii.OP3_SQL, "op4_water_filling": mixing.OP4_SQL, "op5_jaccard_join": similarity_join.OP5_SQL, "op8_reply_trees": chat_trees.OP8_SQL}
+    return {"op3_disclosure": pii.OP3_SQL, "op4_water_filling": mixing.OP4_SQL, "op5_jaccard_join": similarity_join.OP5_SQL, "op8_reply_trees": chat_trees.OP8_SQL, "op11_spelling_variants": spelling.OP11_SQL}
