@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, pii, quality_rules, rule_ensemble, similarity_join, spelling, url_filter
+from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, pii, quality_rules, rule_ensemble, similarity_join, spelling, url_filter, warc
 from quartzline.session import table
 
 
@@ -60,6 +60,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_matroska": op1_matroska,
@@ -74,8 +78,9 @@ def queries() -> dict:
         "op9_url_trees": op9_url_trees,
         "op10_robust_outliers": op10_robust_outliers,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_warc_index": op12_warc_index,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_disclosure": pii.OP3_SQL, "op4_water_filling": mixing.OP4_SQL, "op5_jaccard_join": similarity_join.OP5_SQL, "op8_reply_trees": chat_trees.OP8_SQL, "op11_spelling_variants": spelling.OP11_SQL}
+    return {"op3_disclosure": pii.OP3_SQL, "op4_water_filling": mixing.OP4_SQL, "op5_jaccard_join": similarity_join.OP5_SQL, "op8_reply_trees": chat_trees.OP8_SQL, "op11_spelling_variants": spelling.OP11_SQL, "op12_warc_index": warc.OP12_SQL}
