@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, pii, quality_rules, rule_ensemble, similarity_join, spelling, url_filter, warc
+from quartzline.llm import chat_trees, html_text, matroska, mixing, packing, pii, quality_rules, rule_ensemble, similarity_join, spelling, token_alignment, url_filter, warc
 from quartzline.session import table
 
 
@@ -64,6 +64,10 @@ def op12_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_matroska": op1_matroska,
@@ -79,6 +83,7 @@ def queries() -> dict:
         "op10_robust_outliers": op10_robust_outliers,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_warc_index": op12_warc_index,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
