@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzline.functions.exprs import above_zero, finite, ratio
-from quartzline.operators.windows import IN_CHUNK, chunked, exponential, rolling_extremes, rolling_sums
+from quartzline.operators.windows import IN_CHUNK, block_rows, chunked, exponential, rolling_extremes, rolling_moments, sound
 from quartzline.session import written
 
 # Lags and window lengths in rows, and spans of the exponential means.
@@ -14,6 +14,7 @@ LAGS = (2, 4, 8, 12, 24, 48, 72, 168, 360, 720)
 WINDOWS = (6, 12, 24, 48, 72, 168, 360, 720)
 SPANS = (12, 26, 50, 200)
 WILDER = 1 / 14
+ALPHAS = {n: 2 / (n + 1) for n in SPANS}
 NOT_FEATURES = ("series", "ts", "open", "high", "low", "close", "volume", "minute_count")
 
 
@@ -27,7 +28,7 @@ def exponential_features(bars: DataFrame) -> DataFrame:
     c, pc = F.col("close"), before("close")
     d = c - pc
     up, down = F.col("high") - before("high"), before("low") - F.col("low")
-    b = chunked(bars, 1).withColumns(
+    b = chunked(bars, 1, block_rows([0.2, WILDER, *ALPHAS.values()])).withColumns(
         {
             "__g": above_zero(d),
             "__l": above_zero(-d),
@@ -36,9 +37,9 @@ def exponential_features(bars: DataFrame) -> DataFrame:
             "__m": F.when((down > up) & (down > 0), down).otherwise(0.0),
         }
     )
-    b = b.where("NOT __halo").drop("__rn", "__chunk", "__halo")
+    b = b.where("NOT __halo").drop("__halo")
     wilder = {f"__e{k}": (f"__{k}", WILDER, 14) for k in ("g", "l", "tr", "p", "m")}
-    b = exponential(b, {f"__ema{n}": ("close", 2 / (n + 1), 0) for n in SPANS} | wilder)
+    b = exponential(b, {f"__ema{n}": ("close", a, 0) for n, a in ALPHAS.items()} | wilder)
     plus, minus = (100 * ratio(F.col(f"__e{k}"), F.col("__etr")) for k in "pm")
     b = b.withColumns({"__macd": F.col("__ema12") - F.col("__ema26"), "__plus": plus, "__minus": minus})
     b = b.withColumn("__dx", 100 * ratio(F.abs(F.col("__plus") - F.col("__minus")), F.col("__plus") + F.col("__minus")))
@@ -79,11 +80,9 @@ def rolling_features(bars: DataFrame) -> DataFrame:
     """
     b = written(chunked(bars, REACH), "chunks")  # so that the long plan below has one shuffle and is planned once
     kept = [c for c in b.columns if c not in bars.columns]
-    b = b.selectExpr("*", "CASE WHEN close > 0 THEN ln(close) END AS __ln", "ln(1 + greatest(coalesce(volume, 0D), 0D)) AS __lv")
+    b = b.selectExpr("*", "CASE WHEN close > 0 THEN ln(close) END AS __ln", "ln(1 + greatest(coalesce(nanvl(volume, CAST(NULL AS DOUBLE)), 0D), 0D)) AS __lv")
     b = b.selectExpr("*", f"__ln - lag(__ln) {IN_CHUNK} AS ret_1h", *[f"__ln - lag(__ln, {n}) {IN_CHUNK} AS log_return_{n}h" for n in LAGS])
-    b = rolling_sums(b, "close", "__p", sorted({*WINDOWS, 20}))
-    b = rolling_sums(b, "ret_1h", "__r", WINDOWS, centre=False)
-    b = rolling_sums(b, "__lv", "__v", (24, 168))
+    b = rolling_moments(b, {"__p": ("close", (*WINDOWS, 20)), "__r": ("ret_1h", WINDOWS), "__v": ("__lv", (24, 168))})
     b = rolling_extremes(b, "high", "low", sorted({*WINDOWS, 14}))
     out = {f"log_return_{n}h": f"log_return_{n}h" for n in LAGS}
     for n in WINDOWS:
@@ -111,7 +110,7 @@ def rolling_features(bars: DataFrame) -> DataFrame:
     out |= {f"{k}_{f}": f"{f}({x})" for k, x in angle.items() for f in ("sin", "cos")}
     b = b.selectExpr(*[f"`{c}`" for c in bars.columns], *kept, "ret_1h", *[f"{x} AS {k}" for k, x in out.items()])
     finite_only = [f"CASE WHEN NOT isnan({k}) AND abs({k}) <> double('infinity') THEN {k} END AS {k}" for k in out]
-    b = b.selectExpr(*[f"`{c}`" for c in bars.columns], *kept, "ret_1h", *finite_only)
+    b = b.selectExpr(*[f"`{c}`" for c in bars.columns], *kept, f"{sound('ret_1h')} AS ret_1h", *finite_only)
     three = IN_CHUNK.replace(")", " ROWS 2 PRECEDING)")
     b = b.selectExpr("*", f"CASE WHEN count(stochastic_k_14) {three} = 3 THEN avg(stochastic_k_14) {three} END AS stochastic_d_3")
     return b.where("NOT __halo").drop(*kept)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 import pyarrow as pa
@@ -66,43 +67,85 @@ def chunked(df: DataFrame, halo: int, chunk: int = CHUNK) -> DataFrame:
     """Adds __rn, the 0-based position in time within the series, __chunk, and __halo. The last halo rows of a chunk are in the next one too, marked so.
 
     Positions come from the rows of each day and a running sum over the days, one row each, so that no task holds a series. Windows of
-    up to halo rows may then be computed by chunk; rows with __halo are to be dropped at the end.
+    up to halo rows may then be computed by chunk; rows with __halo are to be dropped at the end. Rows of a null series are a series, and rows
+    of a null ts come first in theirs.
     """
     d = df.withColumn("__day", F.date_trunc("day", "ts"))
     earlier = Window.partitionBy("series").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     days = d.groupBy("series", "__day").agg(F.count("*").alias("__n"))
-    days = days.select("series", "__day", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    days = days.select(F.col("series").alias("__of"), F.col("__day").alias("__on"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     at = F.col("__before") + F.row_number().over(Window.partitionBy("series", "__day").orderBy("ts")) - 1
-    d = d.join(days, ["series", "__day"]).withColumn("__rn", at)
+    d = d.join(days, F.col("series").eqNullSafe(F.col("__of")) & F.col("__day").eqNullSafe(F.col("__on"))).withColumn("__rn", at)
     own = F.floor(F.col("__rn") / chunk)
     both = F.when(F.col("__rn") % chunk >= chunk - halo, F.array(own, own + 1)).otherwise(F.array(own))
     return d.select(*df.columns, "__rn", F.explode(both).alias("__chunk"), own.alias("__own")).withColumn("__halo", F.col("__chunk") != F.col("__own")).drop("__own")
 
 
-def rolling_sums(d: DataFrame, x: str, name: str, lengths, centre: bool = True) -> DataFrame:
-    """Adds {name}_mean_{n} and {name}_sd_{n} of the last n rows, null until n values are there, for a chunked table.
+def sound(x: str) -> str:
+    """x as a double, null where it is NaN or infinite."""
+    return f"CASE WHEN NOT isnan({x}) AND abs({x}) <> double('infinity') THEN double({x}) END"
 
-    Running sums of the values and their squares, less the chunk's first value, are subtracted at the two ends of each window: one pass for all
-    lengths. A window in which no value differs from the one before has a deviation of exactly 0.
+
+def blocks(n: int) -> list[tuple[int, int]]:
+    """(size, rows back) of blocks of 1, 2, 4, ... rows that make up the last n rows, greatest first."""
+    out, back = [], 0
+    for k in range(n.bit_length() - 1, -1, -1):
+        if n >> k & 1:
+            out.append((1 << k, back))
+            back += 1 << k
+    return out
+
+
+def rolling_moments(d: DataFrame, specs: dict[str, tuple[str, tuple[int, ...]]]) -> DataFrame:
+    """Adds {name}_mean_{n} and {name}_sd_{n} of the last n rows for each name -> (column, lengths), for a chunked table.
+
+    Sum and squared deviations of 2, 4, 8, ... rows come each from two of the half length, and those of any length from the few blocks that
+    make it up, all merged by Chan's formula: nothing is subtracted from running totals, so a value touches only the windows that hold it. NaN,
+    infinity and null are missing; a window that holds one, or has fewer than n rows, is null. Equal values have a deviation of exactly 0.
     """
     kept = d.columns
-    first = f"first_value({x}) IGNORE NULLS {ALL_OF_CHUNK}" if centre else "0D"
-    d = d.selectExpr("*", f"{first} AS __c", f"cast(not({x} <=> lag({x}) {IN_CHUNK}) as long) AS __new")
-    d = d.selectExpr("*", f"count({x}) {IN_CHUNK} AS __n", f"coalesce(sum({x} - __c) {IN_CHUNK}, 0D) AS __s", f"coalesce(sum(({x} - __c) * ({x} - __c)) {IN_CHUNK}, 0D) AS __q", f"sum(__new) {IN_CHUNK} AS __x")
-    back = [f"coalesce(lag(__{k}, {n}) {IN_CHUNK}, 0) AS __{k}{n}" for n in lengths for k in "nsq"] + [f"lag(__x, {n - 1}) {IN_CHUNK} AS __x{n}" for n in lengths]
-    d = d.selectExpr("*", *back)
-    full = lambda n, y: f"CASE WHEN __n - __n{n} = {n} THEN {y} END"
-    spread = lambda n: f"CASE WHEN __x = __x{n} THEN 0D ELSE sqrt(greatest((__q - __q{n} - (__s - __s{n}) * (__s - __s{n}) / {n}) / {n - 1}, 0D)) END"
-    return d.selectExpr(*kept, *[f"{full(n, f'__c + (__s - __s{n}) / {n}')} AS {name}_mean_{n}" for n in lengths], *[f"{full(n, spread(n))} AS {name}_sd_{n}" for n in lengths])
+    d = d.selectExpr("*", *[f"{sound(x)} AS {k}__s1" for k, (x, _) in specs.items()], *[f"0D AS {k}__q1" for k in specs])
+    size = 1
+    while any(2 * size <= max(lengths) for _, lengths in specs.values()):
+        names = [k for k, (_, lengths) in specs.items() if 2 * size <= max(lengths)]
+        d = d.selectExpr("*", *[f"lag({k}__{v}{size}, {size}) {IN_CHUNK} AS {k}__{v}" for k in names for v in "sq"])
+        both = [f"{k}__s{size} + {k}__s AS {k}__s{2 * size}" for k in names]
+        both += [f"{k}__q{size} + {k}__q + pow({k}__s - {k}__s{size}, 2) / {2 * size} AS {k}__q{2 * size}" for k in names]
+        d = d.selectExpr("*", *both).drop(*[f"{k}__{v}" for k in names for v in "sq"])
+        size *= 2
+    windows = [(k, n, blocks(n)) for k, (_, lengths) in specs.items() for n in lengths]
+    d = d.selectExpr("*", *sorted({f"lag({k}__{v}{s}, {back}) {IN_CHUNK} AS {k}__{v}{s}_{back}" for k, _, parts in windows for s, back in parts if back for v in "sq"}))
+    of = lambda k, v, s, back: f"{k}__{v}{s}_{back}" if back else f"{k}__{v}{s}"
+
+    def centre(k, n, parts):
+        """The mean, from the first block's: of equal values it is that value to the last digit, which the sum of blocks over n needn't be."""
+        first, *others = [f"{of(k, 's', *p)} / {p[0]}" for p in parts]
+        return " + ".join([first, *[f"({x} - {first}) * {p[0] / n!r}D" for x, p in zip(others, parts[1:], strict=True)]])
+
+    def squares(k, n, parts):
+        out = [of(k, "q", *p) for p in parts]
+        if len(parts) > 1:
+            out += [f"{p[0]} * pow({of(k, 's', *p)} / {p[0]} - {k}__c{n}, 2)" for p in parts]
+        return " + ".join(out)
+
+    total = lambda k, parts: " + ".join(of(k, "s", *p) for p in parts)
+    d = d.selectExpr("*", *[f"{centre(k, n, parts)} AS {k}__c{n}" for k, n, parts in windows if len(parts) > 1])
+    return d.selectExpr(*kept, *[f"({total(k, parts)}) / {n} AS {k}_mean_{n}" for k, n, parts in windows], *[f"sqrt(({squares(k, n, parts)}) / {n - 1}) AS {k}_sd_{n}" for k, n, parts in windows])
+
+
+def rolling_sums(d: DataFrame, x: str, name: str, lengths) -> DataFrame:
+    """The moments of one column, see rolling_moments."""
+    return rolling_moments(d, {name: (x, tuple(lengths))})
 
 
 def rolling_extremes(d: DataFrame, high: str, low: str, lengths) -> DataFrame:
     """Adds __top_{n} and __bottom_{n}, the greatest high and least low of the last n rows, null until n of them are there, for a chunked table.
 
-    The extremes of 2, 4, 8, ... rows come each from two of the half length; a window of any length is covered by two of those.
+    NaN and infinity are missing. The extremes of 2, 4, 8, ... rows come each from two of the half length; a window of any length is covered by two of those.
     """
     kept = d.columns
-    d = d.selectExpr("*", f"{high} AS __h1", f"{low} AS __l1", f"least(count({high}) {IN_CHUNK}, count({low}) {IN_CHUNK}) AS __n")
+    d = d.selectExpr("*", f"{sound(high)} AS __h1", f"{sound(low)} AS __l1")
+    d = d.selectExpr("*", f"count(__h1 + __l1) {IN_CHUNK} AS __n")
     size = 1
     while 2 * size <= max(lengths):
         d = d.selectExpr("*", f"greatest(__h{size}, lag(__h{size}, {size}) {IN_CHUNK}) AS __h{2 * size}", f"least(__l{size}, lag(__l{size}, {size}) {IN_CHUNK}) AS __l{2 * size}")
@@ -140,105 +183,66 @@ def streamed(df: DataFrame, keys: list[str], order: list[str], start, step, adde
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def folded(df: DataFrame, keys: list[str], order: list[str], start, step, result, schema: T.StructType) -> DataFrame:
-    """One row for each key: the key, and what result(state) gives after step(state, row as dict) has seen its rows in order."""
-    into = T.StructType([*[df.schema[k] for k in keys], *schema.fields])
-
-    def run(batches):
-        at, state, out = None, None, []
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in keys]
-            inputs = {c: batch.column(c).to_pylist() for c in step.reads}
-            for i in range(batch.num_rows):
-                key = tuple(c[i] for c in columns)
-                if state is None or key != at:
-                    if state is not None:
-                        out.append((*at, *result(state)))
-                    at, state = key, start()
-                step(state, {c: v[i] for c, v in inputs.items()})
-        if state is not None:
-            out.append((*at, *result(state)))
-        made = list(zip(*out, strict=True)) or [()] * len(into)
-        yield pa.RecordBatch.from_arrays([pa.array(v, type=to_arrow_type(f.dataType)) for v, f in zip(made, into.fields, strict=True)], names=into.names)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, into)
+#: Rows of a block of an exponential mean, at most.
+BLOCK = 256
 
 
-def some(v) -> float | None:
-    return None if v is None or v != v else float(v)
+def block_rows(alphas) -> int:
+    """Rows of a block: so few that the weight that is left of its first value at its end is no less than 1e-250."""
+    fade = max(-math.log1p(-a) if a < 1 else math.inf for a in alphas)
+    return max(min(BLOCK, int(575 / fade)), 1)
 
 
 def exponential(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFrame:
     """Adds exponential means: name -> (column, alpha, least number of values).
 
-    The recursion y = (1 - a) y + a x runs in time order within a series and lets old weight decay over missing values. It runs by chunk:
-    what a chunk does to the mean before it is a straight line in its first mean, so one row a chunk is enough to find where each begins, and
-    then all chunks finish side by side.
+    The recursion y = (1 - a) y + a x runs in time order within a series and lets old weight decay over missing values. Inside a block it is a
+    running sum: with r the product of what each value leaves of the mean before it, y = v + r (y0 - v + sum of (1 - k) (x - v) / r), where v is
+    the block's first value, y0 the mean with it, and k = w / (w + a) for a weight w that decayed over a gap. What a block does to the mean before it
+    is a straight line; these lines, one row a block, are put together by doubling. df may be chunked() by block_rows() already; then it keeps __rn and __chunk.
     """
-    reads, names = sorted({x for x, _, _ in specs.values()}), list(specs)
-    d = written(chunked(df, 0), "ewm-chunks")
-
-    def line(state: dict, row: dict) -> None:
-        """state: rows so far, and of each spec (values, place and value of the first, slope and offset since, place of the last)."""
-        at = state["rows"] = state.get("rows", 0) + 1
-        for name, (x, alpha, _) in specs.items():
-            v = some(row[x])
-            if v is None:
-                continue
-            if name not in state:
-                state[name] = (1, at, v, 1.0, 0.0, at)
-                continue
-            n, first, value, slope, offset, last = state[name]
-            w = (1.0 - alpha) ** (at - last)
-            keep = w / (w + alpha)
-            state[name] = (n + 1, first, value, slope * keep, offset * keep + v * alpha / (w + alpha), at)
-
-    line.reads = reads
-    blank = (0, 0, 0.0, 0.0, 0.0, 0)
-    doubles = T.ArrayType(T.DoubleType())
-    ends = folded(d, ["series", "__chunk"], ["__rn"], dict, line, lambda s: [s["rows"], *[[float(v) for v in s.get(name, blank)] for name in names]], T.StructType([T.StructField("rows", T.LongType()), *[T.StructField(f"__{k}", doubles) for k in range(len(names))]]))
-
-    def carry(state: dict, row: dict) -> list:
-        """Each chunk's start: mean (null for none yet), weight and number of values of every spec; one row a chunk passes here."""
-        before = [state.get(name, (None, 1.0, 0)) for name in names]
-        for k, name in enumerate(names):
-            mean, weight, count = before[k]
-            alpha, (n, first, value, slope, offset, last) = specs[name][1], row[f"__{k}"]
-            if n:
-                w = weight * (1.0 - alpha) ** first
-                begun = value if mean is None else (w * mean + alpha * value) / (w + alpha)
-                state[name] = (slope * begun + offset, (1.0 - alpha) ** (row["rows"] - last), count + int(n))
-            elif mean is not None:
-                state[name] = (mean, weight * (1.0 - alpha) ** row["rows"], count)
-        return [[b[0] for b in before], [b[1] for b in before], [float(b[2]) for b in before]]
-
-    carry.reads = ["rows", *[f"__{k}" for k in range(len(names))]]
-    starts = streamed(ends, ["series"], ["__chunk"], dict, carry, T.StructType([T.StructField(f"__{k}_at", doubles) for k in ("mean", "weight", "count")]))
-    starts = starts.select("series", (F.col("__chunk") * CHUNK).alias("__rn"), "__mean_at", "__weight_at", "__count_at")
-
-    def step(state: dict, row: dict) -> list:
-        if not state:
-            state.update({name: (m, w, int(n)) for name, m, w, n in zip(names, row["__mean_at"], row["__weight_at"], row["__count_at"], strict=True)})
-        out = []
-        for name, (x, alpha, least) in specs.items():
-            mean, weight, n = state[name]
-            v = some(row[x])
-            if mean is None:
-                mean = v
-            else:
-                weight *= 1.0 - alpha
-                if v is not None:
-                    mean = mean if mean == v else (weight * mean + alpha * v) / (weight + alpha)
-                    weight = 1.0
-            n += v is not None
-            state[name] = (mean, weight, n)
-            out.append(mean if n >= least else None)
-        return out
-
-    step.reads = [*reads, "__mean_at", "__weight_at", "__count_at"]
-    begun = d.join(starts, ["series", "__rn"], "left")  # a chunk's first row has its start
-    out = streamed(begun, ["series", "__chunk"], ["__rn"], dict, step, T.StructType([T.StructField(k, T.DoubleType()) for k in names]))
-    return out.select(*df.columns, *names)
+    chunks = "__chunk" in df.columns
+    d = df if chunks else chunked(df, 0, block_rows(a for _, a, _ in specs.values())).drop("__halo")
+    place = {x: k for k, x in enumerate(sorted({x for x, _, _ in specs.values()}))}
+    each = [(j, place[x], a) for j, (x, a, _) in enumerate(specs.values())]
+    before = IN_CHUNK.replace(")", " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    kept = d.columns
+    d = d.selectExpr("*", *[f"nanvl(double(`{x}`), CAST(NULL AS DOUBLE)) AS __x{k}" for x, k in place.items()])
+    here = "CASE WHEN __x{k} IS NOT NULL THEN __rn END"
+    found = {"at": f"last_value({here}) IGNORE NULLS {before}", "first": f"min({here}) {ALL_OF_CHUNK}", "v": f"first_value(__x{{k}}) IGNORE NULLS {ALL_OF_CHUNK}", "n": f"count(__x{{k}}) {IN_CHUNK}"}
+    d = d.selectExpr("*", f"lead(__rn) {IN_CHUNK} IS NULL AS __ends", *[f"{x.format(k=k)} AS __{name}{k}" for k in place.values() for name, x in found.items()])
+    later = "CASE WHEN __x{k} IS NOT NULL AND __at{k} IS NOT NULL THEN {y} ELSE {none}D END"
+    faded = lambda a, rows: f"pow({1 - a!r}D, {rows})"
+    left = lambda a, rows: f"({faded(a, rows)} / ({faded(a, rows)} + {a!r}D))"
+    in_chunk = Window.partitionBy("series", "__chunk").orderBy("__rn").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({f"__r{j}": F.product(F.expr(later.format(k=k, y=left(a, f"__rn - __at{k}"), none=1))).over(in_chunk) for j, k, a in each})
+    term = lambda j, k, a: f"{a!r}D / ({faded(a, f'__rn - __at{k}')} + {a!r}D) * (__x{k} - __v{k}) / __r{j}"
+    d = d.selectExpr("*", *[f"sum({later.format(k=k, y=term(j, k, a), none=0)}) {IN_CHUNK} AS __s{j}" for j, k, a in each])
+    d = written(d, "ewm-blocks")
+
+    ends = [f"CASE WHEN __x{k} IS NOT NULL THEN __rn ELSE __at{k} END AS __last{k}" for k in place.values()]
+    lines = d.where("__ends").selectExpr("series", "__chunk", *ends, *[f"__{c}{k}" for k in place.values() for c in ("first", "v", "n")], *[f"__{c}{j}" for j, _, _ in each for c in "rs"])
+    lines = written(lines, "ewm-lines")
+    so_far = "OVER (PARTITION BY series ORDER BY __chunk ROWS BETWEEN UNBOUNDED PRECEDING AND {})"
+    earlier, by_chunk = so_far.format("1 PRECEDING"), "OVER (PARTITION BY series ORDER BY __chunk)"
+    state = {"b": f"last_value(__last{{k}}) IGNORE NULLS {earlier}", "m": f"coalesce(sum(__n{{k}}) {earlier}, 0)", "c": f"first_value(__v{{k}}) IGNORE NULLS {so_far.format('CURRENT ROW')}"}
+    c = lines.selectExpr("*", *[f"{x.format(k=k)} AS __{name}{k}" for k in place.values() for name, x in state.items()])
+    c = c.selectExpr("*", *[f"CASE WHEN __b{k} IS NULL THEN 0D ELSE {left(a, f'__first{k} - __b{k}')} END AS __k{j}" for j, k, a in each])
+    c = c.selectExpr("*", *[f"CASE WHEN __n{k} = 0 THEN 1D ELSE __r{j} * __k{j} END AS __slope{j}" for j, k, _ in each])
+    c = c.selectExpr("*", *[f"CASE WHEN __n{k} = 0 THEN 0D ELSE (__v{k} - __c{k}) * (1 - __slope{j}) + __r{j} * __s{j} END AS __offset{j}" for j, k, _ in each])
+    size, most = 1, lines.agg(F.max("__chunk")).first()[0] or 0
+    while size <= most:
+        c = c.selectExpr("*", *[f"lag(__{y}{j}, {size}) {by_chunk} AS __{y}_{j}" for j, _, _ in each for y in ("slope", "offset")])
+        rest = [x for x in c.columns if not x.startswith(("__slope", "__offset"))]
+        c = c.selectExpr(*rest, *[f"__slope{j} * coalesce(__slope_{j}, 1D) AS __slope{j}" for j, _, _ in each], *[f"__offset{j} + __slope{j} * coalesce(__offset_{j}, 0D) AS __offset{j}" for j, _, _ in each])
+        size *= 2
+    begun = [f"CASE WHEN __m{k} > 0 THEN __c{k} + lag(__offset{j}) {by_chunk} END AS __y{j}" for j, k, _ in each]
+    c = c.selectExpr("series AS __of", "__chunk AS __in", *[f"__m{k}" for k in place.values()], *[f"__k{j}" for j, _, _ in each], *begun)
+
+    d = d.join(c, F.col("series").eqNullSafe(F.col("__of")) & (F.col("__chunk") == F.col("__in")))
+    mean = lambda j, k: f"CASE WHEN __n{k} = 0 THEN __y{j} ELSE __v{k} + __r{j} * (coalesce(__k{j} * (__y{j} - __v{k}), 0D) + __s{j}) END"
+    out = [f"CASE WHEN __m{k} + __n{k} >= {max(least, 1)} THEN {mean(j, k)} END AS `{name}`" for (j, k, _), (name, (_, _, least)) in zip(each, specs.items(), strict=True)]
+    return d.selectExpr(*[f"`{x}`" for x in (kept if chunks else df.columns)], *out)
 
 
 def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:

@@ -90,7 +90,7 @@ def zscore(x: str, n: int) -> str:
     return f"CASE WHEN count({x}) {over(n)} < {n} THEN NULL WHEN stddev_samp({x}) {over(n)} = 0 THEN 0.0 ELSE ({x} - avg({x}) {over(n)}) / stddev_samp({x}) {over(n)} END"
 
 
-def rolling_sql() -> str:
+def rolling_sql(bars: str = BARS) -> str:
     p = {"ret_1h": "ret_1h"} | {f"log_return_{n}h": f"lnc - lag(lnc, {n}) OVER ({W})" for n in features.LAGS}
     for n in features.WINDOWS:
         top, bottom = full(f"max(high) {over(n)}", "high", n), full(f"min(low) {over(n)}", "low", n)
@@ -124,11 +124,32 @@ def rolling_sql() -> str:
     inner = ", ".join(f"{v} AS {k}" for k, v in p.items())
     outer = ", ".join(f"round({k}::DOUBLE, 6) AS {k}" for k in p)
     return (
-        f"WITH {BARS}, a AS (SELECT *, CASE WHEN close > 0 THEN ln(close) END AS lnc, ln(1 + greatest(volume, 0)) AS lv FROM bars), b AS (SELECT *, lnc - lag(lnc) OVER ({W}) AS ret_1h FROM a), "
+        f"WITH {bars}, a AS (SELECT *, CASE WHEN close > 0 THEN ln(close) END AS lnc, ln(1 + greatest(volume, 0)) AS lv FROM bars), b AS (SELECT *, lnc - lag(lnc) OVER ({W}) AS ret_1h FROM a), "
         f"c AS (SELECT series, ts, {inner} FROM b), d AS (SELECT *, stochastic_k_14 AS k14 FROM c) SELECT series, epoch(ts)::BIGINT AS ts_s, {outer}, {d3} FROM d"
     )
 
 
+BAD_TICKS = [c for c in ROLLED if c.startswith(("ret_", "log_return", "sma_ratio", "close_zscore", "volatility", "bollinger", "log_volume", "volume_zscore"))]
+#: Every so many hours, from an hour on, a bar has such a close or volume.
+PLANTED = {"close": ((97, 13, float("nan")), (193, 50, float("inf")), (211, 7, 1e9)), "volume": ((151, 20, float("nan")),)}
+
+
+def q_bad_tick_features(spark, sf_dir):
+    """Rolling features of bars among which some closes are NaN, infinite or a million times too high, and some volumes NaN."""
+    d, hour = hourly(spark, sf_dir), F.floor(F.unix_seconds("ts") / 3600)
+    for column, bad in PLANTED.items():
+        for every, at, value in bad:
+            d = d.withColumn(column, F.when(hour % every == at, F.lit(value)).otherwise(F.col(column)))
+    return rounded(features.rolling_features(d), BAD_TICKS)
+
+
+def bad_tick_sql() -> str:
+    """NaN and infinity count as missing, so here they are null."""
+    of = lambda column: f"CASE {' '.join(f'WHEN (epoch(ts) // 3600)::BIGINT % {every} = {at} THEN {value if value == 1e9 else "NULL"}' for every, at, value in reversed(PLANTED[column]))} ELSE {column} END AS {column}"
+    planted = BARS.replace(" bars AS ", " plain AS ") + f", bars AS (SELECT series, ts, open, high, low, minute_count, {of('close')}, {of('volume')} FROM plain)"
+    return f"SELECT series, ts_s, {', '.join(BAD_TICKS)} FROM ({rolling_sql(planted)})"
+
+
 SMOOTHED = ["ema12_ratio", "ema26_ratio", "ema50_ratio", "ema200_ratio", "ema50_200_spread", "macd_pct", "macd_signal_pct", "macd_hist_pct", "rsi_14", "atr_14_pct", "adx_14", "plus_di_14", "minus_di_14", "di_spread_14"]
 
 
@@ -594,7 +615,7 @@ S_HOURLY_FEATURES = f"SELECT * FROM ({rolling_sql()}) JOIN ({exponential_sql()})
 
 
 QUERIES = {
-    "hourly_bars": q_hourly_bars, "daily_bars": q_daily_bars, "hourly_features": q_hourly_features, "rolling_features": q_rolling_features, "exponential_features": q_exponential_features,
+    "hourly_bars": q_hourly_bars, "daily_bars": q_daily_bars, "hourly_features": q_hourly_features, "rolling_features": q_rolling_features, "bad_tick_features": q_bad_tick_features, "exponential_features": q_exponential_features,
     "usd_context": q_usd_context, "gold_ratio": q_gold_ratio, "targets": q_targets, "walk_forward": q_walk_forward, "folds": q_folds, "holdout_persistence": q_holdout_persistence,
     "selective_grid": q_selective_grid, "champions": q_champions, "predictions": q_predictions, "tag_report": q_tag_report, "keep_last": q_keep_last, "unit_conversion": q_unit_conversion,
     "exposition": q_exposition, "missing_models": q_missing_models, "fresh_quotes": q_fresh_quotes, "rate_limit": q_rate_limit, "json_props": q_json_props, "year_chunks": q_year_chunks, "boosted_forecast": q_boosted_forecast,
@@ -602,7 +623,7 @@ QUERIES = {
     "newest_bars": q_newest_bars, "requests_checked": q_requests_checked, "texts": q_texts, "registry": q_registry, "circuit_breaker": q_circuit_breaker, "train_and_forecast": q_train_and_forecast,
 }
 ORACLES = {
-    "hourly_bars": S_HOURLY_BARS, "daily_bars": S_DAILY_BARS, "rolling_features": rolling_sql(), "exponential_features": exponential_sql(), "usd_context": context_sql(), "gold_ratio": S_GOLD_RATIO, "targets": S_TARGETS,
+    "hourly_bars": S_HOURLY_BARS, "daily_bars": S_DAILY_BARS, "rolling_features": rolling_sql(), "bad_tick_features": bad_tick_sql(), "exponential_features": exponential_sql(), "usd_context": context_sql(), "gold_ratio": S_GOLD_RATIO, "targets": S_TARGETS,
     "walk_forward": S_WALK_FORWARD, "folds": S_FOLDS, "holdout_persistence": S_HOLDOUT, "selective_grid": grid_sql(), "champions": S_CHAMPIONS, "predictions": S_PREDICTIONS, "tag_report": S_TAG_REPORT, "keep_last": S_KEEP_LAST,
     "unit_conversion": S_UNIT_CONVERSION, "exposition": S_EXPOSITION, "missing_models": S_MISSING, "fresh_quotes": S_FRESH, "json_props": S_JSON, "year_chunks": S_YEARS,
     "hourly_features": S_HOURLY_FEATURES, "spx_context": context_sql("spx", False), "wti_context": context_sql("wti", False), "gold_context": gold_sql(), "lookback_walk_forward": S_LOOKBACK, "tag_range": S_TAG_RANGE, "coverage": S_COVERAGE,

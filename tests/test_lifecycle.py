@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from test_market import plan_of
 
 from quartzline.functions import exprs as X
 from quartzline.operators import asof, bars, evaluation, features, serving, training, windows
@@ -298,3 +299,68 @@ def test_features_do_not_move_when_later_rows_come(spark):
     names = ["ret_1h", "sma_ratio_24h", "close_zscore_24h", "volatility_48h", "range_position_72h", "rsi_14", "stochastic_d_3"]
     one, two = (features.build_features(x).orderBy("ts").limit(100).select(*names).toPandas() for x in (cut, b))
     pd.testing.assert_frame_equal(one, two, check_exact=False, rtol=1e-9)
+
+
+def test_bad_ticks_touch_only_the_windows_that_hold_them(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    n = 900
+    close = 1000 + np.cumsum(rng.normal(0, 1, n))
+    close[100], close[250], close[251], close[400], close[600] = np.nan, np.inf, -np.inf, 1e9, 1e-3
+    volume = rng.integers(0, 50, n).astype(float)
+    volume[130], volume[320] = np.nan, np.inf
+    pdf = pd.DataFrame({"series": "s", "ts": pd.date_range("2024-01-01", periods=n, freq="h"), "open": 1000.0, "high": np.where(np.isfinite(close), close + 1, close), "low": np.where(np.isfinite(close), close - 1, close), "close": close, "volume": volume, "minute_count": 60})
+    d = spark.createDataFrame(pdf).withColumn("minute_count", F.col("minute_count").cast("long"))
+    sound = lambda x: pd.Series(x).replace([np.inf, -np.inf], np.nan)
+    c, high, low = sound(pdf.close), sound(pdf.high), sound(pdf.low)
+    with np.errstate(all="ignore"):
+        ret = sound(np.log(c.where(c > 0))).diff()
+    lv = sound(np.log1p(pdf.volume.fillna(0)))
+
+    def plain(x, k, f):
+        """Every window by itself, in numpy."""
+        x = x.to_numpy(dtype=float)
+        return np.array([np.nan if i + 1 < k or np.isnan(x[i + 1 - k : i + 1]).any() else f(x[i + 1 - k : i + 1]) for i in range(len(x))])
+
+    sd = lambda w: np.std(w - w[0], ddof=1)
+    defaults = windows.chunked.__defaults__
+    monkeypatch.setattr(windows.chunked, "__defaults__", (800,))
+    got = features.rolling_features(d).orderBy("ts").toPandas()
+    monkeypatch.setattr(windows.chunked, "__defaults__", defaults)
+    for k in (6, 24, 168, 360):
+        want = {"sma_ratio": c / plain(c, k, np.mean) - 1, "close_zscore": (c - plain(c, k, np.mean)) / plain(c, k, sd), "volatility": plain(ret, k, sd), "range_ratio": plain(high, k, np.max) / plain(low, k, np.min) - 1}
+        for name, w in want.items():
+            np.testing.assert_allclose(got[f"{name}_{k}h"].astype(float), w, rtol=1e-7, atol=1e-9, err_msg=f"{name} {k}")
+    z = (lv - plain(lv, 24, np.mean)) / plain(lv, 24, sd)
+    np.testing.assert_allclose(got["volume_zscore_24h"].astype(float), z, rtol=1e-9, atol=1e-12)
+    assert got["close_zscore_24h"][130:250].notna().all() and abs(got["close_zscore_24h"][424:600]).max() < 5
+
+
+def test_rows_of_a_null_series_or_time_stay(spark):
+    ts = [datetime(2025, 1, 1) + timedelta(hours=i) for i in range(40)]
+    rows = [(s, t, float(i)) for s in ("a", None) for i, t in enumerate(ts)] + [("a", None, 7.0), (None, None, 8.0)]
+    d = spark.createDataFrame(rows, "series string, ts timestamp, x double")
+    c = windows.chunked(d, 0, 16)
+    assert sorted(map(repr, c.select("series", "ts", "x").collect())) == sorted(map(repr, d.collect()))
+    assert [r.x for r in c.where("series is null").orderBy("__rn").collect()] == [8.0, *map(float, range(40))]
+    got = windows.exponential(d, {"y": ("x", 0.5, 0)})
+    want = pd.Series([8.0, *map(float, range(40))]).ewm(alpha=0.5, adjust=False).mean()
+    np.testing.assert_allclose([r.y for r in got.where("series is null").orderBy(F.asc_nulls_first("ts")).collect()], want, rtol=1e-12)
+
+
+def test_exponential_means_are_column_expressions_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = [None if 300 <= k < 420 or rng.random() < 0.2 else float(v) for k, v in enumerate(1000 + np.cumsum(rng.normal(size=900)))]
+    rows = [(s, datetime(2025, 1, 1) + timedelta(hours=i), v) for s in "ab" for i, v in enumerate(x)] + [("flat", datetime(2025, 1, 1) + timedelta(hours=i), 1 / 3) for i in range(300)]
+    d = spark.createDataFrame(rows, "series string, ts timestamp, x double")
+    specs = {"y": ("x", 0.1, 5), "z": ("x", 0.95, 0), "u": ("x", 2 / 201, 30), "one": ("x", 1.0, 0)}
+    for block in (7, 256):
+        monkeypatch.setattr(windows, "BLOCK", block)
+        out = windows.exponential(d, specs if block == 7 else {k: v for k, v in specs.items() if v[1] < 1})
+        assert "MapInArrow" not in plan_of(out) and "Python" not in plan_of(out)
+        got = out.toPandas().sort_values("ts")
+        for s in "ab":
+            for name in out.columns[3:]:
+                _, alpha, least = specs[name]
+                np.testing.assert_allclose(got[got.series == s][name].astype(float), pd.Series(x, dtype=float).ewm(alpha=alpha, adjust=False, min_periods=least).mean(), rtol=1e-11)
+        assert (got[got.series == "flat"][["y", "z"]].dropna() == 1 / 3).all().all()  # equal values stay what they are, to the last digit
+    assert windows.block_rows([0.95]) < 256 and windows.block_rows([1.0]) == 1
