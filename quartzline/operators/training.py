@@ -8,6 +8,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from quartzline.functions.exprs import HORIZONS, direction, percent_change
 from quartzline.operators import asof, evaluation, features
-from quartzline.operators.evaluation import CrossFitted, Estimator, Fitted, MedianReturn, Selection, Selective, boosted, recent
+from quartzline.operators.boosting import Trees
+from quartzline.operators.evaluation import CrossFitted, Estimator, Fitted, Linear, MedianReturn, Selection, Selective, median_boosted, recent
 from quartzline.session import written
 from quartzline.sources.market import moved
 
@@ -27,14 +29,15 @@ class Config:
     splits: int = 5
     iterations: int = 350
     step: float = 0.05
-    depth: int = 5
-    seed: int = 42
+    leaves: int = 31
+    l2: float = 1.0
+    depth: int | None = None
     gate: float = evaluation.GATE_PERCENT
 
 
 def candidates(config: Config) -> list[Estimator]:
     """The production candidates: the median, a fixed selective rule, and the cross-fitted one."""
-    base = boosted("gbt", config.iterations, config.step, config.depth, config.seed)
+    base = median_boosted("gbt", config.iterations, config.step, config.depth, config.leaves, config.l2)
     return [MedianReturn(), Selective(base, 0.8, 0.25), CrossFitted(base, 3, "cross_fitted_selective_gbt")]
 
 
@@ -61,24 +64,36 @@ class Artifact:
     fitted: Fitted
 
 
-def train(base: DataFrame, series: str, h: int, config: Config, choices: list[Estimator] | None = None, columns: list[str] | None = None, providers=()) -> Artifact:
-    """Selects on development rows, checks on the holdout, then refits the winner to all rows of its lookback."""
-    rows, columns = prepared(base, h, columns)
-    rows = written(rows, "prepared")
-    n = evaluation.require_rows(rows, config.min_rows)
+def train_many(base: DataFrame, series: str, horizons, config: Config, choices: list[Estimator] | None = None, columns: list[str] | None = None, providers=()) -> list[Artifact]:
+    """Selects on development rows, checks on the holdout, then refits each horizon's winner to all rows of its lookback; all horizons in the same jobs."""
+    names = columns or features.feature_columns(base)
+    tables = {h: written(prepared(base, h, names)[0], "prepared") for h in horizons}
+    counts = {h: evaluation.require_rows(d, config.min_rows) for h, d in tables.items()}
     choices = choices or candidates(config)
-    s: Selection = evaluation.select(rows, choices, columns, h, config.splits, min(config.min_rows, int(n * evaluation.DEVELOPMENT_SHARE)), gate=config.gate)
-    winner = choices[s.winner]
-    final = recent(rows, rows.agg(F.max("ts")).first()[0], winner.lookback_days)
-    count, first, last = final.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
-    fitted = winner.fit(final, columns, f"target_{h}h")
-    record = {
-        "schema_version": 6, "metal": series, "horizon_hours": h, "feature_columns": columns, "trained_at_utc": datetime.now(UTC).isoformat(), "training_rows": count, "training_start_utc": first.isoformat(), "training_end_utc": last.isoformat(),
-        "candidate_training_lookback_days": winner.lookback_days, "training_config": asdict(config), "exogenous_features": [asof.PROVIDERS[p].metadata() for p in providers], "active_strategy": s.active, "selected_challenger": s.selected,
-        "selection": {"development_candidates": dict(zip(s.names, s.development, strict=True)), "challenger_holdout_metrics": s.challenger, "holdout_start_utc": s.holdout_start.isoformat(), "development_qualified": s.gates[0], "holdout_qualified": s.gates[1], "promotion_threshold_pct": s.gate},
-        "metrics": s.metrics | {"rows_total": n},
-    }
-    return Artifact(record, fitted)
+    least = min(min(config.min_rows, int(n * evaluation.DEVELOPMENT_SHARE)) for n in counts.values())
+    chosen = evaluation.select_many(tables, choices, names, config.splits, least, gate=config.gate)
+    final = {h: recent(d, d.agg(F.max("ts")).first()[0], choices[chosen[h].winner].lookback_days) for h, d in tables.items()}
+    fitted = {}
+    for k in sorted({s.winner for s in chosen.values()}):
+        parts = [final[h].select(F.lit(h).alias("__h"), "ts", "close", F.col(f"target_{h}h").alias("__y"), *[F.col(c) for c in names]) for h in horizons if chosen[h].winner == k]
+        fitted |= choices[k].fits(written(reduce(DataFrame.unionByName, parts), "refit"), names, "__y", "__h")
+    out = []
+    for h in horizons:
+        s: Selection = chosen[h]
+        count, first, last = final[h].agg(F.count("*"), F.min("ts"), F.max("ts")).first()
+        record = {
+            "schema_version": 6, "metal": series, "horizon_hours": h, "feature_columns": names, "trained_at_utc": datetime.now(UTC).isoformat(), "training_rows": count, "training_start_utc": first.isoformat(), "training_end_utc": last.isoformat(),
+            "candidate_training_lookback_days": choices[s.winner].lookback_days, "training_config": asdict(config), "exogenous_features": [asof.PROVIDERS[p].metadata() for p in providers], "active_strategy": s.active, "selected_challenger": s.selected,
+            "selection": {"development_candidates": dict(zip(s.names, s.development, strict=True)), "challenger_holdout_metrics": s.challenger, "holdout_start_utc": s.holdout_start.isoformat(), "development_qualified": s.gates[0], "holdout_qualified": s.gates[1], "promotion_threshold_pct": s.gate},
+            "metrics": s.metrics | {"rows_total": counts[h]},
+        }
+        out.append(Artifact(record, fitted[h]))
+    return out
+
+
+def train(base: DataFrame, series: str, h: int, config: Config, choices: list[Estimator] | None = None, columns: list[str] | None = None, providers=()) -> Artifact:
+    """train_many() of one horizon."""
+    return train_many(base, series, (h,), config, choices, columns, providers)[0]
 
 
 def folder_sha256(spark: SparkSession, path: str) -> str:
@@ -97,7 +112,7 @@ def save(spark: SparkSession, root: str, artifact: Artifact) -> str:
     r, f = artifact.record, artifact.fitted
     target = place(root, r["metal"], r["horizon_hours"])
     part = f"{target}.part-{uuid.uuid4().hex}"
-    kept = {"name": f.name, "constant": f.constant, "threshold": None if f.threshold is None else repr(f.threshold), "shrinkage": f.shrinkage, "has_model": f.model is not None}
+    kept = {"name": f.name, "constant": f.constant, "threshold": None if f.threshold is None else repr(f.threshold), "shrinkage": f.shrinkage, "model": type(f.model).__name__ if f.model is not None else None}
     digest = ""
     if f.model is not None:
         f.model.save(f"{part}/model")
@@ -118,10 +133,11 @@ def load(spark: SparkSession, root: str, series: str, h: int) -> Artifact:
     record = json.loads(row.record)
     kept = record["fitted"]
     model = None
-    if kept["has_model"]:
+    if kept["model"]:
         if not hmac.compare_digest(folder_sha256(spark, f"{folder}/model"), record["model_sha256"]):
             raise ValueError(f"{folder}: the model's checksum doesn't hold")
-        model = PipelineModel.load(f"{folder}/model")
+        text = {"Trees": Trees, "Linear": Linear}.get(kept["model"])
+        model = text.from_json(spark.read.text(f"{folder}/model").first()[0]) if text else PipelineModel.load(f"{folder}/model")
     return Artifact(record, Fitted(kept["name"], model, kept["constant"], None if kept["threshold"] is None else float(kept["threshold"]), kept["shrinkage"]))
 
 
@@ -139,10 +155,10 @@ def train_all(bars: DataFrame, series: str, root: str, horizons=HORIZONS, config
         raise ValueError(f"horizons {unknown} are not supported")
     if not horizons:
         return []
-    spark, base, done = bars.sparkSession, feature_base(bars, series, providers), []
-    for h in horizons:
-        done.append(train(base, series, h, config, choices, columns, providers))
-        save(spark, root, done[-1])
+    spark = bars.sparkSession
+    done = train_many(feature_base(bars, series, providers), series, horizons, config, choices, columns, providers)
+    for a in done:
+        save(spark, root, a)
     keys = ("horizon_hours", "active_strategy", "selected_challenger", "candidate_training_lookback_days")
     report = {"metal": series, "trained_at_utc": datetime.now(UTC).isoformat(), "horizons_hours": list(horizons), "feature_base_reused_across_horizons": True, "horizon_status": [{k: a.record[k] for k in keys} for a in done], "metrics": [a.record["metrics"] for a in done]}
     spark.createDataFrame([(json.dumps(report),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/{series}/{series}_training_report")

@@ -318,7 +318,7 @@ def metric_sql(a: str, p: str, c: str) -> str:
 
 
 def scored(d: DataFrame, predicted: str, by: list[str]) -> DataFrame:
-    m = d.groupBy(*by).agg(*evaluation.metrics("future_close_24h", predicted, "close"))
+    m = evaluation.scores(d, by, "future_close_24h", predicted, "close")
     return m.select(*by, "rows_validated", *[F.round(c, 6).alias(c) for c in m.columns if c not in (*by, "rows_validated")])
 
 
@@ -503,8 +503,8 @@ S_YEARS = "WITH d AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE
 
 def q_boosted_forecast(spark, sf_dir):
     """Boosted trees of each series on its purged development rows' returns, scored on the holdout. README lists what is less than the reference's."""
-    d = features.rolling_features(prepared(spark, sf_dir))
     cols = ["ret_1h", "sma_ratio_24h", "volatility_24h", "close_zscore_24h"]
+    d = asof.with_target(features.rolling_features(hourly(spark, sf_dir)), 24).where(F.col("close") > 0).dropna(subset=["target_24h"])
     d = evaluation.with_holdout(evaluation.numbered(positive(d).dropna(subset=cols)))
     train, rest = (written(x, "boosted") for x in evaluation.holdout_split(d, "target_timestamp_24h"))
     names = [r.series for r in train.select("series").distinct().orderBy("series").collect()]
@@ -514,6 +514,16 @@ def q_boosted_forecast(spark, sf_dir):
     return scored(reduce(DataFrame.unionByName, parts).withColumn("p", F.col("close") * F.exp("raw")), "p", ["series"])
 
 
+def q_median_trees(spark, sf_dir):
+    """Trees with median leaves of all series, fitted together on their purged development rows and the catalogue up to 24 h, scored on the holdout."""
+    b = written(features.build_features(hourly(spark, sf_dir)), "features")
+    cols = [c for c in features.feature_columns(b) if not c.endswith(("48h", "72h", "168h", "360h", "720h")) and not c.startswith("bollinger_position")]
+    d = asof.with_target(b, 24).where(F.col("close") > 0).dropna(subset=["target_24h", *cols])
+    train, rest = (written(x, "trees") for x in evaluation.holdout_split(evaluation.with_holdout(evaluation.numbered(positive(d))), "target_timestamp_24h"))
+    fits = evaluation.median_boosted(iterations=3).fits(train, cols, "target_24h", "series")
+    return scored(evaluation.predict_each(fits, rest, cols, "series").withColumn("p", F.col("close") * F.exp("raw")), "p", ["series"])
+
+
 def q_lookback_walk_forward(spark, sf_dir):
     return scored(evaluation.walk_forward_median(positive(prepared(spark, sf_dir)), 24, 5, lookback_days=7), "predicted", ["series"])
 
@@ -603,7 +613,7 @@ def q_train_and_forecast(spark, sf_dir):
     b = written(hourly(spark, sf_dir).where(F.col("close") > 0), "bars")
     root = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
     config = training.Config(min_rows=300, splits=2, iterations=3, depth=3)
-    base = evaluation.boosted("gbt", config.iterations, config.step, config.depth, config.seed)
+    base = evaluation.median_boosted("gbt", config.iterations, config.step, config.depth, config.leaves, config.l2)
     choices = [evaluation.MedianReturn(), evaluation.Selective(base, 0.8, 0.25), evaluation.Ridge(1.0)]
     columns = ["ret_1h", "sma_ratio_24h", "close_zscore_24h", "volatility_24h", "rsi_14", "spx_log_return_24h", "gold_silver_ratio"]
     done = training.train_all(b, "silver", root, (24,), config, choices, columns, ("spx", "gold_silver"))
@@ -618,7 +628,7 @@ QUERIES = {
     "hourly_bars": q_hourly_bars, "daily_bars": q_daily_bars, "hourly_features": q_hourly_features, "rolling_features": q_rolling_features, "bad_tick_features": q_bad_tick_features, "exponential_features": q_exponential_features,
     "usd_context": q_usd_context, "gold_ratio": q_gold_ratio, "targets": q_targets, "walk_forward": q_walk_forward, "folds": q_folds, "holdout_persistence": q_holdout_persistence,
     "selective_grid": q_selective_grid, "champions": q_champions, "predictions": q_predictions, "tag_report": q_tag_report, "keep_last": q_keep_last, "unit_conversion": q_unit_conversion,
-    "exposition": q_exposition, "missing_models": q_missing_models, "fresh_quotes": q_fresh_quotes, "rate_limit": q_rate_limit, "json_props": q_json_props, "year_chunks": q_year_chunks, "boosted_forecast": q_boosted_forecast,
+    "exposition": q_exposition, "missing_models": q_missing_models, "fresh_quotes": q_fresh_quotes, "rate_limit": q_rate_limit, "json_props": q_json_props, "year_chunks": q_year_chunks, "boosted_forecast": q_boosted_forecast, "median_trees": q_median_trees,
     "spx_context": context_query("spx"), "wti_context": context_query("wti"), "gold_context": q_gold_context, "lookback_walk_forward": q_lookback_walk_forward, "tag_range": q_tag_range, "coverage": q_coverage, "session_quotes": q_session_quotes,
     "newest_bars": q_newest_bars, "requests_checked": q_requests_checked, "texts": q_texts, "registry": q_registry, "circuit_breaker": q_circuit_breaker, "train_and_forecast": q_train_and_forecast,
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_market import plan_of
 
 from quartzline.functions import exprs as X
-from quartzline.operators import asof, bars, evaluation, features, serving, training, windows
+from quartzline.operators import asof, bars, boosting, evaluation, features, quantiles, serving, training, windows
 from quartzline.sources import market as sources
 from quartzline.sources import providers
 
@@ -364,3 +364,92 @@ def test_exponential_means_are_column_expressions_over_blocks(spark, monkeypatch
                 np.testing.assert_allclose(got[got.series == s][name].astype(float), pd.Series(x, dtype=float).ewm(alpha=alpha, adjust=False, min_periods=least).mean(), rtol=1e-11)
         assert (got[got.series == "flat"][["y", "z"]].dropna() == 1 / 3).all().all()  # equal values stay what they are, to the last digit
     assert windows.block_rows([0.95]) < 256 and windows.block_rows([1.0]) == 1
+
+
+def test_quantiles_of_hot_groups_are_exact(spark):
+    rng = np.random.default_rng(1)
+    groups = {"hot": np.r_[rng.normal(size=4000) ** 5 * 1e6, np.zeros(500), 1e300, -1e300], "ties": np.full(3000, 2.5), "small": rng.normal(size=37), None: rng.normal(size=2500), "one": np.array([3.0])}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("hot", None), ("none", None)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0, 0.333]
+    for gathered in (10_000, 100, 3):
+        got = {r.g: r.q for r in quantiles.quantiles(d, ["g"], "v", shares, gathered=gathered, out="q").collect()}
+        assert set(got) == {*groups, "none"} and not got["none"]
+        for g, x in groups.items():
+            np.testing.assert_allclose(got[g], np.quantile(x, shares), rtol=1e-12)
+    # No task gathers more of the hot group than allowed: what is sorted is a bracket.
+    plan = quantiles.quantiles(d, ["g"], "v", [0.5], gathered=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and quantiles.quantiles(d.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def planted(n, seed):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 4))
+    x[:, 3] = np.round(x[:, 3] * 2)
+    return x, np.where(x[:, 0] > 0.3, 2.0, -1.0) + x[:, 1] * 0.5 + (x[:, 3] > 0) * x[:, 0] + r.standard_t(2, size=n) * 0.3
+
+
+def plain_boosting(x, y, s, edges):
+    """One tree after another over all rows, the leaf of the greatest gain split first."""
+    bins, raw = boosting.coded(x, [np.array(e) for e in edges]).astype(int), np.full(len(y), np.median(y))
+    for _ in range(s.iterations):
+        g = np.sign(raw - y)
+        worth = lambda k: g[k].sum() ** 2 / (len(k) + s.l2)  # noqa: B023, E731
+
+        def best(rows):
+            found = None
+            for f in range(x.shape[1]):
+                for c in range(255):
+                    left, right = rows[bins[rows, f] <= c], rows[bins[rows, f] > c]
+                    if min(len(left), len(right)) >= s.least_rows:
+                        gain = worth(left) + worth(right) - worth(rows)  # noqa: B023
+                        if gain > 0 and (found is None or gain > found[0]):
+                            found = (gain, left, right)
+            return found
+
+        leaves = [(np.arange(len(y)), best(np.arange(len(y))))]
+        while len(leaves) < s.leaves and any(b for _, b in leaves):
+            k = max((k for k in range(len(leaves)) if leaves[k][1]), key=lambda k: leaves[k][1][0])
+            _, (_, left, right) = leaves.pop(k)
+            leaves += [(left, best(left)), (right, best(right))]
+        for rows, _ in leaves:
+            raw[rows] += s.step * np.median(y[rows] - raw[rows])
+    return raw
+
+
+def test_median_trees_equal_plain_ones_and_beat_mean_leaves(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "HELD_TREES", 2)  # predictions are written anew on the way
+    sets = {"a": planted(700, 1), "b": planted(450, 2)}
+    rows = [(m, *map(float, x), float(y)) for m, (xs, ys) in sets.items() for x, y in zip(xs, ys, strict=True)] + [("a", None, 0.0, 0.0, 0.0, 1.0), ("c", None, 0.0, 0.0, 0.0, 1.0)]
+    names = ["f0", "f1", "f2", "f3"]
+    d = spark.createDataFrame(rows, "m string, f0 double, f1 double, f2 double, f3 double, y double").repartition(3)
+    s = boosting.Settings(iterations=3, leaves=7, step=0.4)
+    got = boosting.fit_many(d, names, "y", "m", s)
+    assert set(got) == {"a", "b"} and got["a"].to_json() == boosting.Trees.from_json(got["a"].to_json()).to_json()
+    for m, (x, y) in sets.items():
+        np.testing.assert_allclose(got[m].predict(x), plain_boosting(x, y, s, got[m].edges), rtol=0, atol=1e-12)
+    one = d.where("m = 'a'")
+    # Returns are thousandths: steps of the sign's size overshoot them, medians don't.
+    returns = one.withColumn("y", F.col("y") / 1000)
+    loss = lambda f: f.predict(returns).agg(F.avg(F.abs(F.col("raw") - F.col("y")))).first()[0]
+    many = evaluation.median_boosted(iterations=4, step=0.4, leaves=8).fit(returns, names, "y")
+    assert loss(many) < 0.9e-3 and loss(many) <= loss(evaluation.boosted(iterations=4, step=0.4, depth=3).fit(returns, names, "y"))
+    assert got["a"].transform(one).count() == len(sets["a"][1]) and boosting.fit_many(d.limit(0), names, "y", "m", s) == {}
+
+
+def test_ridge_of_all_folds_is_one_pass_and_equals_separate_fits(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)) * [1, 5, 1e-3] + [1e6, 0, 7]
+    y = (x - x.mean(0)) @ [0.5, -0.1, 20.0] + rng.normal(size=300)
+    d = spark.createDataFrame([(k, *map(float, r), float(t)) for k in range(3) for r, t in zip(x[: 100 * (k + 1)], y)], "k int, a double, b double, c double, t double").repartition(4)
+    fits = evaluation.Ridge(2.0).fits(d, ["a", "b", "c"], "t", "k")
+    assert set(fits) == {0, 1, 2}
+    each = evaluation.predict_each(fits, d, ["a", "b", "c"], "k")
+    for k in range(3):
+        xs, ys = x[: 100 * (k + 1)], y[: 100 * (k + 1)]
+        z = (xs - xs.mean(0)) / xs.std(0)
+        want = z @ np.linalg.solve(z.T @ z + 2.0 * np.eye(3), z.T @ (ys - ys.mean())) + ys.mean()
+        for got in (each.where(F.col("k") == k), fits[k].predict(d.where(F.col("k") == k))):
+            g = got.select("a", "b", "c", "raw").toPandas().sort_values(["a", "b", "c"])["raw"].to_numpy()
+            np.testing.assert_allclose(g, want[np.lexsort((xs[:, 2], xs[:, 1], xs[:, 0]))], rtol=0, atol=1e-6)
+        np.testing.assert_allclose(fits[k].values(xs), want, rtol=0, atol=1e-6)
