@@ -3,8 +3,9 @@
 Each page is scored on its own, in one pass without a shuffle. The tree is a few parallel lists: an element is an index, and a child's is
 greater than its parent's. Every step is linear in the page: elements count their open kind, so that no end tag searches in vain.
 
-Names of class, id and role never drop an element by themselves. They discount the points of what stands in it, and a marked element
-is left out where the best container lies elsewhere.
+Names of class, id and role discount the points of what stands in an element. Where the best container lies elsewhere, an element is left out by a name that
+is a hint as a whole or, outside an article, holds one; in an article, by a name that holds one only if it has many links as well. Headings are never
+marked, and ids of sections, paragraphs and lists, which come from titles, mark nothing.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ ABOUT = set("has have no not with without is hide hides show shows enable disabl
 INLINE = set("ad ads advert advertisement sponsored share sharing breadcrumb breadcrumbs".split())
 #: What the points in an element so marked count: a word of NEVER, a name that is of SELDOM, and one that only holds it.
 DISCOUNT = (0.02, 0.05, 0.25)
-#: A marked element can hold the best container from so many paragraphs and points on.
-LEAST_PARAGRAPHS, LEAST_POINTS = 2, 6.0
+#: Headings are never marked. Ids of these come from their titles and mark nothing, and in an article only a class that is a word of NEVER does.
+HEADINGS, TITLED = set("h1 h2 h3 h4 h5 h6".split()), PARAGRAPHS | {"section", "figure", "table", "ul", "ol", "dl"}
 #: A sibling is kept under this link density; beside an article, and further up, from this share of the best container's points on.
 DENSITY, SHARE = 0.25, 0.2
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
@@ -53,28 +54,38 @@ UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CAMEL, SPLIT = re.compile(r"(?<=[a-z0-9])(?=[A-Z])"), re.compile(r"[^a-z0-9]+")
 
 
-def discount(names: str, in_article: bool) -> float:
-    """The least discount that the names of an element give; 1 where none is a hint."""
-    least = 1.0
-    for name in names.split():
+def discount(tag: str, classes: str, ident: str, in_article: bool) -> tuple[float, bool]:
+    """(the least discount that the names of an element give, 1 where none is a hint; whether the name alone leaves the element out).
+
+    A name that only holds a hint, and an id in an article, need many links as well to leave an element out.
+    """
+    if tag in HEADINGS:
+        return 1.0, False
+    least, alone, titled = 1.0, False, tag in TITLED
+    for name, is_id in [(x, False) for x in classes.split()] + [(x, True) for x in ident.split() if not titled]:
         low, words = name.lower(), SPLIT.split(CAMEL.sub("-", name).lower())
+        if low in NEVER:
+            least, alone = min(least, DISCOUNT[0]), alone or not (in_article and is_id)
+            continue
+        if in_article and titled:
+            continue
         if low in SELDOM and not (in_article and low in HEADS):
-            least = min(least, DISCOUNT[1])
-        for word in [low] if low in NEVER else words:
+            least, alone = min(least, DISCOUNT[1]), alone or not (in_article and is_id)
+        for word in words:
             if word in ABOUT:
                 break
             if word in NEVER:
-                least = min(least, DISCOUNT[0])
+                least, alone = min(least, DISCOUNT[2 if in_article else 0]), alone or not in_article
             elif word in SELDOM and not (in_article and word in HEADS):
                 least = min(least, DISCOUNT[2])
-    return least
+    return least, alone
 
 
 class Page:
     """The elements of a page (parent, tag, mark and what applies in them) and its blocks: (element, text, characters, characters in links)."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.mark = [-1], ["#root"], [1.0]
+        self.parent, self.tag, self.mark, self.alone = [-1], ["#root"], [1.0], [False]
         self.junk, self.core, self.block = [False], [False], [0]  # dropped; in an article or main; nearest block element
         self.blocks: list[tuple[int, str, int, int]] = []
         self.stack, self.open_bits, self.inline, self.count = [0], [0], [Counter()], Counter()
@@ -159,19 +170,21 @@ class Page:
                 self.end_implied(bit)
         top = self.stack[-1]
         core = name in ("article", "main") or attributes.get("role", "").lower() == "main"
-        names = " ".join(attributes[a] for a in ("class", "id", "role") if a in attributes)
+        names = " ".join(attributes[a] for a in ("class", "role") if a in attributes)
+        ident = attributes.get("id", "")
         shown = "hidden" not in attributes and attributes.get("aria-hidden", "").lower() != "true" and not UNSHOWN.search(attributes.get("style", ""))
         junk = self.junk[top] or not shown or name in DROPPED or name == "header" and not self.core[top]
-        mark = 1.0
+        mark, alone = 1.0, False
         if name == "form":
-            mark = DISCOUNT[0]
-        elif names and name in BLOCKS and not core and name not in ("html", "body"):
-            mark = discount(html.unescape(names), self.core[top])
-        elif names and name not in BLOCKS:
-            junk = junk or not INLINE.isdisjoint(names.lower().split())
+            mark, alone = DISCOUNT[0], True
+        elif (names or ident) and name in BLOCKS and not core and name not in ("html", "body"):
+            mark, alone = discount(name, html.unescape(names), html.unescape(ident), self.core[top])
+        elif (names or ident) and name not in BLOCKS:
+            junk = junk or not INLINE.isdisjoint(f"{names} {ident}".lower().split())
         self.parent.append(top)
         self.tag.append(name)
         self.mark.append(mark)
+        self.alone.append(alone)
         self.core.append(self.core[top] or core)
         self.junk.append(junk)
         at = len(self.tag) - 1
@@ -239,13 +252,14 @@ def best_container(page: Page, length: list[int], density: list[float], total: l
             points[parent[owner]] += worth / 2
     best, most = -1, -1.0
     for i in range(n):
-        may = weight[i] == 1 or filled[i] or paragraphs[i] >= LEAST_PARAGRAPHS and total[i] >= LEAST_POINTS
+        may = weight[i] == 1 or filled[i] or paragraphs[i] > 0
         if length[i] and may and points[i] * (1 - density[i]) > most:
             best, most = i, points[i] * (1 - density[i])
     return best
 
 
 def main_text(source: str | None) -> str:
+    """The main text of one page; empty for null, empty or textless html."""
     page = Page(source or "")
     n, parent, tag = len(page.tag), page.parent, page.tag
     length, linked, total, paragraphs = [0] * n, [0] * n, [0.0] * n, [0] * n
@@ -264,9 +278,11 @@ def main_text(source: str | None) -> str:
     holds, up = [False] * n, best  # the elements around the best container, which their marks don't drop
     while up >= 0:
         holds[up], up = True, parent[up]
-    out = [False] * n
+    out, within = [False] * n, [False] * n
     for i in range(1, n):
-        out[i] = out[parent[i]] or page.mark[i] < 1 and not holds[i]
+        within[i] = within[parent[i]] or i == best
+        outside = not within[i] and not page.core[i]
+        out[i] = out[parent[i]] or page.mark[i] < 1 and not holds[i] and (page.alone[i] or outside or density[i] >= DENSITY)
     up = best
     while page.core[best] and up > 0:  # an article's parts belong together
         if tag[up] in ("article", "main") or not page.core[parent[up]]:

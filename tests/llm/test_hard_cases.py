@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html
 import itertools
 import math
 import random
@@ -390,3 +391,57 @@ def test_join_deals_the_pairs_of_hot_documents(spark, monkeypatch):
     texts += [sentence(rng, 30) for _ in range(5)] + [None, " ".join(base), " ".join(base)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in similarity_join.joined_components(docs_frame(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
+HINTED = ("id=related-work", "id=informed-consent", "id=search", "id=navigation", "id=alert-systems", "id=promotion-of-pawns", "id=share-prices", "class=social-history", "class=notice", "id=comments", "class='widget-table'")
+
+
+def test_html_names_of_sections_and_headings_in_an_article_drop_nothing():
+    for name in HINTED:
+        for page in ("<body><article><h1>T</h1>{p}{x}</article></body>", "<body><main><div><h1>T</h1>{p}{x}</div></main></body>"):
+            text = html_text.main_text(page.format(p=PROSE, x=f"<section {name}><h2>Own title</h2><p>Own words.</p></section>"))
+            assert text.endswith("Own title\n\nOwn words."), name
+            text = html_text.main_text(page.format(p=PROSE, x=f"<h2 {name}>Own title</h2><p {name}>Own words.</p>"))
+            assert text.endswith("Own title\n\nOwn words."), name
+    # A class that is the hint itself, or a name that holds one together with many links, leaves an element out.
+    for junk in ("<div class=ad>Buy</div>", "<section class=comments><p>A reply, and more.</p></section>", "<div class='share-bar'><a href=x>Share it</a> now</div>", "<form><p>Your mail</p></form>"):
+        text = html_text.main_text(f"<body><article>{PROSE}{junk}</article></body>")
+        assert text.count("\n\n") == 3 and text.count("of the article") == 4, junk
+    assert "pawns" in html_text.main_text(f"<body><article>{PROSE}<div class='promotion-of-pawns'><p>Of pawns.</p></div></article></body>")
+
+
+def test_html_short_pages_keep_their_only_paragraph():
+    for wrapper in ("form", "div class='content-widget'", "div id=search", "div class=overlay", "section id=share-prices"):
+        assert html_text.main_text(f"<body><{wrapper}><p>One short text.</p></{wrapper.split()[0]}></body>") == "One short text.", wrapper
+
+
+def test_html_whole_text_of_planted_pages():
+    rng = random.Random(31)
+    say = lambda k: " ".join(rng.choice(["word", "text,", "long", "and", "Über", "a&amp;b"]) for _ in range(k))
+    shown = lambda x: " ".join(html.unescape(x).split())
+    for _ in range(150):
+        want = [say(rng.randrange(1, 30))]
+        body = [f"<p>{want[0]}</p>"]
+        for _ in range(rng.randrange(1, 8)):
+            kind = rng.randrange(6)
+            name = rng.choice(("", *(f" {h}" for h in HINTED)))
+            title, text = say(rng.randrange(1, 6)), say(rng.randrange(1, 60))
+            if kind == 0:
+                body.append(f"<section{name}><h2>{title}</h2><p>{text}</p></section>")
+                want += [title, text]
+            elif kind == 1:
+                body.append(f"<h3{name}>{title}</h3><p>{text}</p>")
+                want += [title, text]
+            elif kind == 2:
+                body.append(f"<ul{name}><li>{title}<li>{text}</ul>")
+                want += [title, text]
+            elif kind == 3:
+                body.append(f"<p>{text} <a href=x>{title}</a></p>")
+                want.append(f"{text} {title}")
+            elif kind == 4:
+                body.append(rng.choice(("<div class=ad>{}</div>", "<aside><p>{}</p></aside>", "<nav><a href=x>{}</a></nav>", "<form><label>{}</label></form>", "<script>{}</script>", "<div class='comments'><p>{}</p></div>")).format(text))
+            else:
+                body.append(f"<blockquote>{text}</blockquote>")
+                want.append(text)
+        page = f"<html><head><title>t</title></head><body><header><p>{say(9)}</p></header><nav><ul><li><a href=x>{say(3)}</a></ul></nav><article>{''.join(body)}</article><div class='comment-list'><p>{say(80)}</p></div><footer>{say(5)}</footer></body></html>"
+        assert html_text.main_text(page) == "\n\n".join(map(shown, want)), page
