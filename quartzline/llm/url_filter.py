@@ -113,7 +113,7 @@ def assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
 
-def fitted(known: DataFrame, stats: DataFrame, prior: float):
+def boosted(known: DataFrame, stats: DataFrame, prior: float):
     """Boosted trees over the features of labelled URLs, of which TRAIN_ROWS by hash take part; None where all labels are one."""
     n, bad = known.agg(F.count("*"), F.sum("label")).first()
     if not 0 < (bad or 0.0) < n:
@@ -123,6 +123,27 @@ def fitted(known: DataFrame, stats: DataFrame, prior: float):
     return GBTClassifier(maxIter=12, maxDepth=4, maxBins=32, stepSize=0.2, seed=7).fit(train)
 
 
+def log_loss(score: Column) -> Column:
+    p = F.greatest(F.least(score, F.lit(1 - 1e-9)), F.lit(1e-9))
+    return F.avg(-F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p)))
+
+
+def fitted(known: DataFrame, stats: DataFrame, prior: float):
+    """Boosted trees, or None where they don't help: trees of two thirds of the hosts must score the URLs of the others better than the share of label 1 does.
+
+    Without labelled URLs of other hosts nothing speaks against them.
+    """
+    aside = F.pmod(F.xxhash64("host", F.lit("check")), F.lit(3)) == 0
+    rest = known.where(~aside)
+    own_stats, own_prior = suffix_statistics(rest)
+    trees = boosted(rest, own_stats, own_prior)
+    if trees is not None:
+        loss, plain = with_score(known.where(aside), trees, own_stats, own_prior).agg(log_loss(F.col("score")), log_loss(F.lit(own_prior))).first()
+        if loss is not None and loss >= plain:
+            return None
+    return boosted(known, stats, prior)
+
+
 def with_score(rows: DataFrame, trees, stats: DataFrame, prior: float) -> DataFrame:
     """Adds score, the probability of label 1."""
     if trees is None:
@@ -141,7 +162,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, url: str = "url", keys: tuple[st
     labelled: (url, label 0 or 1) rows that train the trees, 1 being block; null labels are left out. By default the pages themselves are
     labelled by page_label() of their source column; without that column there are no labels. The rules' verdicts train nothing. Suffix
     statistics are over all labelled URLs, by pair of top-level domain and first short path segment. Null or malformed URLs have empty host and
-    path and are scored like any other. Without labels of both kinds the labels' majority, or allow, decides. Repeated rows give
+    path and are scored like any other. Without labels of both kinds, or where trees don't help, the labels' majority, or allow, decides. Repeated rows give
     repeated results; other columns are ignored; an empty table gives an empty result.
     """
     own = labelled is None and source in pages.columns

@@ -445,3 +445,18 @@ def test_html_whole_text_of_planted_pages():
                 want.append(text)
         page = f"<html><head><title>t</title></head><body><header><p>{say(9)}</p></header><nav><ul><li><a href=x>{say(3)}</a></ul></nav><article>{''.join(body)}</article><div class='comment-list'><p>{say(80)}</p></div><footer>{say(5)}</footer></body></html>"
         assert html_text.main_text(page) == "\n\n".join(map(shown, want)), page
+
+
+def test_url_trees_decide_only_where_they_help(spark):
+    rng = random.Random(8)
+    rows = [(f"http://h{rng.randrange(60)}.{rng.choice(['org', 'net'])}/{'x' * rng.randrange(9)}/{rng.randrange(999)}", None) for _ in range(900)]
+    chance = spark.createDataFrame([(u, float(rng.random() < 0.2)) for u, _ in rows], "url string, label double")
+    told = spark.createDataFrame([(u, float("xxxxx" in u)) for u, _ in rows], "url string, label double")
+    losses = lambda d: url_filter.held_out(d).agg(url_filter.log_loss(F.col("score")), url_filter.log_loss(F.col("prior"))).first()
+    ours, plain = losses(chance)
+    assert ours <= plain
+    ours, plain = losses(told)
+    assert ours < plain / 4
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    found = url_filter.url_verdicts(pages, rules=(), labelled=told)
+    assert found.where("verdict = 'block'").count() == sum('xxxxx' in u for u, _ in rows)
