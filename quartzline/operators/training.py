@@ -19,7 +19,7 @@ from quartzline.operators import asof, evaluation, features
 from quartzline.operators.boosting import Trees
 from quartzline.operators.evaluation import CrossFitted, Estimator, Fitted, Linear, MedianReturn, Selection, Selective, median_boosted, recent
 from quartzline.session import written
-from quartzline.sources.market import moved
+from quartzline.sources.market import moved, standing
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def save(spark: SparkSession, root: str, artifact: Artifact) -> str:
 
 def load(spark: SparkSession, root: str, series: str, h: int) -> Artifact:
     """The artifact of a series and horizon; an error where there is none or where its checksums don't hold."""
-    folder = place(root, series, h)
+    folder = standing(spark, place(root, series, h))
     row = spark.read.schema("record string, sha256 string").json(f"{folder}/record").first()
     if row is None or not hmac.compare_digest(hashlib.sha256(row.record.encode()).hexdigest(), row.sha256):
         raise ValueError(f"{folder}: the record's checksum doesn't hold")

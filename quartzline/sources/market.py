@@ -243,19 +243,57 @@ def joined_bundle(parts: DataFrame) -> DataFrame:
     return d.select(F.try_to_binary("text", F.lit("base64")).alias("content")).withColumn("sha256", F.sha2("content", 256))
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def set_aside(spark: SparkSession, target: str) -> list[str]:
+    """What stood in the place of target before and wasn't removed yet, oldest first."""
+    at, fs = file_system(spark, target)
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}.before-*")) or []
+    return [f.getPath().toString() for f in sorted(found, key=lambda f: f.getModificationTime())]
+
+
+def standing(spark: SparkSession, target: str) -> str:
+    """Where the table of target is: in its place, or set aside where a writer was lost between the two steps of a replacement."""
+    at, fs = file_system(spark, target)
+    return target if fs.exists(at) else (set_aside(spark, target) or [target])[-1]
+
+
 def moved(spark: SparkSession, source: str, target: str) -> None:
-    """Puts a written folder in the place of another."""
-    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
-    fs = b.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(b, True)
-    if b.getParent() is not None:
+    """Puts a written folder in the place of another. At every moment standing() finds the old or the new one, whole: the old is set aside, not
+    deleted, until the new has its place.
+    """
+    target = target.rstrip("/")
+    a, _ = file_system(spark, source)
+    b, fs = file_system(spark, target)
+    before = None
+    if fs.exists(b):
+        before, _ = file_system(spark, f"{target}.before-{uuid.uuid4().hex}")
+        if not fs.rename(b, before):
+            raise OSError(f"{target} can't be set aside")
+    elif b.getParent() is not None:
         fs.mkdirs(b.getParent())
     if not fs.rename(a, b):
+        if before is not None:
+            fs.rename(before, b)
         raise OSError(f"{target} can't be written")
+    for old in set_aside(spark, target):
+        fs.delete(file_system(spark, old)[0], True)
+
+
+def read_table(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """A table of write_table(), wherever it stands."""
+    return spark.read.format(form).options(**({"header": "true"} if form == "csv" else {})).load(standing(spark, path))
 
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", by: tuple[str, ...] = ("series",)) -> int:
-    """Writes and returns the rows written, in one pass. They appear as a whole once all are written; no rows are an error and leave path as it was."""
+    """Writes and returns the rows written, in one pass. They appear as a whole once all are written; no rows are an error and leave path as it was.
+
+    read_table() finds the old or the new rows at any moment.
+    """
     spark, seen, part = df.sparkSession, Observation(), f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
     options = {"header": "true"} if form == "csv" else {}
     df.observe(seen, F.count("*").alias("n")).write.partitionBy(*[c for c in by if c in df.columns]).format(form).options(**options).save(part)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quartzline.session import shared_dir
+from quartzline.sources.market import file_system
 
 
 def hourly_bars(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -50,17 +51,40 @@ def rate_limited(requests: DataFrame, limit: int, seconds: int = 60) -> DataFram
     return requests.groupBy("client").applyInPandasWithState(decide, "client string, us long, id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: Versions of a table that stay, so that readers of an old one can end.
+VERSIONS = 3
+
+
+def versions(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """(all version numbers below path, those that were written to the end), ascending."""
+    at, fs = file_system(spark, path)
+    found = sorted(int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()) if fs.exists(at) else []
+    return found, [v for v in found if fs.exists(file_system(spark, f"{path}/{v}/_SUCCESS")[0])]
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest whole version of a table of keep_latest(); None before the first."""
+    whole = versions(spark, path)[1]
+    return spark.read.parquet(f"{path}/{whole[-1]}") if whole else None
+
+
 def keep_latest(quotes: DataFrame, path: str, checkpoint: str | None = None):
-    """Starts a query that keeps the last quote of each series in a table; each batch replaces a version of it."""
+    """Starts a query that keeps the last quote of each series in a table; each batch adds a version of it, and old versions go.
+
+    A batch builds on the newest whole version, whichever run wrote it, so neither a repeated batch nor a lost checkpoint forgets a quote. A version that
+    a lost writer left unfinished is never read.
+    """
     name = hashlib.sha256(path.encode()).hexdigest()[:16]
     checkpoint = checkpoint or f"{shared_dir(quotes.sparkSession)}/latest-quotes-{name}"  # one for each table
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        seen = batch
-        if epoch:
-            seen = batch.unionByName(spark.read.parquet(f"{path}/{epoch - 1}").select(*batch.columns))
+        every, whole = versions(spark, path)
+        seen = batch.unionByName(spark.read.parquet(f"{path}/{whole[-1]}").select(*batch.columns)) if whole else batch
         best = seen.groupBy("series").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "series"]), "ts").alias("q")).select("series", "q.*")
-        best.write.mode("overwrite").parquet(f"{path}/{epoch}")
+        best.write.parquet(f"{path}/{every[-1] + 1 if every else epoch}")
+        for old in [v for v in every if v not in whole[-(VERSIONS - 1) :]]:
+            at, fs = file_system(spark, f"{path}/{old}")
+            fs.delete(at, True)
 
     return quotes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).start()

@@ -453,3 +453,61 @@ def test_ridge_of_all_folds_is_one_pass_and_equals_separate_fits(spark):
             g = got.select("a", "b", "c", "raw").toPandas().sort_values(["a", "b", "c"])["raw"].to_numpy()
             np.testing.assert_allclose(g, want[np.lexsort((xs[:, 2], xs[:, 1], xs[:, 0]))], rtol=0, atol=1e-6)
         np.testing.assert_allclose(fits[k].values(xs), want, rtol=0, atol=1e-6)
+
+
+def test_a_crash_at_any_step_leaves_the_old_or_the_new_table(spark, tmp_path, monkeypatch):
+    old, new = (spark.createDataFrame([("a", x)], "series string, x double") for x in (1.0, 2.0))
+    value = lambda path: sources.read_table(spark, path).first().x
+    real = sources.file_system
+
+    class Crash(Exception):
+        pass
+
+    class Fails:
+        """A file system that stops before its nth change."""
+
+        def __init__(self, fs, left):
+            self.fs, self.left = fs, left
+
+        def __getattr__(self, name):
+            def call(*args):
+                if name in ("rename", "delete", "mkdirs"):
+                    if not self.left[0]:
+                        raise Crash
+                    self.left[0] -= 1
+                return getattr(self.fs, name)(*args)
+
+            return call
+
+    seen = []
+    for steps in range(4):
+        path, left = str(tmp_path / f"t{steps}"), [steps]
+        sources.write_table(old, path)
+        monkeypatch.setattr(sources, "file_system", lambda s, p, left=left: (lambda at, fs: (at, Fails(fs, left)))(*real(s, p)))
+        try:
+            sources.write_table(new, path)
+        except Crash:
+            pass
+        monkeypatch.setattr(sources, "file_system", real)
+        seen.append(value(path))
+        sources.write_table(new, path)  # the next writer goes on and tidies up
+        assert value(path) == 2.0 and sources.set_aside(spark, path) == []
+    assert seen[0] == 1.0 and seen[1] == 1.0 and seen[2] == seen[3] == 2.0
+
+
+def test_latest_quotes_outlive_checkpoints_and_old_versions_go(spark, tmp_path):
+    from quartzline.streaming import market as streaming
+
+    path = str(tmp_path / "latest")
+    assert streaming.latest(spark, path) is None
+    for run in range(5):
+        folder = str(tmp_path / f"in{run}")
+        spark.createDataFrame([(f"s{run}", datetime(2025, 1, 1 + run), float(run)), ("all", datetime(2025, 1, 1 + run), float(run))], "series string, ts timestamp, price double").coalesce(1).write.parquet(folder)
+        q = streaming.keep_latest(spark.readStream.schema("series string, ts timestamp, price double").parquet(folder), path, str(tmp_path / f"c{run}"))
+        q.processAllAvailable()
+        q.stop()
+        if run == 2:
+            os.remove(f"{path}/2/_SUCCESS")  # a writer that was lost
+    got = {r.series: r.price for r in streaming.latest(spark, path).collect()}
+    assert got == {"s0": 0.0, "s1": 1.0, "s3": 3.0, "s4": 4.0, "all": 4.0}
+    assert len(os.listdir(path)) <= streaming.VERSIONS
