@@ -58,15 +58,16 @@ SPAN_HOURS = 2880
 def spanned(df: DataFrame, back: int, ahead: int) -> DataFrame:
     """Adds __span, a stretch of time, and __edge. Rows within back hours before a span or ahead hours after it are in that one too, marked so.
 
-    Windows of elapsed time then run by span, so that no task holds a series; rows with __edge are to be dropped at the end.
+    Windows of elapsed time then run by span, so that no task holds a series; rows with __edge are to be dropped at the end. Rows of a null ts stay, in
+    a span of their own.
     """
     if max(back, ahead) > SPAN_HOURS:
         raise ValueError(f"windows of more than {SPAN_HOURS} hours")
     us, width = micros(F.col("ts")), SPAN_HOURS * HOUR_US
     own = F.floor(us / F.lit(width))
     after, before = F.when(us >= (own + 1) * width - back * HOUR_US, own + 1), F.when(us < own * width + ahead * HOUR_US, own - 1)
-    d = df.select(*df.columns, own.alias("__own"), F.explode(F.array_compact(F.array(own, after, before))).alias("__span"))
-    return d.withColumn("__edge", F.col("__own") != F.col("__span")).drop("__own")
+    d = df.select(*df.columns, own.alias("__own"), F.explode_outer(F.array_compact(F.array(own, after, before))).alias("__span"))
+    return d.withColumn("__edge", F.coalesce(F.col("__own") != F.col("__span"), F.lit(False))).drop("__own")
 
 
 def carried(df: DataFrame, x: str, back: int) -> DataFrame:
@@ -133,7 +134,7 @@ class Provider:
     series: str
     symbol: str
     unit: str
-    augment: Callable[[DataFrame, DataFrame], DataFrame]
+    augment: Callable[[DataFrame, DataFrame], DataFrame]  # of this market alone; with_providers() takes all at once
 
     def metadata(self) -> dict:
         return {"name": self.name, "source_symbol": self.symbol, "source_unit": self.unit, "alignment": "backward_asof", "future_quotes_allowed": False}
@@ -156,14 +157,70 @@ PROVIDERS = {
 }
 
 
+def backward_asof_many(left: DataFrame, right: DataFrame, key: str, values: list[str], ts: str = "ts") -> DataFrame:
+    """left with a struct for each value of key in right: its last row at or before ts, or null.
+
+    All of them go through one sort by time within each day; a table of one row a day carries each value's last row of earlier days on.
+    """
+    names = [c for c in right.columns if c != key]
+    row = F.struct(*names)
+    kind = right.select(row.alias("r")).schema["r"].dataType
+    day = F.date_trunc("day", F.col(ts)).alias("__day")
+    a = left.select(F.col(ts).alias("__ts"), day, F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).cast("string").alias("__k"), F.lit(None).cast(kind).alias("__r"))
+    b = right.where(F.col(ts).isNotNull()).select(F.col(ts).alias("__ts"), day, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__l"].dataType).alias("__l"), F.col(key).alias("__k"), row.alias("__r"))
+    of = lambda v: F.when(F.col("__k") == v, F.col("__r"))
+    days = a.select("__day", "__ts", "__k", "__r").unionByName(b.select("__day", "__ts", "__k", "__r")).groupBy("__day").agg(*[F.max_by("__r", F.when(F.col("__k") == v, F.col("__ts"))).alias(f"__d{i}") for i, v in enumerate(values)])
+    earlier = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    days = days.select(F.col("__day").alias("__on"), *[F.last(f"__d{i}", ignorenulls=True).over(earlier).alias(f"__c{i}") for i in range(len(values))])
+    w = Window.partitionBy("__day").orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    d = a.unionByName(b).withColumns({f"__m{i}": F.last(of(v), ignorenulls=True).over(w) for i, v in enumerate(values)}).where(F.col("__side") == 1)
+    d = d.join(days, F.col("__day").eqNullSafe(F.col("__on")), "left")
+    return d.select("__l.*", *[F.coalesce(f"__m{i}", f"__c{i}").alias(v) for i, v in enumerate(values)])
+
+
+def market_columns(series: str, m: str) -> dict[str, Column]:
+    """What a context market adds to a row that has its last row as the struct m, and the target's own elapsed returns as __r{h}."""
+    age = (micros(F.col("ts")) - micros(F.col(f"{m}.ts"))) / F.lit(float(HOUR_US))
+    gold = series == "gold"
+    out = {"gold_close_usd_per_kg" if gold else f"{series}_close": F.col(f"{m}.close")} | {f"{series}_log_return_{h}h": F.col(f"{m}.r{h}") for h in RETURN_HOURS}
+    out |= {f"{series}_close_zscore_{h}h": F.col(f"{m}.z{h}") for h in ZSCORE_HOURS} | {f"{series}_source_age_hours": age}
+    if gold:
+        return out | {"gold_silver_ratio": ratio(F.col(f"{m}.close"), F.col("close"))} | {f"gold_minus_silver_return_{h}h": F.col(f"{m}.r{h}") - F.col(f"__r{h}") for h in RETURN_HOURS}
+    out |= {f"silver_minus_{series}_return_{h}h": F.col(f"__r{h}") - F.col(f"{m}.r{h}") for h in RETURN_HOURS}
+    return out | ({f"usd_pressure_{h}h": -F.col(f"{m}.r{h}") for h in RETURN_HOURS} if series == "udx" else {})
+
+
 def with_providers(target: DataFrame, bars: DataFrame, names) -> DataFrame:
-    """target with the columns of all named context markets, whose bars come from one table of all series. An unknown name, or a market without a bar, is an error."""
+    """target, one series, with the columns of all named context markets, whose bars come from one table of all series. An unknown name, or a market
+    without a bar, is an error.
+
+    Elapsed returns and scores of the target and of all markets are one pass by span, the as-of joins of all markets one sort by day; only the
+    windows of the gold ratio, which exists after them, are another pass.
+    """
+    names = list(names)
     for name in names:
         if name not in PROVIDERS:
             raise ValueError(f"unknown context market {name}")
-        p = PROVIDERS[name]
-        source = bars.where(F.col("series") == p.series)
-        if source.isEmpty():
-            raise ValueError(f"{name} needs hourly bars of {p.series}")
-        target = p.augment(target, source)
-    return target
+    if not names:
+        return target
+    markets = {PROVIDERS[name].series: f"__{name}" for name in names}
+    closes = bars.where(F.col("series").isin(*markets) & F.col("close").isNotNull()).select(F.col("series").alias("__of"), "ts", "close")
+    there = {r["__of"] for r in closes.select("__of").distinct().collect()}
+    for name in names:
+        if PROVIDERS[name].series not in there:
+            raise ValueError(f"{name} needs hourly bars of {PROVIDERS[name].series}")
+    own = target.select(F.lit(None).cast("string").alias("__of"), "ts", F.col("close").cast("double").alias("close"), F.struct(*target.columns).alias("__row"))
+    both = own.unionByName(closes, allowMissingColumns=True).withColumn("series", F.coalesce("__of", F.lit("")))
+    d = written(with_elapsed(both, "close", {f"r{h}": h for h in RETURN_HOURS}, {f"z{h}": h for h in ZSCORE_HOURS}), "markets")
+    left = d.where(F.col("__of").isNull()).select("__row", "ts", *[F.col(f"r{h}").alias(f"__r{h}") for h in RETURN_HOURS])
+    right = d.where(F.col("__of").isNotNull()).select("__of", "ts", "close", *[f"r{h}" for h in RETURN_HOURS], *[f"z{h}" for h in ZSCORE_HOURS])
+    d = backward_asof_many(left, right.withColumn("__of", F.concat(F.lit("__"), "__of")), "__of", [f"__{s}" for s in markets])
+    d = d.select("__row.*", *[f"__r{h}" for h in RETURN_HOURS], *[f"__{s}" for s in markets])
+    added = {s: market_columns(s, f"__{s}") for s in markets}
+    d = d.select(*target.columns, *[x.alias(k) for columns in added.values() for k, x in columns.items()])
+    order = [*target.columns]
+    ratios = {f"gold_silver_ratio_log_return_{h}h": h for h in RETURN_HOURS}
+    scores = {f"gold_silver_ratio_zscore_{h}h": h for h in ZSCORE_HOURS}
+    for s, columns in added.items():
+        order += [*columns, *(ratios if s == "gold" else ()), *(scores if s == "gold" else ())]
+    return (with_elapsed(d, "gold_silver_ratio", ratios, scores) if "gold" in added else d).select(*order)

@@ -511,3 +511,36 @@ def test_latest_quotes_outlive_checkpoints_and_old_versions_go(spark, tmp_path):
     got = {r.series: r.price for r in streaming.latest(spark, path).collect()}
     assert got == {"s0": 0.0, "s1": 1.0, "s3": 3.0, "s4": 4.0, "all": 4.0}
     assert len(os.listdir(path)) <= streaming.VERSIONS
+
+
+def test_all_markets_in_one_sort_equal_one_after_another(spark):
+    rng = np.random.default_rng(21)
+    parts = []
+    for k, (series, level) in enumerate({"silver": 900, "gold": 80_000, "udx": 100, "spx": 5000, "wti": 75}.items()):
+        ts = pd.date_range("2024-01-01", periods=400, freq="h") + pd.Timedelta(minutes=7 * k)
+        keep = rng.random(400) > 0.3
+        keep[100 : 100 + 40 * k] = False
+        close = level * (1 + np.cumsum(rng.normal(0, 0.002, 400)))
+        parts.append(pd.DataFrame({"series": series, "ts": ts, "close": np.where(rng.random(400) < 0.02, np.nan, close)})[keep])
+    b = spark.createDataFrame(pd.concat(parts)).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    silver = b.where("series = 'silver'").withColumn("f", F.col("close") * 2)
+    names = ["gold_silver", "usd_index", "spx", "wti"]
+    want = silver
+    for n in names:
+        p = asof.PROVIDERS[n]
+        want = p.augment(want, b.where(F.col("series") == p.series))
+    got = asof.with_providers(silver, b, names)
+    assert got.columns == want.columns
+    got, want = (d.toPandas().sort_values("ts").reset_index(drop=True) for d in (got, want))
+    for c in want.columns[2:]:
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-12, err_msg=c)
+    left, right = b.where("series = 'silver'").select("ts"), b.where("series <> 'silver'")
+    plan = asof.backward_asof_many(left, right, "series", ["gold", "udx", "spx", "wti"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and "Cartesian" not in plan and "NestedLoop" not in plan
+    with pytest.raises(ValueError, match="needs hourly bars of wti"):
+        asof.with_providers(silver, b.where("series <> 'wti'"), names)
+
+
+def test_rows_of_a_null_time_stay_in_spans(spark):
+    d = spark.createDataFrame([("a", datetime(2025, 1, 1), 1.0), ("a", datetime(2025, 1, 2), 2.0), ("a", None, 3.0)], "series string, ts timestamp, close double")
+    assert asof.with_elapsed(d, "close", {"r": 1}).count() == 3 and asof.with_target(d, 2).count() == 3
