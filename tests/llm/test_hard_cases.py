@@ -11,6 +11,7 @@ import time
 import zlib
 
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 from test_operators import BASE, WORD, base_spans, brute_components, docs_frame, sentence
 
@@ -460,3 +461,53 @@ def test_url_trees_decide_only_where_they_help(spark):
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
     found = url_filter.url_verdicts(pages, rules=(), labelled=told)
     assert found.where("verdict = 'block'").count() == sum('xxxxx' in u for u, _ in rows)
+
+
+def plain_whole_spans(texts, support=2):
+    """Spans of the whole form, counted over all documents by plain loops."""
+    run = regex.compile(r"[\p{L}\p{M}]+")
+    terms = lambda t: [(m[0].lower(), m.start(), m.end()) for m in run.finditer(t) if len(m[0]) >= 3]
+    docs, with_entity, both, with_term = [], collections.Counter(), collections.Counter(), collections.Counter()
+    kinds = list(BASE)
+    for t in texts:
+        t = t or ""
+        base = [(kinds.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in base_spans(t))]
+        free = [x for x in terms(t) if not any(x[1] < b and x[2] > a for _, a, b in base)]
+        entities = {f"{k}:{t[a:b].lower()}" for k, a, b in base}
+        with_entity.update(entities)
+        with_term.update({w for w, _, _ in terms(t.lower())})
+        both.update((e, w) for e in entities for w in {w for w, _, _ in free})
+        docs.append((t, base, free))
+    flags = {}
+    for (e, w), n in both.items():
+        own = math.log2(len(texts) / with_entity[e])
+        share = math.log2(len(texts) * n / (with_entity[e] * with_term[w])) / own if own > 0 else 0.0
+        kind = 5 if share >= pii.REMOVE else 4 if share >= pii.GENERALISE else None
+        if n >= support and kind:
+            flags[w] = max(kind, flags.get(w, 0))
+    out = []
+    for _, base, free in docs:
+        more = sorted((flags[w], a, b) for w, a, b in free if w in flags)
+        out.append(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base + more))
+    return out
+
+
+def test_whole_form_equals_a_plain_recount(spark):
+    rng = random.Random(17)
+    names = ["Anna", "Bertrand", "Çelik", "Dvořák", "Émile", "Fatima", "Gül", "Hana"]
+    mails = [f"{n[0].lower()}x@mail{i}.org" for i, n in enumerate(names)]
+    texts = [None, "", "nobody here", "1.2.3.4xAnna 5.6.7.8", "Anna.ax@mail0.org"]
+    for _ in range(220):
+        k = rng.randrange(len(names))
+        parts = [rng.choice(["common", "words", "Stadt", "évier", "of", "notebook"]) for _ in range(rng.randrange(1, 25))]
+        if rng.random() < 0.5:
+            parts.insert(rng.randrange(len(parts) + 1), mails[k])
+        if rng.random() < 0.8:
+            parts.insert(rng.randrange(len(parts) + 1), names[k] if rng.random() < 0.9 else rng.choice(names))
+        if rng.random() < 0.2:
+            parts += [f"10.0.0.{k}", "server" + "abcdefgh"[k], "+49 30 1234567"]
+        texts.append(rng.choice([" ", ", ", "\n", "-"]).join(parts))
+    want = plain_whole_spans(texts)
+    got = {r.doc_id: r.spans for r in pii.span_digests(docs_frame(spark, texts), whole=True).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum("general" in w or "remove" in w for w in want) > 40 and any("remove" in w and "@" not in (t or "") for t, w in zip(texts, want, strict=True))
