@@ -198,8 +198,8 @@ def moved_on(raw: np.ndarray, model: np.ndarray, bins: np.ndarray, held: list[li
     return out
 
 
-def histograms(table: DataFrame, slots: list[tuple[int, int]], growing: list[Tree], held: list[list[Tree]], width: int, settings: Settings) -> dict:
-    """(model, node) -> best split or None, and the node's rows, for all slots."""
+def histograms(table: DataFrame, tasks: int, slots: list[tuple[int, int]], growing: list[Tree], held: list[list[Tree]], width: int, settings: Settings) -> dict:
+    """(model, node) -> best split or None, and the node's rows, for all slots. A table of one task needs no shuffle."""
     place = {s: k for k, s in enumerate(slots)}
     size = width * 256
 
@@ -244,7 +244,9 @@ def histograms(table: DataFrame, slots: list[tuple[int, int]], growing: list[Tre
         columns = list(zip(*out, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["slot", "feature", "cut", "gain", "rows"])
 
-    parts = table.mapInArrow(summed, "slot int, part binary").repartition("slot").sortWithinPartitions("slot")
+    parts = table.coalesce(1) if tasks == 1 else table
+    parts = parts.mapInArrow(summed, "slot int, part binary")
+    parts = parts if tasks == 1 else parts.repartition("slot").sortWithinPartitions("slot")
     found = {slots[r.slot]: (None if r.feature < 0 else (r.feature, r.cut, r.gain), r.rows) for r in parts.mapInArrow(best, "slot int, feature int, cut int, gain double, rows long").collect()}
     return {s: found.get(s, (None, 0)) for s in slots}
 
@@ -304,7 +306,7 @@ def fit_many(rows: DataFrame, features: list[str], target: str, model: str, sett
         while wanted := [(m, node) for m, g in enumerate(growths) for node in g.order()[1]]:
             for at in range(0, len(wanted), NODES_A_JOB):
                 part = wanted[at : at + NODES_A_JOB]
-                for (m, node), (split, n) in histograms(table, part, [g.tree for g in growths], held, len(features), settings).items():
+                for (m, node), (split, n) in histograms(table, tasks, part, [g.tree for g in growths], held, len(features), settings).items():
                     growths[m].known[node], rows_in[m, node] = split, n
         trees = [g.pruned() for g in growths]
         values = leaf_medians(table, trees, held, max(rows_in.values()))

@@ -483,6 +483,14 @@ def q_rate_limit(spark, sf_dir):
     return windows.rate_limited(e, 3, 7200).groupBy("client").agg(F.count("*").alias("requests"), F.count_if("allowed").alias("allowed"))
 
 
+#: The greedy rule as a recursion over each client's requests, with the accepted times of the window as a list.
+S_RATE_LIMIT = """WITH RECURSIVE e AS (SELECT (user_id % 20)::VARCHAR AS client, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS rn FROM events), r AS (
+  SELECT client, rn, [us] AS held, true AS allowed FROM e WHERE rn = 1
+  UNION ALL
+  SELECT client, rn, CASE WHEN len(h) < 3 THEN list_append(h, us) ELSE h END, len(h) < 3 FROM (SELECT e.client, e.rn, e.us, list_filter(r.held, lambda t: t > e.us - 7200000000) AS h FROM r JOIN e ON e.client = r.client AND e.rn = r.rn + 1)
+) SELECT client, count(*) AS requests, count_if(allowed)::BIGINT AS allowed FROM r GROUP BY client"""
+
+
 def q_json_props(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,int>").alias("m"))
     return e.select("event_id", F.element_at("m", F.lit("k")).alias("k"), F.sha2(F.to_json(F.struct("event_id")), 256).alias("digest"))
@@ -635,7 +643,7 @@ QUERIES = {
 ORACLES = {
     "hourly_bars": S_HOURLY_BARS, "daily_bars": S_DAILY_BARS, "rolling_features": rolling_sql(), "bad_tick_features": bad_tick_sql(), "exponential_features": exponential_sql(), "usd_context": context_sql(), "gold_ratio": S_GOLD_RATIO, "targets": S_TARGETS,
     "walk_forward": S_WALK_FORWARD, "folds": S_FOLDS, "holdout_persistence": S_HOLDOUT, "selective_grid": grid_sql(), "champions": S_CHAMPIONS, "predictions": S_PREDICTIONS, "tag_report": S_TAG_REPORT, "keep_last": S_KEEP_LAST,
-    "unit_conversion": S_UNIT_CONVERSION, "exposition": S_EXPOSITION, "missing_models": S_MISSING, "fresh_quotes": S_FRESH, "json_props": S_JSON, "year_chunks": S_YEARS,
+    "unit_conversion": S_UNIT_CONVERSION, "exposition": S_EXPOSITION, "missing_models": S_MISSING, "fresh_quotes": S_FRESH, "rate_limit": S_RATE_LIMIT, "json_props": S_JSON, "year_chunks": S_YEARS,
     "hourly_features": S_HOURLY_FEATURES, "spx_context": context_sql("spx", False), "wti_context": context_sql("wti", False), "gold_context": gold_sql(), "lookback_walk_forward": S_LOOKBACK, "tag_range": S_TAG_RANGE, "coverage": S_COVERAGE,
     "session_quotes": S_SESSION, "newest_bars": S_NEWEST, "requests_checked": S_REQUESTS, "texts": S_TEXTS, "registry": S_REGISTRY,
 }
