@@ -62,11 +62,6 @@ def ohlc_valid(o: Column, h: Column, low: Column, c: Column) -> Column:
     return F.coalesce((low <= h) & o.between(low, h) & c.between(low, h), F.lit(False))
 
 
-def cyclic(x: Column, period: int) -> tuple[Column, Column]:
-    angle = x * F.lit(2 * 3.141592653589793 / period)
-    return F.sin(angle), F.cos(angle)
-
-
 def percent_change(new: Column, old: Column) -> Column:
     return (ratio(new, old) - 1) * 100
 
@@ -121,9 +116,5 @@ def horizon_label(hours: Column) -> Column:
     return F.when(hours < 168, F.format_string("%dh", hours)).otherwise(F.format_string("%dd", (hours / 24).cast("int")))
 
 
-def hours_between(later: Column, earlier: Column) -> Column:
-    return (micros(later) - micros(earlier)) / F.lit(3.6e9)
-
-
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))

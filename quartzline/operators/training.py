@@ -141,9 +141,9 @@ def load(spark: SparkSession, root: str, series: str, h: int) -> Artifact:
     return Artifact(record, Fitted(kept["name"], model, kept["constant"], None if kept["threshold"] is None else float(kept["threshold"]), kept["shrinkage"]))
 
 
-def available(spark: SparkSession, root: str) -> DataFrame:
-    """(series, horizons) of all artifacts whose records hold."""
-    d = spark.read.schema("record string, sha256 string").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.json").json(root)
+def available(spark: SparkSession, *roots: str) -> DataFrame:
+    """(series, horizons) of all artifacts below any of the roots whose records hold."""
+    d = spark.read.schema("record string, sha256 string").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.json").json(list(roots))
     d = d.where(F.sha2("record", 256) == F.col("sha256")).select(F.from_json("record", "metal string, horizon_hours int").alias("r"))
     return d.where(F.col("r.horizon_hours").isin(*HORIZONS)).groupBy(F.col("r.metal").alias("series")).agg(F.sort_array(F.collect_set("r.horizon_hours")).alias("horizons"))
 

@@ -36,11 +36,6 @@ def rolling(function, x: str, n: int) -> Column:
     return F.when(F.count(x).over(rows(n)) >= n, function(x).over(rows(n)))
 
 
-def rolling_zscore(x: str, n: int) -> Column:
-    sd = F.stddev_samp(x).over(rows(n))
-    return F.when(F.count(x).over(rows(n)) < n, None).when(sd == 0, 0.0).otherwise((F.col(x) - F.avg(x).over(rows(n))) / sd)
-
-
 def elapsed(hours: int):
     """The last so many hours, without their left end."""
     return Window.partitionBy("series").orderBy(micros(F.col("ts"))).rangeBetween(-(hours * HOUR_US - 1), 0)

@@ -502,8 +502,7 @@ S_JSON = """SELECT event_id, (props->>'$.k')::INT AS k, sha256('{"event_id":' ||
 def q_year_chunks(spark, sf_dir):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     d = table(spark, sf_dir, "orders").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.date_add(F.to_date(F.max("o_orderdate")), 1).alias("b"))
-    d = d.select("a", "b", F.explode(F.sequence(F.trunc("a", "year"), F.date_sub("b", 1), F.make_ym_interval(F.lit(1)))).alias("y"))
-    return d.select(F.greatest("a", "y").cast("string").alias("chunk_start"), F.least("b", F.add_months("y", 12)).cast("string").alias("chunk_end"))
+    return sources.year_chunks(d).select(F.col("chunk_start").cast("string"), F.col("chunk_end").cast("string"))
 
 
 S_YEARS = "WITH d AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE + 1 AS b FROM orders), y AS (SELECT a, b, unnest(generate_series(date_trunc('year', a), (b - 1)::TIMESTAMP, INTERVAL 1 YEAR))::DATE AS y FROM d) SELECT greatest(a, y)::VARCHAR AS chunk_start, least(b, (y + INTERVAL 1 YEAR)::DATE)::VARCHAR AS chunk_end FROM y"
@@ -620,11 +619,10 @@ def q_train_and_forecast(spark, sf_dir):
     """Silver's forecasts by artifacts that were trained, saved, checked and loaded again. README lists what is less than the reference's."""
     b = written(hourly(spark, sf_dir).where(F.col("close") > 0), "bars")
     root = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
-    config = training.Config(min_rows=300, splits=2, iterations=3, depth=3)
-    base = evaluation.median_boosted("gbt", config.iterations, config.step, config.depth, config.leaves, config.l2)
-    choices = [evaluation.MedianReturn(), evaluation.Selective(base, 0.8, 0.25), evaluation.Ridge(1.0)]
+    config = training.Config(min_rows=300, splits=2, iterations=2)
+    choices = [*training.candidates(config), evaluation.Ridge(1.0)]
     columns = ["ret_1h", "sma_ratio_24h", "close_zscore_24h", "volatility_24h", "rsi_14", "spx_log_return_24h", "gold_silver_ratio"]
-    done = training.train_all(b, "silver", root, (24,), config, choices, columns, ("spx", "gold_silver"))
+    done = training.train_all(b, "silver", root, (2, 4, 8, 12, 24, 72), config, choices, columns, ("spx", "gold_silver"))
     parts = [training.latest_forecast(b, training.load(spark, root, "silver", a.record["horizon_hours"])) for a in done]
     return reduce(DataFrame.unionByName, parts).drop("timestamp_utc", "target_timestamp_utc")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hmac
 import io
 import lzma
+import re
 import uuid
 import zipfile
 from datetime import date
@@ -121,8 +122,24 @@ def decode_day(payload: bytes, day: date, factor: float = 1000.0) -> pd.DataFram
     return out
 
 
-def packed_days(spark: SparkSession, path: str, series: str, factor: float = 1000.0) -> DataFrame:
-    """Minute bars of daily files named YYYY-MM-DD.*, one file at a time; a bad day gives one row with its reason in error."""
+DAY = r"(\d{4}-\d{2}-\d{2})[^/]*$"
+
+
+def day_files(spark: SparkSession, path: str, start: date | None = None, end: date | None = None) -> list[str]:
+    """The files YYYY-MM-DD.* of a folder or glob whose day lies in [start, end), by their names alone."""
+    at, fs = file_system(spark, path)
+    found = []
+    for f in fs.globStatus(at) or []:
+        found += [g.getPath().toString() for g in fs.listStatus(f.getPath())] if f.isDirectory() else [f.getPath().toString()]
+    days = {f: m[1] for f in found if (m := re.search(DAY, f))}
+    return sorted(f for f, day in days.items() if (start is None or day >= start.isoformat()) and (end is None or day < end.isoformat()))
+
+
+def packed_days(spark: SparkSession, path: str, series: str, factor: float = 1000.0, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Minute bars of daily files named YYYY-MM-DD.*, one file at a time; a bad day gives one row with its reason in error.
+
+    With start or end only the files of days in [start, end) are opened.
+    """
 
     def decode(batches):
         for pdf in batches:
@@ -132,7 +149,10 @@ def packed_days(spark: SparkSession, path: str, series: str, factor: float = 100
                 except (ValueError, lzma.LZMAError) as e:
                     yield pd.DataFrame({"ms": [None], **{c: [None] for c in (*PRICES, "volume")}, "error": [str(e)], "series": [series]})
 
-    d = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})[^/]*$", 1).alias("day"), "content")
+    bounded = start is not None or end is not None
+    files = day_files(spark, path, start, end) if bounded else [path]
+    read = spark.read.format("binaryFile").load(files) if files else spark.createDataFrame([], "path string, content binary")
+    d = read.select(F.regexp_extract("path", DAY, 1).alias("day"), "content")
     return d.mapInPandas(decode, "ms long, open double, high double, low double, close double, volume double, error string, series string")
 
 
@@ -210,6 +230,12 @@ def pending(spark: SparkSession, planned: DataFrame, folder: str) -> DataFrame:
     return planned.join(spark.createDataFrame(done, "name string"), "name", "left_anti")
 
 
+def year_chunks(bounds: DataFrame) -> DataFrame:
+    """(chunk_start, chunk_end) of the calendar years that [a, b), two dates, reaches into, cut to it."""
+    d = bounds.where(F.col("a") < F.col("b")).select("a", "b", F.explode(F.sequence(F.trunc("a", "year"), F.date_sub("b", 1), F.make_ym_interval(F.lit(1)))).alias("y"))
+    return d.select(F.greatest("a", "y").alias("chunk_start"), F.least("b", F.add_months("y", 12)).alias("chunk_end"))
+
+
 def newest_file(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     return d.select("path", "modificationTime").orderBy(F.desc("modificationTime"), F.desc("path")).limit(1)

@@ -24,31 +24,35 @@ def distinct_ticks(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     return ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["series", "ts"])
 
 
-def rate_limited(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
-    """Allowed flags of a stream (client, us, id); state holds the accepted times of one window per client and expires after it.
+def rate_limited(requests: DataFrame, limit: int, seconds: int = 60, late: str = "10 seconds") -> DataFrame:
+    """Allowed flags of a stream (client, us, id); state holds the accepted times of one window per client and goes once the watermark has passed them.
 
-    A client's requests of one batch are put in order together, so a batch must be bounded by the source (maxFilesPerTrigger, maxOffsetsPerTrigger).
+    Only the requests' own times count, so a replay decides as the first run did and as the batch form does. Requests that are later than late are
+    dropped, and those of a client within one batch are put in order together: a batch must be bounded by the source (maxFilesPerTrigger, maxOffsetsPerTrigger).
     """
 
     window = seconds * 1_000_000
 
     def decide(key, frames, state):
-        if state.hasTimedOut:  # no request for a whole window: nothing is held
+        if state.hasTimedOut:  # the watermark is a window past the last accepted time
             state.remove()
             return
         held = list(state.get[0]) if state.exists else []
-        rows = sorted((us, ident) for pdf in frames for us, ident in zip(pdf["us"], pdf["id"], strict=True))
+        rows = sorted((int(us), ident) for pdf in frames for us, ident in zip(pdf["us"], pdf["id"], strict=True))
         out = []
         for us, _ in rows:
-            held = [t for t in held if t > us - window]
-            out.append(len(held) < limit)
+            near = [t for t in held if us - window < t <= us]
+            out.append(len(near) < limit)
             if out[-1]:
-                held.append(int(us))
+                held.append(us)
+        last = max([*held, *(us for us, _ in rows)])
+        held = [t for t in held if t > last - window]
         state.update((held,))
-        state.setTimeoutDuration(max(seconds, 1) * 1000)
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": key[0], "us": [r[0] for r in rows], "id": [r[1] for r in rows], "allowed": out})
 
-    return requests.groupBy("client").applyInPandasWithState(decide, "client string, us long, id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withColumn("at", F.timestamp_micros("us")).withWatermark("at", late)
+    return timed.groupBy("client").applyInPandasWithState(decide, "client string, us long, id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 #: Versions of a table that stay, so that readers of an old one can end.

@@ -544,3 +544,43 @@ def test_all_markets_in_one_sort_equal_one_after_another(spark):
 def test_rows_of_a_null_time_stay_in_spans(spark):
     d = spark.createDataFrame([("a", datetime(2025, 1, 1), 1.0), ("a", datetime(2025, 1, 2), 2.0), ("a", None, 3.0)], "series string, ts timestamp, close double")
     assert asof.with_elapsed(d, "close", {"r": 1}).count() == 3 and asof.with_target(d, 2).count() == 3
+
+
+def test_streamed_limits_follow_the_requests_own_times(spark, tmp_path):
+    from quartzline.streaming import market as streaming
+
+    rng = np.random.default_rng(4)
+    schema, base = "client string, us long, id long", 1_700_000_000_000_000
+    times = np.sort(rng.integers(0, 400, 240))
+    rows = [(f"c{i % 3}", base + int(t) * 1_000_000, i) for i, t in enumerate(times)]
+    for k in range(4):  # one file a batch, in order
+        spark.createDataFrame(rows[60 * k : 60 * (k + 1)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    want = {r.id: r.allowed for r in windows.rate_limited(spark.createDataFrame(rows, schema), 3, 30).collect()}
+
+    def run(name):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        q = streaming.rate_limited(stream, 3, 30).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return {r.id: r.allowed for r in spark.read.parquet(str(tmp_path / name)).collect()}
+
+    assert run("first") == want and run("replayed") == want and 0 < sum(want.values()) < len(want)
+
+
+def test_a_range_of_days_opens_only_its_files(spark, tmp_path):
+    import lzma
+    import struct
+
+    for d in range(1, 6):
+        (tmp_path / f"2025-01-0{d}.bi5").write_bytes(lzma.compress(struct.pack(">5if", 60 * d, 31000, 31100, 30900, 31200, 1.0), format=lzma.FORMAT_ALONE))
+    (tmp_path / "2025-01-09.bi5").write_bytes(b"no day at all")
+    days = lambda **k: sources.packed_days(spark, str(tmp_path), "silver", **k)
+    some = days(start=date(2025, 1, 2), end=date(2025, 1, 4))
+    assert [f.rsplit("/", 1)[-1] for f in some.inputFiles()] == ["2025-01-02.bi5", "2025-01-03.bi5"]
+    assert some.count() == 2 and some.where("error is not null").count() == 0 and days().count() == 6
+    assert days(start=date(2026, 1, 1)).count() == 0 and days(end=date(2025, 1, 3)).count() == 2
+
+
+def test_year_chunks_and_models_of_several_folders(spark):
+    chunks = lambda a, b: [tuple(map(str, r)) for r in sources.year_chunks(spark.createDataFrame([(a, b)], "a date, b date")).orderBy("chunk_start").collect()]
+    assert chunks(date(2023, 5, 1), date(2025, 1, 1)) == [("2023-05-01", "2024-01-01"), ("2024-01-01", "2025-01-01")]
+    assert chunks(date(2024, 2, 29), date(2024, 3, 1)) == [("2024-02-29", "2024-03-01")] and chunks(date(2024, 1, 1), date(2024, 1, 1)) == []
