@@ -21,8 +21,8 @@ from quartzline.session import discard, written
 
 #: Trees that are applied to every row in each job before the rows' predictions are written anew.
 HELD_TREES = 16
-#: Nodes whose histograms one job makes.
-NODES_A_JOB = 256
+#: Bytes of histograms that a task of one job makes.
+HISTOGRAM_BYTES = 64 << 20
 #: A task holds so many rows at most, and no fewer where there are more tasks than cores.
 MOST_ROWS, LEAST_ROWS = 1_000_000, 20_000
 #: Accuracy of the sketch that gives the bins' edges.
@@ -300,12 +300,13 @@ def fit_many(rows: DataFrame, features: list[str], target: str, model: str, sett
     tasks = max(-(-n // MOST_ROWS), min(-(-n // LEAST_ROWS), d.sparkSession.sparkContext.defaultParallelism))
     table = written(d.repartition(tasks).mapInArrow(encode, "model int, y double, raw double, bins binary"), "binned")
     done, held = [[] for _ in names], [[] for _ in names]
+    nodes = max(HISTOGRAM_BYTES // (max(len(features), 1) * 256 * 16), 1)
     for _ in range(settings.iterations):
         growths = [Growth(settings) for _ in names]
         rows_in: dict = {}
         while wanted := [(m, node) for m, g in enumerate(growths) for node in g.order()[1]]:
-            for at in range(0, len(wanted), NODES_A_JOB):
-                part = wanted[at : at + NODES_A_JOB]
+            for at in range(0, len(wanted), nodes):
+                part = wanted[at : at + nodes]
                 for (m, node), (split, n) in histograms(table, tasks, part, [g.tree for g in growths], held, len(features), settings).items():
                     growths[m].known[node], rows_in[m, node] = split, n
         trees = [g.pruned() for g in growths]

@@ -622,7 +622,7 @@ def q_train_and_forecast(spark, sf_dir):
     config = training.Config(min_rows=300, splits=2, iterations=2)
     choices = [*training.candidates(config), evaluation.Ridge(1.0)]
     columns = ["ret_1h", "sma_ratio_24h", "close_zscore_24h", "volatility_24h", "rsi_14", "spx_log_return_24h", "gold_silver_ratio"]
-    done = training.train_all(b, "silver", root, (2, 4, 8, 12, 24, 72), config, choices, columns, ("spx", "gold_silver"))
+    done = training.train_all(b, "silver", root, (2, 24, 72), config, choices, columns, ("spx", "gold_silver"))
     parts = [training.latest_forecast(b, training.load(spark, root, "silver", a.record["horizon_hours"])) for a in done]
     return reduce(DataFrame.unionByName, parts).drop("timestamp_utc", "target_timestamp_utc")
 
