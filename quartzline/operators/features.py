@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzline.functions.exprs import above_zero, finite, ratio
-from quartzline.operators.windows import IN_CHUNK, block_rows, chunked, exponential, rolling_extremes, rolling_moments, sound
+from quartzline.operators.windows import IN_CHUNK, block_rows, chunked, exponential_ends, rolling_extremes, rolling_moments, sound
 from quartzline.session import written
 
 # Lags and window lengths in rows, and spans of the exponential means.
@@ -24,6 +24,15 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 def exponential_features(bars: DataFrame) -> DataFrame:
     """EMA ratios, MACD, RSI, ATR and the directional indicators, beside the bars."""
+    return exponential_parts(bars)[0]
+
+
+def exponential_parts(bars: DataFrame, carried: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """exponential_features(), and where its means and the means of those stand after the last row.
+
+    With carried, such ends of earlier rows, the means go on from there; rows whose __old is true are the last of the earlier ones, and count only as
+    the rows before those that follow.
+    """
     before = lambda x: F.expr(f"lag({x}) {IN_CHUNK}")
     c, pc = F.col("close"), before("close")
     d = c - pc
@@ -38,12 +47,16 @@ def exponential_features(bars: DataFrame) -> DataFrame:
         }
     )
     b = b.where("NOT __halo").drop("__halo")
+    new = (lambda x: F.when(~F.col("__old"), x)) if "__old" in bars.columns else (lambda x: x)
+    b = b.withColumns({"__c": new(F.col("close")), **{f"__{k}": new(F.col(f"__{k}")) for k in ("g", "l", "tr", "p", "m")}})
+    first, second = carried or (None, None)
     wilder = {f"__e{k}": (f"__{k}", WILDER, 14) for k in ("g", "l", "tr", "p", "m")}
-    b = exponential(b, {f"__ema{n}": ("close", a, 0) for n, a in ALPHAS.items()} | wilder)
+    b, first = exponential_ends(b, {f"__ema{n}": ("__c", a, 0) for n, a in ALPHAS.items()} | wilder, first)
     plus, minus = (100 * ratio(F.col(f"__e{k}"), F.col("__etr")) for k in "pm")
     b = b.withColumns({"__macd": F.col("__ema12") - F.col("__ema26"), "__plus": plus, "__minus": minus})
     b = b.withColumn("__dx", 100 * ratio(F.abs(F.col("__plus") - F.col("__minus")), F.col("__plus") + F.col("__minus")))
-    b = exponential(b, {"__signal": ("__macd", 0.2, 0), "__adx": ("__dx", WILDER, 14)})
+    b = b.withColumns({"__macd_new": new(F.col("__macd")), "__dx": new(F.col("__dx"))})
+    b, second = exponential_ends(b, {"__signal": ("__macd_new", 0.2, 0), "__adx": ("__dx", WILDER, 14)}, second)
     c = F.col("close")
     out = {f"ema{n}_ratio": ratio(c, F.col(f"__ema{n}")) - 1 for n in SPANS}
     out |= {
@@ -58,7 +71,7 @@ def exponential_features(bars: DataFrame) -> DataFrame:
         "minus_di_14": F.col("__minus") / 100,
         "di_spread_14": (F.col("__plus") - F.col("__minus")) / 100,
     }
-    return b.select(*bars.columns, *[finite(x).alias(k) for k, x in out.items()])
+    return b.select(*bars.columns, *[finite(x).alias(k) for k, x in out.items()]), first, second
 
 
 #: Rows before its own that a rolling column looks at: the longest window, its returns' lag and the mean over three rows behind it.

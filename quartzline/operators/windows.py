@@ -188,13 +188,21 @@ def block_rows(alphas) -> int:
     return max(min(BLOCK, int(575 / fade)), 1)
 
 
-def exponential(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFrame:
-    """Adds exponential means: name -> (column, alpha, least number of values).
+def exponential(df: DataFrame, specs: dict[str, tuple[str, float, int]], carried: DataFrame | None = None) -> DataFrame:
+    """Adds exponential means: name -> (column, alpha, least number of values), see exponential_ends."""
+    return exponential_ends(df, specs, carried)[0]
+
+
+def exponential_ends(df: DataFrame, specs: dict[str, tuple[str, float, int]], carried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Exponential means, and where they stand after the last row: series, rows, then {column}_last (the position of its last value), {column}_n and the means.
 
     The recursion y = (1 - a) y + a x runs in time order within a series and lets old weight decay over missing values. Inside a block it is a
     running sum: with r the product of what each value leaves of the mean before it, y = v + r (y0 - v + sum of (1 - k) (x - v) / r), where v is
     the block's first value, y0 the mean with it, and k = w / (w + a) for a weight w that decayed over a gap. What a block does to the mean before it
     is a straight line; these lines, one row a block, are put together by doubling. df may be chunked() by block_rows() already; then it keeps __rn and __chunk.
+
+    carried are ends of earlier rows, one row a series, with {column}_last as a position before df's rows or among them: they stand as one more block before
+    the first. Of a series without rows in df nothing is returned.
     """
     chunks = "__chunk" in df.columns
     d = df if chunks else chunked(df, 0, block_rows(a for _, a, _ in specs.values())).drop("__halo")
@@ -217,6 +225,8 @@ def exponential(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> Data
 
     ends = [f"CASE WHEN __x{k} IS NOT NULL THEN __rn ELSE __at{k} END AS __last{k}" for k in place.values()]
     lines = d.where("__ends").selectExpr("series", "__chunk", *ends, *[f"__{c}{k}" for k in place.values() for c in ("first", "v", "n")], *[f"__{c}{j}" for j, _, _ in each for c in "rs"])
+    if carried is not None:
+        lines = lines.unionByName(lines_of(carried, specs, place))
     lines = written(lines, "ewm-lines")
     so_far = "OVER (PARTITION BY series ORDER BY __chunk ROWS BETWEEN UNBOUNDED PRECEDING AND {})"
     earlier, by_chunk = so_far.format("1 PRECEDING"), "OVER (PARTITION BY series ORDER BY __chunk)"
@@ -225,19 +235,35 @@ def exponential(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> Data
     c = c.selectExpr("*", *[f"CASE WHEN __b{k} IS NULL THEN 0D ELSE {left(a, f'__first{k} - __b{k}')} END AS __k{j}" for j, k, a in each])
     c = c.selectExpr("*", *[f"CASE WHEN __n{k} = 0 THEN 1D ELSE __r{j} * __k{j} END AS __slope{j}" for j, k, _ in each])
     c = c.selectExpr("*", *[f"CASE WHEN __n{k} = 0 THEN 0D ELSE (__v{k} - __c{k}) * (1 - __slope{j}) + __r{j} * __s{j} END AS __offset{j}" for j, k, _ in each])
-    size, most = 1, lines.agg(F.max("__chunk")).first()[0] or 0
+    size, most = 1, (lines.agg(F.max("__chunk")).first()[0] or 0) + (carried is not None)
     while size <= most:
         c = c.selectExpr("*", *[f"lag(__{y}{j}, {size}) {by_chunk} AS __{y}_{j}" for j, _, _ in each for y in ("slope", "offset")])
         rest = [x for x in c.columns if not x.startswith(("__slope", "__offset"))]
         c = c.selectExpr(*rest, *[f"__slope{j} * coalesce(__slope_{j}, 1D) AS __slope{j}" for j, _, _ in each], *[f"__offset{j} + __slope{j} * coalesce(__offset_{j}, 0D) AS __offset{j}" for j, _, _ in each])
         size *= 2
     begun = [f"CASE WHEN __m{k} > 0 THEN __c{k} + lag(__offset{j}) {by_chunk} END AS __y{j}" for j, k, _ in each]
-    c = c.selectExpr("series AS __of", "__chunk AS __in", *[f"__m{k}" for k in place.values()], *[f"__k{j}" for j, _, _ in each], *begun)
+    c = c.selectExpr("series AS __of", "__chunk AS __in", *[f"__{v}{k}" for k in place.values() for v in "mb"], *[f"__k{j}" for j, _, _ in each], *begun)
 
     d = d.join(c, F.col("series").eqNullSafe(F.col("__of")) & (F.col("__chunk") == F.col("__in")))
     mean = lambda j, k: f"CASE WHEN __n{k} = 0 THEN __y{j} ELSE __v{k} + __r{j} * (coalesce(__k{j} * (__y{j} - __v{k}), 0D) + __s{j}) END"
     out = [f"CASE WHEN __m{k} + __n{k} >= {max(least, 1)} THEN {mean(j, k)} END AS `{name}`" for (j, k, _), (name, (_, _, least)) in zip(each, specs.items(), strict=True)]
-    return d.selectExpr(*[f"`{x}`" for x in (kept if chunks else df.columns)], *out)
+    ends = ["__rn + 1 AS rows", *[f"coalesce({here.format(k=k)}, __at{k}, __b{k}) AS `{x}_last`" for x, k in place.items()], *[f"__m{k} + __n{k} AS `{x}_n`" for x, k in place.items()]]
+    ends += [f"CASE WHEN __m{k} + __n{k} > 0 THEN {mean(j, k)} END AS `{name}`" for (j, k, _), name in zip(each, specs, strict=True)]
+    last = d.where("__ends").select("series", "__rn", F.struct(*[F.expr(x) for x in ends]).alias("__e"))
+    last = last.groupBy("series").agg(F.max_by("__e", "__rn").alias("__e")).select("series", "__e.*")
+    return d.selectExpr(*[f"`{x}`" for x in (kept if chunks else df.columns)], *out), last
+
+
+def lines_of(ends: DataFrame, specs: dict[str, tuple[str, float, int]], place: dict[str, int]) -> DataFrame:
+    """Ends of earlier rows as the line of a block of number -1: it has one value, the first mean of each column, and the others stand off from that."""
+    first = {}
+    for name, (x, _, _) in specs.items():
+        first.setdefault(x, name)
+    out = [f"`{x}_last` AS __last{k}" for x, k in place.items()]
+    out += [f"{e} AS __{c}{k}" for x, k in place.items() for c, e in (("first", f"`{x}_last`"), ("v", f"`{first[x]}`"), ("n", f"`{x}_n`"))]
+    for j, (name, (x, _, _)) in enumerate(specs.items()):
+        out += [f"1D AS __r{j}", f"coalesce(`{name}` - `{first[x]}`, 0D) AS __s{j}"]
+    return ends.selectExpr("series", "-1L AS __chunk", *out)
 
 
 def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:

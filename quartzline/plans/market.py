@@ -16,6 +16,7 @@ from quartzline.functions import exprs as X
 from quartzline.operators import asof, bars, evaluation, features, serving, training, windows
 from quartzline.session import shared_dir, table, written
 from quartzline.sources import market as sources
+from quartzline.streaming import features as growing
 
 SERIES = {"purchase": "silver", "view": "gold", "click": "udx", "signup": "spx", "error": "wti"}
 
@@ -196,6 +197,18 @@ def q_hourly_features(spark, sf_dir):
     return rounded(d, features.feature_columns(d))
 
 
+def q_appended_features(spark, sf_dir):
+    """The catalogue computed in two appends, up to the last day and that day: the rows of hourly_features."""
+    b = written(hourly(spark, sf_dir), "bars")
+    root, end = f"{shared_dir(spark)}/appended-{uuid.uuid4().hex}", b.agg(F.date_trunc("day", F.max("ts")).alias("end"))
+    last = written(b.join(F.broadcast(end)).select(*b.columns, (F.col("ts") >= F.col("end")).alias("last")), "last")
+    for part in ("NOT last", "last"):
+        growing.append(last.where(part).drop("last"), root)
+    d = growing.appended(spark, root)
+    d = features.build_features(b) if d is None else d
+    return rounded(d, features.feature_columns(d))
+
+
 CONTEXT = ["udx_close", *[f"udx_log_return_{h}h" for h in asof.RETURN_HOURS], *[f"udx_close_zscore_{h}h" for h in asof.ZSCORE_HOURS], "udx_source_age_hours", *[f"silver_minus_udx_return_{h}h" for h in asof.RETURN_HOURS], *[f"usd_pressure_{h}h" for h in asof.RETURN_HOURS]]
 
 
@@ -631,7 +644,7 @@ S_HOURLY_FEATURES = f"SELECT * FROM ({rolling_sql()}) JOIN ({exponential_sql()})
 
 
 QUERIES = {
-    "hourly_bars": q_hourly_bars, "daily_bars": q_daily_bars, "hourly_features": q_hourly_features, "rolling_features": q_rolling_features, "bad_tick_features": q_bad_tick_features, "exponential_features": q_exponential_features,
+    "hourly_bars": q_hourly_bars, "daily_bars": q_daily_bars, "hourly_features": q_hourly_features, "rolling_features": q_rolling_features, "bad_tick_features": q_bad_tick_features, "exponential_features": q_exponential_features, "appended_features": q_appended_features,
     "usd_context": q_usd_context, "gold_ratio": q_gold_ratio, "targets": q_targets, "walk_forward": q_walk_forward, "folds": q_folds, "holdout_persistence": q_holdout_persistence,
     "selective_grid": q_selective_grid, "champions": q_champions, "predictions": q_predictions, "tag_report": q_tag_report, "keep_last": q_keep_last, "unit_conversion": q_unit_conversion,
     "exposition": q_exposition, "missing_models": q_missing_models, "fresh_quotes": q_fresh_quotes, "rate_limit": q_rate_limit, "json_props": q_json_props, "year_chunks": q_year_chunks, "boosted_forecast": q_boosted_forecast, "median_trees": q_median_trees,
@@ -642,6 +655,6 @@ ORACLES = {
     "hourly_bars": S_HOURLY_BARS, "daily_bars": S_DAILY_BARS, "rolling_features": rolling_sql(), "bad_tick_features": bad_tick_sql(), "exponential_features": exponential_sql(), "usd_context": context_sql(), "gold_ratio": S_GOLD_RATIO, "targets": S_TARGETS,
     "walk_forward": S_WALK_FORWARD, "folds": S_FOLDS, "holdout_persistence": S_HOLDOUT, "selective_grid": grid_sql(), "champions": S_CHAMPIONS, "predictions": S_PREDICTIONS, "tag_report": S_TAG_REPORT, "keep_last": S_KEEP_LAST,
     "unit_conversion": S_UNIT_CONVERSION, "exposition": S_EXPOSITION, "missing_models": S_MISSING, "fresh_quotes": S_FRESH, "rate_limit": S_RATE_LIMIT, "json_props": S_JSON, "year_chunks": S_YEARS,
-    "hourly_features": S_HOURLY_FEATURES, "spx_context": context_sql("spx", False), "wti_context": context_sql("wti", False), "gold_context": gold_sql(), "lookback_walk_forward": S_LOOKBACK, "tag_range": S_TAG_RANGE, "coverage": S_COVERAGE,
+    "hourly_features": S_HOURLY_FEATURES, "appended_features": S_HOURLY_FEATURES, "spx_context": context_sql("spx", False), "wti_context": context_sql("wti", False), "gold_context": gold_sql(), "lookback_walk_forward": S_LOOKBACK, "tag_range": S_TAG_RANGE, "coverage": S_COVERAGE,
     "session_quotes": S_SESSION, "newest_bars": S_NEWEST, "requests_checked": S_REQUESTS, "texts": S_TEXTS, "registry": S_REGISTRY,
 }
