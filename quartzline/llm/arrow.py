@@ -15,7 +15,7 @@ import quartzline
 cloudpickle.register_pickle_by_value(quartzline)
 
 #: Rows that are Python objects at a time, and the rows and bytes at which an output batch is handed on.
-SLICE_ROWS, OUT_ROWS, OUT_BYTES = 64, 4096, 16 << 20
+SLICE_ROWS, OUT_ROWS, OUT_BYTES = 64, 4096, 4 << 20
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64()), "array<smallint>": pa.list_(pa.int16())}
 
 

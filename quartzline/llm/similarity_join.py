@@ -94,13 +94,18 @@ PROFILE = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary
 
 
 def profile(batches):
-    """A row for each document: id, set size, digest of the set and band keys; and rows of (tokens, counts) found twice or more in a chunk."""
-    held, size = [], 0
+    """A row for each document: id, set size, digest of the set and band keys; and rows of (tokens, counts) found twice or more in a chunk.
 
-    def counted():
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts > 1
-        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), longs([tokens[often]]), longs([counts[often]])], schema=PROFILE)
+    A chunk's shingles lie in one array, in which they are also sorted and counted.
+    """
+    held, size = np.empty(CHUNK, np.uint64), 0
+
+    def counted(n):
+        chunk = held[:n]
+        chunk.sort()
+        same = np.concatenate([[False], chunk[1:] == chunk[:-1], [False]])
+        first, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), longs([chunk[first]]), longs([last - first + 1])], schema=PROFILE)
 
     for batch in slices(batches):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
@@ -110,13 +115,16 @@ def profile(batches):
             [batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(digests, pa.binary()), longs([band_keys(h) if len(h) else None for h in sets]), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))],
             schema=PROFILE,
         )
-        held += sets
-        size += sum(map(len, sets))
-        if size > CHUNK:
-            yield counted()
-            held, size = [], 0
+        for h in sets:
+            while len(h):
+                part = h[: CHUNK - size]
+                held[size : size + len(part)] = part
+                size, h = size + len(part), h[len(part) :]
+                if size == CHUNK:
+                    yield counted(size)
+                    size = 0
     if size:
-        yield counted()
+        yield counted(size)
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -136,7 +144,8 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataF
             heavy = heavy[np.argsort(counts[at[late]], kind="stable")]
             h = np.concatenate([h[~late], heavy])
         probe = n - -(-NUMERATOR * n // DENOMINATOR) + 1
-        yield ident, n, h[:probe].view(np.int64), h.view(np.int64) if n <= SMALL else None
+        # Copied, so that a waiting row doesn't hold the whole set.
+        yield ident, n, h[:probe].copy().view(np.int64), h.view(np.int64) if n <= SMALL else None
 
     return map_rows(docs, one, "id long, n long, prefix array<long>, small array<long>")
 

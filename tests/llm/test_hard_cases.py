@@ -8,9 +8,11 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 from test_operators import BASE, WORD, base_spans, brute_components, docs_frame, sentence
@@ -511,3 +513,21 @@ def test_whole_form_equals_a_plain_recount(spark):
     got = {r.doc_id: r.spans for r in pii.span_digests(docs_frame(spark, texts), whole=True).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert sum("general" in w or "remove" in w for w in want) > 40 and any("remove" in w and "@" not in (t or "") for t, w in zip(texts, want, strict=True))
+
+
+def test_profile_sorts_and_counts_a_chunk_in_one_array(monkeypatch):
+    chunk = 1_000_000
+    monkeypatch.setattr(similarity_join, "CHUNK", chunk)
+    rng = random.Random(23)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=4000)) for _ in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 100)), pa.array(texts[i : i + 100])], names=["id", "text"]) for i in (0, 100, 200)]
+    peak = 0
+    tracemalloc.start()
+    for _ in similarity_join.profile(batches):
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert peak < 3 * 8 * chunk
+    rows = [r for b in similarity_join.profile(batches) for r in b.to_pylist() if r["tokens"] is not None]
+    every = np.concatenate([similarity_join.shingles(t) for t in texts])
+    want = [np.unique(x, return_counts=True) for x in (every[:chunk], every[chunk:])]
+    assert [(r["tokens"], r["counts"]) for r in rows] == [(t[n > 1].view(np.int64).tolist(), n[n > 1].tolist()) for t, n in want] and len(every) > chunk
