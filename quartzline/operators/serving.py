@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quartzline.functions.exprs import HORIZONS, direction, percent_change
 from quartzline.operators.windows import streamed
+from quartzline.session import written
 
 
 def latest_complete(df: DataFrame, columns: list[str], by=("series",), ts: str = "ts") -> DataFrame:
@@ -84,27 +87,81 @@ def session_quote(minutes: DataFrame, today, lookback_days: int = 4) -> DataFram
     return d.groupBy("series").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("price"))
 
 
+#: Times that a breaker stays shut which make up a block of failures.
+BLOCK_SPANS = 16
+#: Up to so many spans with a shut breaker are broadcast to the requests; beyond, these are shuffled.
+BROADCAST_SPANS = 100_000
+
+
+def shutting(failed: DataFrame, width: int) -> DataFrame:
+    """The failures that shut a breaker: of each key the first, then again and again the first that is at least width later.
+
+    failed: (key, us, ...), one row for each key and us. Time is cut into blocks. From any failure of a block, the ones after it follow without a look at
+    what came before, so each block finds on its own until when the breaker is shut if it is entered at a failure. Only the failures at which
+    it can be entered, those of its first width and the next one, go through one task a key to find where it is entered. A task holds the failures of one width of one key.
+    """
+    long, yes = T.StructField("until", T.LongType()), T.StructField("shuts", T.BooleanType())
+    d = failed.withColumn("block", F.expr(f"us div {BLOCK_SPANS * width} - int(us % {BLOCK_SPANS * width} < 0)"))
+
+    def last_of(later: deque, row: dict) -> list:
+        """later: (us, until) of the failures after this one, nearest first, up to the first that is width later."""
+        while len(later) > 1 and later[-2][0] >= row["us"] + width:
+            later.pop()
+        until = later[-1][1] if later and later[-1][0] >= row["us"] + width else row["us"] + width
+        later.appendleft((row["us"], until))
+        return [until]
+
+    def enters(state: dict, row: dict) -> list:
+        if row["block"] == state.get("block") or row["us"] < state.get("until", row["us"]):
+            return [False]
+        state.update(block=row["block"], until=row["until"])
+        return [True]
+
+    def shuts(state: dict, row: dict) -> list:
+        if row["us"] < state.get("until", row["enter"]):
+            return [False]
+        state["until"] = row["us"] + width
+        return [True]
+
+    last_of.reads, enters.reads, shuts.reads = ["us"], ["block", "us", "until"], ["us", "enter"]
+    ends = written(streamed(d.select("key", "block", "us"), ["key", "block"], [F.desc("us")], deque, last_of, T.StructType([long])), "breaker-ends")
+    early = F.col("us") < F.col("block") * (BLOCK_SPANS * width) + width
+    rest = ends.where(~early).groupBy("key", "block").agg(F.min_by(F.struct("us", "until"), "us").alias("x")).select("key", "block", "x.*")
+    doors = streamed(ends.where(early).unionByName(rest), ["key"], ["us"], dict, enters, T.StructType([yes]))
+    doors = written(doors.where("shuts").select("key", "block", F.col("us").alias("enter")), "breaker-doors")
+    out = streamed(d.join(doors, ["key", "block"]), ["key", "block"], ["us"], dict, shuts, T.StructType([yes]))
+    return out.where("shuts").select(*failed.columns)
+
+
 def through_breakers(requests: DataFrame, seconds: float = 60.0, key: str = "service") -> DataFrame:
     """Adds provider, the position of the one that answered each request, and tried, the number of providers called.
 
     requests: key, us (microseconds), id, answers (array of booleans, what each provider would say, in the order of calls). A provider that fails isn't
-    called for so many seconds; the first that answers ends the request. Only the times until which providers are shut are held.
+    called for so many seconds; the first that answers ends the request. A provider sees the requests that those before it left, and only its own failures
+    shut it, so providers are gone through one by one: the failures that shut one are found by shutting(), the requests while it is shut by a join with them.
+    A request without a time comes while nothing is shut and shuts nothing. Requests of one key, time and id may come in any order.
     """
-
-    def step(shut: dict, row: dict) -> list:
-        tried = 0
-        for k, good in enumerate(row["answers"] or ()):
-            if shut.get(k, row["us"]) > row["us"]:
-                continue
-            tried += 1
-            if good:
-                shut.pop(k, None)
-                return [k, tried]
-            shut[k] = row["us"] + int(seconds * 1_000_000)
-        return [None, tried]
-
-    step.reads = ["us", "answers"]
-    return streamed(requests, [key], ["us", "id"], dict, step, T.StructType([T.StructField("provider", T.IntegerType()), T.StructField("tried", T.IntegerType())]))
+    width = int(seconds * 1_000_000)
+    d = written(requests.withColumn("__row", F.monotonically_increasing_id()), "breaker-requests")
+    d = d.withColumns({"__key": F.struct(F.col(key)), "__at": F.col("us").cast("long"), "provider": F.lit(None).cast("int"), "tried": F.lit(0)})
+    place = F.struct("id", "__row")
+    for k in range(d.agg(F.max(F.size("answers"))).first()[0] or 0):
+        asked = F.col("provider").isNull() & F.coalesce(F.size("answers") > k, F.lit(False))
+        good = F.coalesce(F.get("answers", F.lit(k)), F.lit(False))
+        shut = F.lit(False)
+        if width > 0:
+            failed = d.where(asked & ~good & F.col("__at").isNotNull()).groupBy(F.col("__key").alias("key"), F.col("__at").alias("us")).agg(F.min(place).alias("first"))
+            spans = written(shutting(failed, width), "breaker-spans")
+            slot = lambda us: F.floor(us / F.lit(width)).cast("long")
+            by = spans.select(F.col("key").alias("__key"), F.explode(F.array(slot(F.col("us")), slot(F.col("us")) + 1)).alias("__slot"), F.struct("us", "first").alias("x"))
+            by = by.groupBy("__key", "__slot").agg(F.collect_list("x").alias("__spans"))
+            held = lambda x: (F.col("__at") < x["us"] + width) & ((F.col("__at") > x["us"]) | ((F.col("__at") == x["us"]) & (place > x["first"])))  # noqa: B023, E731
+            d = d.withColumn("__slot", slot(F.col("__at"))).join(F.broadcast(by) if spans.count() <= BROADCAST_SPANS else by, ["__key", "__slot"], "left")
+            shut = F.coalesce(F.exists("__spans", held), F.lit(False))
+        d = d.withColumns({"__called": asked & ~shut, "__good": good})
+        d = d.withColumns({"tried": F.col("tried") + F.col("__called").cast("int"), "provider": F.when(F.col("__called") & F.col("__good"), k).otherwise(F.col("provider"))})
+        d = d.drop("__slot", "__spans", "__called", "__good")
+    return d.select(*requests.columns, "provider", "tried")
 
 
 # The columns of a request and of a prediction, and the metals that may be asked for.

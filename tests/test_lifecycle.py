@@ -584,3 +584,39 @@ def test_year_chunks_and_models_of_several_folders(spark):
     chunks = lambda a, b: [tuple(map(str, r)) for r in sources.year_chunks(spark.createDataFrame([(a, b)], "a date, b date")).orderBy("chunk_start").collect()]
     assert chunks(date(2023, 5, 1), date(2025, 1, 1)) == [("2023-05-01", "2024-01-01"), ("2024-01-01", "2025-01-01")]
     assert chunks(date(2024, 2, 29), date(2024, 3, 1)) == [("2024-02-29", "2024-03-01")] and chunks(date(2024, 1, 1), date(2024, 1, 1)) == []
+
+
+def test_breakers_go_through_blocks_of_time(spark, monkeypatch):
+    monkeypatch.setattr(serving, "BLOCK_SPANS", 3)
+    largest = []
+    real = serving.streamed
+
+    def seen(df, keys, *rest):
+        largest.append((keys, max([0, *(r[0] for r in df.groupBy(*keys).count().select("count").collect())])))
+        return real(df, keys, *rest)
+
+    monkeypatch.setattr(serving, "streamed", seen)
+    rng = np.random.default_rng(9)
+    rows = []
+    for service, n, end in (("dense", 1500, 400), ("sparse", 300, 9000), (None, 200, 300)):
+        for i, us in enumerate(np.sort(rng.integers(-end // 2, end // 2, n))):
+            answers = [None if rng.random() < 0.1 else bool(rng.random() < p) for p in (0.4, 0.5, 0.2)[: rng.integers(0, 4)]]
+            rows.append((service, int(us), i, None if rng.random() < 0.02 else answers))
+    d = spark.createDataFrame(rows, "service string, us long, id long, answers array<boolean>").repartition(5)
+    got = {(r.service, r.id): (r.provider, r.tried) for r in serving.through_breakers(d, 10e-6).collect()}
+    shut, want = {}, {}
+    for service, us, i, answers in rows:
+        tried, by = 0, None
+        for k, good in enumerate(answers or ()):
+            if shut.get((service, k), us) <= us:
+                tried += 1
+                if good:
+                    by = k
+                    break
+                shut[service, k] = us + 10
+        want[service, i] = (by, tried)
+    assert got == want and len({v for v in want.values()}) > 7
+    assert max(n for keys, n in largest) < 500, largest
+    again = {(r.service, r.id): (r.provider, r.tried) for r in serving.through_breakers(d, 0).collect()}
+    assert all(v == next(((k, k + 1) for k, x in enumerate(a or ()) if x), (None, len(a or ()))) for (_, _, _, a), v in ((r, again[r[0], r[2]]) for r in rows))
+    assert serving.through_breakers(d.where("false")).columns == ["service", "us", "id", "answers", "provider", "tried"]
