@@ -1,13 +1,14 @@
 """Packing: optimal length buckets by dynamic programming, and token-budget batches within each bucket.
 
-The bounds of K buckets that minimise padding are found exactly from the histogram of lengths, the one thing that reaches the driver: n
-different lengths need at least n * (n - 1) / 2 words. Beyond BINS of them, which takes 5 * 10^11 words, lengths over FINE share bins, whose edge is
-their longest length. Batches number the rows of a bucket without gathering them: rows are dealt to shards, shard counts give each
+The bounds of K buckets that minimise padding are found exactly, for input of any size, from the histogram of lengths, the one thing that reaches
+the driver: n different lengths need at least n * (n - 1) / 2 words, so it grows with the square root of the input at most. Batches number the rows of a bucket without gathering them: rows are dealt to shards, shard counts give each
 shard its first number, and a row's number within its shard comes from a window over that shard alone.
 """
 
 from __future__ import annotations
 
+from array import array
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +18,7 @@ from quartzline.session import written
 
 BUCKETS = 16
 BUDGET = 32_768
-#: Different lengths that the driver takes.
+#: Different lengths that the driver takes in bucket_bounds().
 BINS = 1_000_000
 #: Beyond them, lengths up to FINE have bins of their own; above, PER_DOUBLING bins share each doubling.
 FINE, PER_DOUBLING = 1024, 64
@@ -67,7 +68,7 @@ def optimal_bounds(edges, counts, sums, buckets: int = BUCKETS) -> list[int]:
     cuts = []
     for _ in range(min(buckets, len(edges))):
         cost, cut = layer(cost, edges, rows, held)
-        cuts.append(cut)
+        cuts.append(array("q", cut))
     bounds, j = [], len(edges)
     for cut in reversed(cuts):
         if j:
@@ -76,8 +77,14 @@ def optimal_bounds(edges, counts, sums, buckets: int = BUCKETS) -> list[int]:
     return bounds[::-1]
 
 
+def exact_bounds(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """lengths: one column, length. The whole histogram goes to the driver, whatever the input's size."""
+    rows = lengths.groupBy("length").agg(F.count("*").alias("n"), F.sum("length").alias("s")).toArrow().sort_by("length")
+    return optimal_bounds(*(rows[k].to_pylist() for k in ("length", "n", "s")), buckets)
+
+
 def bucket_bounds(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """lengths: one column, length. At most BINS + 1 rows of the histogram go to the driver."""
+    """As exact_bounds() up to BINS different lengths; beyond, bounds of bins, for a driver that can't hold them. pack() doesn't use it."""
     measures = [F.max("length").alias("edge"), F.count("*").alias("n"), F.sum("length").alias("s")]
     rows = lengths.groupBy("length").agg(*measures).limit(BINS + 1).toArrow()
     if rows.num_rows > BINS:
@@ -95,7 +102,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: Colum
     """
     size = word_count(F.col(text)) if length is None else length.cast("long")
     rows = written(docs.select(F.col(key), size.alias("length"), F.xxhash64(key, F.monotonically_increasing_id()).alias("deal")), "pack-lengths")
-    bounds = bucket_bounds(rows.select("length"), buckets)
+    bounds = exact_bounds(rows.select("length"), buckets)
     bucket, bound = F.lit(max(len(bounds) - 1, 0)), F.lit(bounds[-1] if bounds else 0).cast("long")
     for k in range(len(bounds) - 2, -1, -1):
         fits = F.col("length") <= bounds[k]

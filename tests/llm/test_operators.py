@@ -110,6 +110,14 @@ def test_long_lengths_are_bound_by_lengths_that_occur(spark, monkeypatch):
     assert packing.bucket_bounds(frame([7, 1025, 1026, 1030]), 3) == [7, 1030]
 
 
+def test_packing_is_exact_whatever_the_number_of_lengths(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BINS", 2)
+    lengths = [7, 1025, 1025, 1026, 1030, 1030, 1030]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long"), text="n", length=F.col("n"), buckets=3).collect()
+    assert sorted((r.length, r.bucket_bound) for r in rows) == [(7, 7), (1025, 1026), (1025, 1026), (1026, 1026), (1030, 1030), (1030, 1030), (1030, 1030)]
+    assert sum(r.padding for r in rows) == 2
+
+
 # op3
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
