@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quartzline.llm import mixing, packing, pii, rule_ensemble, similarity_join
 from quartzline.llm.joins import near
-from quartzline.session import table, written
+from quartzline.session import counted, rows, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +32,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = written(similarity_join.joined_components(docs), "components")
     twice = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "component_id").count().where("count > 1")
-    mixed = written(twice.select("component_id").distinct(), "mixed")
+    mixed = counted(twice.select("component_id").distinct(), "mixed")
     gone = found.where(F.col("component_id") != F.col("doc_id"))
-    if mixed.isEmpty():
-        return near(docs, written(gone.select("doc_id").distinct(), "gone"), "doc_id", "left_anti")
-    again = written(near(found, mixed, "component_id", "left_semi").select("doc_id").distinct(), "again")
-    gone = written(gone.select("doc_id").unionByName(again).distinct(), "gone")
+    if not rows(mixed):
+        return near(docs, counted(gone.select("doc_id").distinct(), "gone"), "doc_id", "left_anti")
+    again = counted(near(found, mixed, "component_id", "left_semi").select("doc_id").distinct(), "again")
+    gone = counted(gone.select("doc_id").unionByName(again).distinct(), "gone")
     nodes = written(near(docs, again, "doc_id", "left_semi").select(F.monotonically_increasing_id().alias("node"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "nodes")
     texts = nodes.select("node", "row.doc_id", "row.text")
     own = similarity_join.joined_components(texts, "node").join(texts, "node")

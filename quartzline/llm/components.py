@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzline.session import discard, written
+from quartzline.session import counted, discard, rows, written
 
 
 def large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -27,18 +27,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has an edge, component being the smallest node reachable.
 
     Loops and repeated edges don't matter; edges with a null end are left out. A hot node's edges combine on the map side and its join can be split.
-    A round's tables are deleted once the next one is written.
+    A round's tables are deleted once the next one is written. Rounds end when one changes nothing; its edges are compared by count and sum of hashes,
+    which are taken while they are written, the first edges' too: edges that are stars to their least nodes need one round.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNull() | F.col(b).isNull()).alias("gap"))
-    e = written(e.where(~F.col("gap") & (F.col("u") != F.col("v"))).select("u", "v").distinct(), "edges")
-    state = None
-    while True:
+    hashes = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    e = counted(e.where(~F.col("gap") & (F.col("u") != F.col("v"))).select("u", "v").distinct(), "edges", hashes=hashes)
+    while rows(e):
         sent, least = large_star(e)
-        before, e = e, written(small_star(sent), "stars")
+        before, e = e, counted(small_star(sent), "stars", hashes=hashes)
         discard(before, least)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if e.observed == before.observed:
             break
-        state = now
     # A forest of stars: v is the centre of each.
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quartzline.llm.text_stats import word_count
-from quartzline.session import written
+from quartzline.session import counted, rows, written
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 2
@@ -68,8 +68,8 @@ def plan_mix(ids: DataFrame, **options) -> DataFrame:
 
     ids: (source_key, size, draw), written before.
     """
-    sources = written(water_fill(ids.groupBy("source_key").agg(F.sum("size").alias("source_size")), **options), "mix-sources")
-    n = sources.count()
+    sources = counted(water_fill(ids.groupBy("source_key").agg(F.sum("size").alias("source_size")), **options), "mix-sources")
+    n = rows(sources)
     ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = sources.withColumn("whole", ratio).withColumn("gap", F.col("target") - F.col("whole") * F.col("source_size"))
     bucket = F.substring("draw", 1, 3)
@@ -92,7 +92,7 @@ def plan_mix(ids: DataFrame, **options) -> DataFrame:
     # Where its draw stands for several rows, all of them together must bring it nearer.
     both = near(ids, fit, n).where(F.col("draw") == F.col("fit.draw")).groupBy("source_key").agg(F.sum("size").alias("size"), F.first("fit").alias("fit"))
     fit = both.where(F.abs(F.col("size") - F.col("fit.left")) < F.col("fit.left"))
-    return written(cuts.join(fit, "source_key", "left").select("source_key", "source_size", "target", "whole", "cut", F.col("fit.draw").alias("best")), "mix-plan")
+    return counted(cuts.join(fit, "source_key", "left").select("source_key", "source_size", "target", "whole", "cut", F.col("fit.draw").alias("best")), "mix-plan")
 
 
 def with_copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, **options) -> DataFrame:
@@ -106,7 +106,7 @@ def with_copies(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     d = docs.select(row, source_key(F.col(source)).alias("source_key"), draw(F.col(key), F.col(text), seed).alias("draw"), word_count(F.col(text)).alias("size"))
     ids = written(d.select("source_key", "size", "draw"), "mix-ids")
     plan = plan_mix(ids, **options)
-    d = near(d, plan, plan.count())
+    d = near(d, plan, rows(plan))
     more = (F.col("draw") <= F.col("cut")).cast("long") + F.coalesce((F.col("draw") == F.col("best")).cast("long"), F.lit(0))
     most = -(-options.get("epochs", EPOCHS) // 1)  # an empty document fits in anywhere, but no oftener than the others
     return d.select("row", "size", "source_size", "target", F.least(F.col("whole") + more, F.lit(int(most))).cast("long").alias("copies"))

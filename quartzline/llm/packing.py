@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quartzline.llm.text_stats import word_count
-from quartzline.session import written
+from quartzline.session import counted, written
 
 BUCKETS = 16
 BUDGET = 32_768
@@ -101,13 +101,13 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: Colum
     the shortest. Rows that repeat a key get slots of their own, dealt to all shards. Other columns are ignored. Empty input gives empty output.
     """
     size = word_count(F.col(text)) if length is None else length.cast("long")
-    rows = written(docs.select(F.col(key), size.alias("length"), F.xxhash64(key, F.monotonically_increasing_id()).alias("deal")), "pack-lengths")
+    rows = counted(docs.select(F.col(key), size.alias("length"), F.xxhash64(key, F.monotonically_increasing_id()).alias("deal")), "pack-lengths")
     bounds = exact_bounds(rows.select("length"), buckets)
     bucket, bound = F.lit(max(len(bounds) - 1, 0)), F.lit(bounds[-1] if bounds else 0).cast("long")
     for k in range(len(bounds) - 2, -1, -1):
         fits = F.col("length") <= bounds[k]
         bucket, bound = F.when(fits, k).otherwise(bucket), F.when(fits, F.lit(bounds[k]).cast("long")).otherwise(bound)
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    shards = max(1, -(-rows.observed["rows"] // SHARD_ROWS))
     d = rows.withColumns({"bucket": bucket, "bucket_bound": bound, "shard": F.pmod("deal", F.lit(shards * 8))})
     counts = d.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("bucket").orderBy("shard")) - F.col("n")

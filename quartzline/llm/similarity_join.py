@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quartzline.llm.arrow import map_rows, slices
 from quartzline.llm.components import components
 from quartzline.llm.joins import near
-from quartzline.session import discard, written
+from quartzline.session import counted, discard, rows, written
 
 WORDS = 5
 #: Similarity of 75 in 100.
@@ -161,13 +161,16 @@ def wide(ident: int, text: str | None) -> list[tuple[int, int, np.ndarray]]:
     return [(ident, len(h), h.view(np.int64))]
 
 
-def with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str, counted: DataFrame | None = None) -> DataFrame:
+def with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str, stored: DataFrame | None = None) -> DataFrame:
     """pairs with n and held of one end. The pairs of an end that has many are dealt over several tasks by their other end.
 
-    counted: the same pairs as a written table, where pairs is none.
+    stored: the same pairs as a written table, where pairs is none.
     """
-    hot = (pairs if counted is None else counted).groupBy(F.col(end).alias("id")).agg(F.count("*").alias("deals")).where(F.col("deals") > HOT)
-    hot = written(hot.select("id", F.ceil(F.col("deals") / HOT).cast("int").alias("deals")), "hot-ends")
+    stored = pairs if stored is None else stored
+    hot = stored.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("deals")).where(F.col("deals") > HOT)
+    hot = counted(hot.select("id", F.ceil(F.col("deals") / HOT).cast("int").alias("deals")), "hot-ends") if rows(stored) > HOT else None
+    if hot is None or not rows(hot):
+        return pairs.join(sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("held").alias(f"held_{end}")), end)
     deals = F.coalesce("deals", F.lit(1))
     dealt = near(pairs.withColumn("id", F.col(end)), hot, "id", "left").select(*pairs.columns, F.pmod(F.xxhash64(other), deals).cast("int").alias("deal"))
     held = near(sets, hot, "id", "left").select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("held").alias(f"held_{end}"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
@@ -178,25 +181,27 @@ def overlapping(pairs: DataFrame, docs: DataFrame, function, kind: str) -> DataF
     """The pairs whose hashes overlap enough. Where hashes of one set coincide, each coincidence may hide one common shingle, so the
     lesser number of them is granted: no similar pair is lost, and with 64-bit hashes nothing is granted.
     """
-    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+    if not rows(pairs):
+        return pairs
+    ids = counted(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
     sets = written(map_rows(near(docs, ids, "id", "left_semi"), function, f"id long, n long, held array<{kind}>"), "pair-sets")
     most = F.size(F.array_intersect("held_a", "held_b")) + F.least(F.col("n_a") - F.size("held_a"), F.col("n_b") - F.size("held_b"))
-    if pairs.count() <= BROADCAST_PAIRS:
+    if rows(pairs) <= BROADCAST_PAIRS:
         d = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("held").alias("held_a")).join(F.broadcast(pairs), "a")
     else:
         d = with_sets(pairs, sets, "a", "b")
     d = with_sets(d, sets, "b", "a", pairs)
-    links = written(d.where(most >= needed_column(F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "links")
+    links = counted(d.where(most >= needed_column(F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "links")
     discard(ids, sets)
     return links
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar: an upper bound from short hashes first, then the exact intersection."""
-    pairs = written(pairs.distinct(), "pairs")
+    pairs = counted(pairs.distinct(), "pairs")
     maybe = overlapping(pairs, docs, narrow, "short")
     links = overlapping(maybe, docs, wide, "long")
-    discard(pairs, maybe)
+    discard(*{t.stored_at: t for t in (pairs, maybe) if t.stored_at != links.stored_at}.values())
     return links
 
 
@@ -282,7 +287,7 @@ def joined_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     # Only ids that are no node, or lie in a component found already, need a word from this table.
     idle = nodes.groupBy("id").agg(F.max(F.col("bands").isNotNull()).alias("chosen")).where(~F.col("chosen")).select("id", F.lit(None).cast("long").alias("component"), F.lit(True).alias("idle"))
-    other = written(idle.unionByName(known.where(F.col("component") != F.col("id")).select("id", "component", F.lit(False).alias("idle"))), "other")
+    other = counted(idle.unionByName(known.where(F.col("component") != F.col("id")).select("id", "component", F.lit(False).alias("idle"))), "other")
     own = near(prefixes(docs, frequent, counts), other, "id", "left").where(~F.coalesce("idle", F.lit(False)))
     prefixed = written(own.select("id", F.col("n").cast("int").alias("n"), F.coalesce("component", "id").alias("component"), "prefix", "small"), "prefixes")
     tokens = prefixed.select("id", "n", "component", F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("place") + 1)

@@ -33,3 +33,32 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(packed)
     one = kept["PII"].where(F.col("text").contains("@"))
     assert one.count() == 0
+
+
+def test_row_counts_and_settled_steps_need_no_jobs(spark):
+    """What each job leaves on the driver adds up over the steps: tables are counted as they are written, and steps without rows are left out."""
+    from quartzline.llm.components import components
+    from quartzline.session import counted, rows
+
+    def jobs(group, action):
+        spark.sparkContext.setJobGroup(group, group)
+        out = action()
+        spark.sparkContext.setJobGroup("", "")
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    for n in (0, 7):
+        t = counted(spark.range(100).where(f"id < {n}").selectExpr("id", "id % 2 AS rest").distinct(), "numbers")
+        assert jobs(f"counted-{n}", lambda: rows(t))[1] == 0  # noqa: B023
+        assert rows(t) == t.count() == n
+    edges = spark.createDataFrame([(1, 2), (3, 1), (5, 9), (7, 7), (None, 4), (2, 1)], "a long, b long")
+    found, ran = jobs("stars", lambda: components(edges))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (5, 5), (9, 5)]
+    assert ran <= 12, ran
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r["component"] for r in components(chain).collect()} == {0}
+    assert components(edges.where("a > 100")).count() == 0
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(20)] + [(50, " ".join(f"w3x{i}" for i in range(30)) + " more")], "doc_id long, text string")
+    kept, ran = jobs("near", lambda: corpus_pipeline.near_duplicates(spark, docs, ""))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
+    assert ran <= 90, ran
